@@ -6,12 +6,12 @@ group is cut like any other rows, so no shard is more than 1/SMALL of the target
 
 Null text: 16 bytes, grouped with other nulls (crc of the empty text). Null doc_id: sorted first within its text.
 Repeated rows: each row gets its own slot. Empty table: no rows. Fewer rows than shards: some shards stay empty.
-Extra columns are dropped by `sharded` only if named like its own; it returns the input's columns plus its own.
+Extra columns, whatever their names, are not read: the result holds only the id, size, checksum, shard and slot.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import prefix_sums, table
@@ -34,8 +34,6 @@ def sharded(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_
     rows = rows.withColumn("_cut", F.when(F.col("_large"), F.col("doc_id")))
     placed = prefix_sums(rows, ["_h", "text_crc32", "_cut", "doc_id", "size"], "size", whole=["_h", "text_crc32", "_cut"])
     # a small group stands where its first row stands; its rows came through one partition
-    from pyspark.sql import Window
-
     at = F.when(F.col("_large"), F.col("sum_before")).otherwise(F.min("sum_before").over(Window.partitionBy("_h", "text_crc32", "_cut")))
     placed = placed.withColumn("shard", F.least(F.lit(shards - 1), F.floor(at * shards / F.lit(max(1, total))).cast("int")))
     first = placed.groupBy("shard").agg(F.min("row_no").alias("_first"))
