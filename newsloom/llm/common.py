@@ -70,3 +70,33 @@ def prefix_sums(df: DataFrame, order: list[str], value: str, whole: list[str] |
     on = [F.col(c).eqNullSafe(F.col(f"_o{c}")) for c in ("_pid", *by)]
     out = local.join(offsets, on, "left")
     return out.withColumns({"row_no": F.col("_r0") + F.col("_n") - 1, "sum_before": F.col("_s0") + F.col("_s") - F.col(value)}).drop("_pid", "_n", "_s", "_r0", "_s0", *[f"_o{c}" for c in ("_pid", *by)])
+
+
+def small_enough(df: DataFrame, rows: int) -> DataFrame:
+    """df marked for broadcast if a count shows at most `rows` rows, else df as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """node, root (smallest node reachable) of every node that stands in an edge, by alternating large and small stars.
+
+    Each round is two grouped minima joined back on their key, so a node with many neighbours is a skewed join that
+    adaptive execution splits, never one group in one task. Rounds are written tables; they end when the edges, which by
+    then all point at roots, stay as they are.
+    """
+    e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v")
+    e = written(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    state = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+    while state[0]:
+        both = e.union(e.select("v", "u"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.join(low, "u").filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        new = written(small.union(low.select("u", F.col("m").alias("v"))).distinct())
+        now = new.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+        dropped(e)
+        e, state, before = new, now, state
+        if now == before:
+            break
+    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: Operator module and the name of its query.
 OPERATORS = [
+    ("simhash", "op4_simhash"),
     ("sharding", "op5_sharding"),
 ]
 
