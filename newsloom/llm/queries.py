@@ -8,6 +8,7 @@ from importlib import import_module
 OPERATORS = [
     ("simhash", "op4_simhash"),
     ("sharding", "op5_sharding"),
+    ("substring", "op9_substring"),
 ]
 
 
