@@ -45,10 +45,15 @@ def dropped(df: DataFrame) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def spaced(text) -> F.Column:
+    """The words of a text joined by single spaces; null is the empty text."""
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), BLANKS, " "))
+
+
 def word_count(text) -> F.Column:
     """Number of words of the contracts; null and blank texts have none."""
-    plain = F.regexp_replace(F.coalesce(text, F.lit("")), rf"^{BLANKS}|{BLANKS}$", "")
-    return F.when(plain == "", F.lit(0)).otherwise(F.size(F.split(plain, BLANKS))).cast("long")
+    plain = spaced(text)
+    return F.when(plain == "", F.lit(0)).otherwise(F.length(plain) - F.length(F.translate(plain, " ", "")) + 1).cast("long")
 
 
 def prefix_sums(df: DataFrame, order: list[str], value: str, whole: list[str] | None = None, by: list[str] | None = None) -> DataFrame:

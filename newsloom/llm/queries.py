@@ -6,9 +6,11 @@ from importlib import import_module
 
 #: Operator module and the name of its query.
 OPERATORS = [
+    ("mixing", "op3_mixing"),
     ("simhash", "op4_simhash"),
     ("sharding", "op5_sharding"),
     ("substring", "op9_substring"),
+    ("packing", "op10_packing"),
 ]
 
 
