@@ -8,6 +8,7 @@ from importlib import import_module
 OPERATORS = [
     ("mixing", "op3_mixing"),
     ("simhash", "op4_simhash"),
+    ("url_reputation", "op7_url_reputation"),
     ("sharding", "op5_sharding"),
     ("substring", "op9_substring"),
     ("packing", "op10_packing"),
