@@ -29,6 +29,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,36 +42,76 @@ FACTOR = np.uint64(0x9E3779B97F4A7C15)
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-class _Ids(dict):
-    """Word -> 64-bit hash, kept while the vocabulary seen is small."""
+def _hashed(values: np.ndarray) -> np.ndarray:
+    values = (values ^ (values >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return values ^ (values >> np.uint64(29))
 
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh64_intdigest
 
-        if len(self) > 300_000:
-            self.clear()
-        self[word] = out = xxh64_intdigest(word)
-        return out
+LETTER = _hashed(np.arange(1, 257, dtype=np.uint64) * FACTOR)
+BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+PIECE = 1 << 20
+RADIX = 0x2545F4914F6CDD1D
 
 
-def _ids(known: _Ids, text: bytes | None) -> np.ndarray:
-    words = (text or b"").split()
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+class _Powers:
+    """Powers of RADIX and of its inverse modulo 2^64."""
+
+    up = down = np.ones(1, np.uint64)
+
+    @classmethod
+    def upto(cls, n: int) -> None:
+        if len(cls.up) < n:
+            one = np.ones(1, np.uint64)
+            cls.up = np.cumprod(np.concatenate((one, np.full(n, RADIX, np.uint64))), dtype=np.uint64)
+            cls.down = np.cumprod(np.concatenate((one, np.full(n, pow(RADIX, -1, 1 << 64), np.uint64))), dtype=np.uint64)
+
+
+def word_ids(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of every word of a column of UTF-8 texts, and the row of each; PIECE bytes at a time, cut between words."""
+    column = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).fill_null(b"").cast(pa.large_binary())
+    edge = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    ids, rows, p, end = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], int(edge[0]), int(edge[-1])
+    while p < end:
+        q = min(end, p + PIECE)
+        while q < end and not BLANK[data[q]] and edge[np.searchsorted(edge, q)] != q:
+            more = np.flatnonzero(BLANK[data[q : q + 4096]])
+            q = min(q + (int(more[0]) if len(more) else 4096), int(edge[np.searchsorted(edge, q)]))
+        b = data[p:q]
+        ink = ~BLANK[b]
+        cut = np.zeros(q - p + 1, bool)  # a row begins here
+        cut[edge[(edge >= p) & (edge <= q)] - p] = True
+        begins = np.flatnonzero(ink & (cut[:-1] | ~np.concatenate(([False], ink[:-1]))))
+        ends = np.flatnonzero(ink & (cut[1:] | ~np.concatenate((ink[1:], [False]))))
+        _Powers.upto(q - p)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(LETTER[b] * _Powers.up[: q - p], dtype=np.uint64)))
+        ids.append(_hashed((sums[ends + 1] - sums[begins]) * _Powers.down[begins]))
+        rows.append(np.searchsorted(edge, begins + p, "right") - 1)
+        p = q
+    return np.concatenate(ids), np.concatenate(rows)
 
 
 def _levels(window: int) -> list[int]:
     return sorted({min(k, window) for k in (1, 2, 4)} | {window})
 
 
-def _labels(ids: np.ndarray, window: int) -> dict[int, np.ndarray]:
-    """Rolling hashes of the first 1, 2, 4 and `window` words of each suffix that has as many."""
-    n = len(ids) - window + 1
-    out, h = {}, np.zeros(max(0, n), np.uint64)
-    for k in range(window if n > 0 else 0):
+def _suffixes(ids: np.ndarray, row: np.ndarray, window: int) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """Where a whole window of one row's words starts, and rolling hashes of its first 1, 2, 4 and `window` words."""
+    n = max(0, len(ids) - window + 1)
+    at = np.flatnonzero(row[:n] == row[window - 1 : window - 1 + n])
+    out, h = {}, np.zeros(n, np.uint64)
+    for k in range(window):
         h = h * FACTOR + ids[k : k + n]
         if k + 1 in _levels(window):
-            out[k + 1] = h
-    return out or {k: h for k in _levels(window)}
+            out[k + 1] = h[at]
+    return at, out
+
+
+def _slices(b: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch, some hundred KB of text at a time."""
+    size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(b.column(text)), 0), np.int64)) // 500_000
+    cuts = np.flatnonzero(np.diff(size, prepend=-1, append=-1)) if len(size) else []
+    yield from (b.slice(i, j - i) for i, j in zip(cuts[:-1], cuts[1:]))
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -81,15 +122,13 @@ def _counts(window: int, buckets: int, cuts: list):
     """Rows (kind, at, n): suffixes by prefix level and bucket, and words (kind 0) by range of doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = _Ids(), {k: np.zeros(buckets, np.int64) for k in _levels(window)}
-        words = np.zeros(len(cuts) + 2, np.int64)
-        for b in batches:
-            for key, text in zip(b.column(0), b.column(1)):
-                ids = _ids(known, text.as_py())
-                words[len(cuts) + 1 if (k := key.as_py()) is None else np.searchsorted(cuts, k, "right")] += len(ids)
-                for level, h in _labels(ids, window).items():
-                    if len(h):
-                        np.add.at(seen[level], _bucket(h, buckets), 1)
+        seen, words = {k: np.zeros(buckets, np.int64) for k in _levels(window)}, np.zeros(len(cuts) + 2, np.int64)
+        for b in (x for whole in batches for x in _slices(whole, 1)):
+            ids, row = word_ids(b.column(1))
+            at = np.array([len(cuts) + 1 if k is None else np.searchsorted(cuts, k, "right") for k in b.column(0).to_pylist()])
+            np.add.at(words, at, np.bincount(row, minlength=len(at)))
+            for level, h in _suffixes(ids, row, window)[1].items():
+                seen[level] += np.bincount(_bucket(h, buckets), minlength=buckets)
         for kind, n in {0: words, **seen}.items():
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind)), pa.array(at), pa.array(n[at])], ["kind", "at", "n"])
@@ -145,9 +184,8 @@ def _hand_out(window: int, groups: dict[int, np.ndarray], text_at: str):
     buckets = len(next(iter(groups.values())))
 
     def run(docs: pa.Table) -> pa.Table:
-        block, known = docs.column("_block")[0].as_py(), _Ids()
-        levels = [_labels(_ids(known, t.as_py()), window) for t in docs.column(text_at)]
-        label = {k: np.concatenate([x[k] for x in levels]) for k in _levels(window)}
+        block = docs.column("_block")[0].as_py()
+        _, label = _suffixes(*word_ids(docs.column(text_at)), window)
         last, once = np.unique(label[window], return_index=True)
         to = np.full(len(last), -1, np.int64)
         for k in _levels(window):
@@ -177,27 +215,26 @@ def _inner_nodes(part: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array(blocks[at[first]] if len(first) else [], pa.int64()), "labels": pa.array([_planes(x) for x in np.split(label, first[1:])] if len(first) else [], pa.binary())})
 
 
-def removed_words(ids: list[np.ndarray], keys: list, told: np.ndarray, window: int) -> list[np.ndarray]:
+def removed_words(texts: pa.ChunkedArray, keys: list, told: np.ndarray, window: int) -> list[np.ndarray]:
     """Which words of each document of a block go; keys: the doc_ids, None for null; told: labels that earlier blocks hold."""
-    label = [_labels(x, window)[window] for x in ids]
-    every = np.concatenate(label) if label else np.zeros(0, np.uint64)
     rank = {k: i for i, k in enumerate(sorted({k for k in keys if k is not None}))}
-    doc = np.repeat(np.array([rank.get(k, len(rank)) for k in keys], np.int64), [len(x) for x in label])
-    _, own = np.unique(every, return_inverse=True)
-    least = np.full(own.max(initial=-1) + 1, len(rank) + 1, np.int64)
-    np.minimum.at(least, own, doc)
-    goes = doc > least[own]
+    rank = np.array([rank.get(k, len(rank)) for k in keys], np.int64)
+    order = np.argsort(rank, kind="stable")
+    ids, row = word_ids(texts.take(pa.array(order)))
+    at, label = _suffixes(ids, row, window)
+    every, doc = label[window], rank[order][row[at]]
+    _, first, own = np.unique(every, return_index=True, return_inverse=True)  # the first stands in the smallest doc_id
+    goes = doc > doc[first][own]
     if len(told) and len(every):
         told = np.unique(told)
         goes |= told[np.minimum(np.searchsorted(told, every), len(told) - 1)] == every
-    out, start = [], 0
-    for x, h in zip(ids, label):
-        edge = np.zeros(len(x) + 1, np.int64)
-        hit = np.flatnonzero(goes[start : start + len(h)])
-        np.add.at(edge, hit, 1)
-        np.add.at(edge, hit + window, -1)
-        out.append(np.cumsum(edge[:-1]) > 0)
-        start += len(h)
+    edge = np.zeros(len(ids) + 1, np.int64)
+    edge[at[goes]] += 1
+    edge[at[goes] + window] -= 1
+    parts = np.split(np.cumsum(edge[:-1]) > 0, np.cumsum(np.bincount(row, minlength=len(keys)))[:-1])
+    out = [parts[0]] * len(keys)
+    for i, part in zip(order, parts):
+        out[i] = part
     return out
 
 
@@ -212,11 +249,9 @@ def _finish(window: int, id_at: str, text_at: str, schema: pa.Schema, digest: bo
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return schema.empty_table()
-        known = _Ids()
         texts, keys = docs.column(text_at), docs.column(id_at).to_pylist()
-        ids = [_ids(known, t.as_py()) for t in texts]
         labels = [_values(x.as_py()) for x in told.column("labels")]
-        gone = removed_words(ids, keys, np.concatenate(labels) if labels else np.zeros(0, np.uint64), window)
+        gone = removed_words(texts, keys, np.concatenate(labels) if labels else np.zeros(0, np.uint64), window)
         if digest:
             kept = [b" ".join(compress((t.as_py() or b"").split(), (~g).tolist())) for t, g in zip(texts, gone)]
             return pa.table([docs.column(id_at), pa.array([len(g) for g in gone], pa.int64()), pa.array([int(g.sum()) for g in gone], pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept])], schema=schema)
