@@ -10,6 +10,7 @@ OPERATORS = [
     ("simhash", "op4_simhash"),
     ("url_reputation", "op7_url_reputation"),
     ("sharding", "op5_sharding"),
+    ("quality_knn", "op8_quality_knn"),
     ("substring", "op9_substring"),
     ("packing", "op10_packing"),
 ]
