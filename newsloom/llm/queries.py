@@ -6,8 +6,10 @@ from importlib import import_module
 
 #: Operator module and the name of its query.
 OPERATORS = [
+    ("topk_search", "op1_topk_search"),
     ("mixing", "op3_mixing"),
     ("simhash", "op4_simhash"),
+    ("ann_forest", "op6_ann_forest"),
     ("url_reputation", "op7_url_reputation"),
     ("sharding", "op5_sharding"),
     ("quality_knn", "op8_quality_knn"),
