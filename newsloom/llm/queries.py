@@ -7,6 +7,7 @@ from importlib import import_module
 #: Operator module and the name of its query.
 OPERATORS = [
     ("topk_search", "op1_topk_search"),
+    ("html_extract", "op2_html_extract"),
     ("mixing", "op3_mixing"),
     ("simhash", "op4_simhash"),
     ("ann_forest", "op6_ann_forest"),
