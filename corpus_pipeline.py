@@ -1,9 +1,62 @@
-"""Documents to packed training bins: five stages, each written as Parquet and read again before the next."""
+"""Documents to packed training bins: five stages, each written as Parquet and read again before the next.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir), works on all that its predecessor kept and, but for the last, returns the columns of
+documents. Documents without id: a group of near-duplicates without any id keeps all of its rows; else they count as copies of
+those with ids. Rows that repeat an id: one stays.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from newsloom.llm.common import table, written
+from newsloom.llm.mixing import mixed
+from newsloom.llm.packing import packed
+from newsloom.llm.quality_knn import scored
+from newsloom.llm.simhash import near_duplicates
+from newsloom.llm.substring import deduplicated
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the classifier accepts."""
+    return scored(docs, table(spark, sf_dir, "labels")).filter("predicted = 1").select(docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of every group of near-duplicates."""
+    kept = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = written(kept.groupBy("doc_id").count())
+    if kept.filter("count > 1 and doc_id is not null").head(1):
+        docs = docs.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
+    kept = kept.select(F.col("doc_id").alias("_kept"))
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").select(docs.columns)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document without the passages that a smaller id holds; n_chars follows."""
+    out = deduplicated(docs)
+    return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix uses it."""
+    out = mixed(docs).filter("copies > 0")
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in bins."""
+    return packed(docs)
+
+
+STAGES = [("quality classifier", quality), ("near-duplicates", one_of_each), ("substring dedup", passages), ("mixing", mix), ("packing", pack)]
+#: Hashes, seeded orders and a trained model: not for SQL; tests compare each stage with a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir))
     return docs
