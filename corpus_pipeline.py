@@ -10,13 +10,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import table, written
+from newsloom.llm.common import small_enough, table, written
 from newsloom.llm.mixing import mixed
 from newsloom.llm.packing import packed
 from newsloom.llm.quality_knn import scored
 from newsloom.llm.simhash import near_duplicates
 from newsloom.llm.substring import deduplicated
 
+#: Ids of kept documents that are broadcast at most: some 30 MB.
+KEPT = 500_000
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the classifier accepts."""
@@ -27,10 +30,12 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of every group of near-duplicates."""
     kept = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = written(kept.groupBy("doc_id").count())
+    named, nameless = docs.filter("doc_id is not null"), docs.filter("doc_id is null")
     if kept.filter("count > 1 and doc_id is not null").head(1):
-        docs = docs.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
-    kept = kept.select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").select(docs.columns)
+        named = named.dropDuplicates(["doc_id"])
+    # up to KEPT ids are broadcast, which saves the texts a shuffle; more are joined by a shuffle
+    out = named.join(small_enough(kept.select("doc_id").filter("doc_id is not null"), KEPT), "doc_id", "left_semi")
+    return (out.unionByName(nameless) if kept.filter("doc_id is null").head(1) else out).select(docs.columns)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
