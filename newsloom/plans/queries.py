@@ -206,14 +206,14 @@ def greedy_dedupe(spark, sf_dir):
 _DAY_SQL = "((ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/Sao_Paulo')::DATE"
 
 
-@query(f"SELECT event_id, {_DAY_SQL} AS local_day, (row_number() OVER (PARTITION BY {_DAY_SQL} ORDER BY value DESC, event_id))::INTEGER AS place FROM events QUALIFY row_number() OVER (PARTITION BY {_DAY_SQL} ORDER BY value DESC, event_id) <= 72")
+@query(f"SELECT event_id, {_DAY_SQL}::VARCHAR AS local_day, (row_number() OVER (PARTITION BY {_DAY_SQL} ORDER BY value DESC, event_id))::INTEGER AS place FROM events QUALIFY row_number() OVER (PARTITION BY {_DAY_SQL} ORDER BY value DESC, event_id) <= 72")
 def daily_quota(spark, sf_dir):
-    return select.daily_quota(read(spark, sf_dir, "events"), "ts", [F.desc("value"), "event_id"], 72).select("event_id", "local_day", "place")
+    return select.daily_quota(read(spark, sf_dir, "events"), "ts", [F.desc("value"), "event_id"], 72).select("event_id", F.col("local_day").cast("string").alias("local_day"), "place")
 
 
-@query(f"SELECT {_DAY_SQL} AS local_day, count(*) AS sent FROM events GROUP BY 1")
+@query(f"SELECT {_DAY_SQL}::VARCHAR AS local_day, count(*) AS sent FROM events GROUP BY 1")
 def sent_by_day(spark, sf_dir):
-    return read(spark, sf_dir, "events").groupBy(dates.local_day(F.col("ts")).alias("local_day")).agg(F.count(F.lit(1)).alias("sent"))
+    return read(spark, sf_dir, "events").groupBy(dates.local_day(F.col("ts")).cast("string").alias("local_day")).agg(F.count(F.lit(1)).alias("sent"))
 
 
 @query(f"SELECT least(3, greatest(0, 72 - count(*)))::INTEGER AS allowed, count(*) AS sent FROM events WHERE {_DAY_SQL} = DATE '2024-01-29'")

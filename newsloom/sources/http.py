@@ -32,7 +32,7 @@ def fetched(url: str, timeout: float = 12.0, retries: int = 1, headers: dict | N
         asked = None
         try:
             with opener(urllib.request.Request(url, headers=headers or {}), timeout=timeout) as r:
-                return r.status, r.headers.get("content-type", ""), r.read()
+                return r.status or 200, r.headers.get("content-type", ""), r.read()
         except urllib.error.HTTPError as e:
             if e.code not in RETRY or attempt == retries:
                 return e.code, e.headers.get("content-type", "") if e.headers else "", e.read() if e.fp else b""
