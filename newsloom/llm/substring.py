@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from .common import table
 
 WINDOW = 13
-GROUP, BLOCK, BUCKETS = 2_000_000, 1_000_000, 1 << 14
+GROUP, BLOCK, BUCKETS = 2_000_000, 500_000, 1 << 14
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -49,7 +49,7 @@ def _hashed(values: np.ndarray) -> np.ndarray:
 
 LETTER = _hashed(np.arange(1, 257, dtype=np.uint64) * FACTOR)
 BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
-PIECE = 1 << 20
+PIECE = 1 << 18
 RADIX = 0x2545F4914F6CDD1D
 
 
