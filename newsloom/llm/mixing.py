@@ -6,8 +6,8 @@ repetition, at convex costs (1, 3, 9, ...: a first use is cheapest), and a sourc
 node for each pattern and source and is solved exactly on the driver; its size is that of the pattern table, which is
 refused beyond MAX_PATTERNS. Selection is distributed: a pattern that gives r times its words uses every document floor(r)
 times and once more those that come first in a seeded order, up to the words left; one more document, that which best fits
-what then lacks, follows. The cut is found from a histogram of the seeded order, so only the documents of one of BUCKETS
-buckets a pattern are ever ordered against each other.
+what then lacks, follows. The cut is found from a histogram of the seeded order in two levels, so only the documents of one of
+BUCKETS buckets a pattern are ever ordered against each other.
 
 Null and blank texts have size 0 and are taken 0 words. A null source is a source of its own, after the others. Null doc_id:
 has its place in the seeded order by its text. Rows equal in id and text are used alike. Empty table: no rows. Other columns pass through
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import small_enough, table, word_count, written
 
-REPEATS, SEED, BUCKETS, MAX_PATTERNS = 3, 42, 1 << 14, 100_000
+REPEATS, SEED, BUCKETS, COARSE, MAX_PATTERNS = 3, 42, 1 << 14, 1 << 7, 100_000
 
 
 def quotas(sizes: list[int], weights: list[float], repeats: int = REPEATS) -> list[Fraction]:
@@ -120,11 +120,21 @@ def mixed(docs: DataFrame, weights=None, id_col: str = "doc_id", text_col: str =
     plan = [(of, n, float(target[at[of[0]]]) if not many else float(g), g // n if n else 0, g % n if n else 0) for (of, n), g in zip(held, gives)]
     spark = docs.sparkSession
     plan = spark.createDataFrame(plan, "_of array<string>, source_size long, target double, _whole long, _rest long")
-    # the bucket of each pattern in which the words left over end
-    hist = slim.groupBy("_of", "_b").agg(F.sum("size").alias("_n")).join(F.broadcast(plan.select("_of", "_rest")), "_of")
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_of").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cut = hist.withColumn("_before", before).filter("_before < _rest and _before + _n >= _rest").select("_of", F.col("_b").alias("_cut"), "_before", "_rest")
-    cut = written(cut)
+    # where the words left over end: first among coarse buckets, then among the fine ones of that bucket, so no window holds
+    # more than COARSE rows a pattern
+    fine = buckets // COARSE
+
+    def crossing(hist: DataFrame, at: str, *keep: str) -> DataFrame:
+        """The bucket of each pattern at which the running size passes _rest, with what is before it."""
+        running = F.col("_base") + F.coalesce(F.sum("_n").over(Window.partitionBy("_of").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        return hist.withColumn("_before", running).filter("_before < _rest and _before + _n >= _rest").select("_of", F.col(at).alias(f"{at}_cut"), *keep, "_before", "_rest")
+
+    rest = F.broadcast(plan.select("_of", "_rest"))
+    coarse = slim.groupBy("_of", F.floor(F.col("_b") / fine).alias("_hi")).agg(F.sum("size").alias("_n")).join(rest, "_of").withColumn("_base", F.lit(0).cast("long"))
+    coarse = written(crossing(coarse, "_hi"))
+    inner = slim.join(F.broadcast(coarse), "_of").filter(F.floor(F.col("_b") / fine) == F.col("_hi_cut"))
+    inner = inner.groupBy("_of", "_b", F.col("_before").alias("_base"), "_rest").agg(F.sum("size").alias("_n"))
+    cut = written(crossing(inner, "_b").withColumnRenamed("_b_cut", "_cut"))
     # whole units up to the cut, then the one unit of the others whose size is nearest to the gap, if that lessens it
     units = slim.filter("size > 0").join(F.broadcast(cut), "_of").filter("_b >= _cut").groupBy("_of", "_u", "_b", "_cut", "_before", "_rest").agg(F.sum("size").alias("size"))
     edge = units.filter("_b = _cut").withColumn("_end", F.col("_before") + F.sum("size").over(Window.partitionBy("_of").orderBy("_u").rowsBetween(Window.unboundedPreceding, 0)))
