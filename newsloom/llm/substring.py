@@ -10,7 +10,7 @@ sequence that occurs again. Four steps:
    (64-bit rolling hashes of 13 words) of its suffixes, once each: a passage that stands in a third of all documents is one
    label a block. Equal windows have equal prefixes, so they share a group; labels are told apart within a prefix leaf.
 3. A group's sorted labels are the leaf order of its subtree; a run of equal labels is a deep inner node. Its first block
-   keeps it, each later block (larger doc_ids) is told.
+   keeps it, each later block (larger doc_ids) is told. Rows without id are dealt to several blocks of one, the last, rank.
 4. Each block marks the windows that it was told of and those that a smaller doc_id of its own holds. Covering windows merge
    to maximal repeats, whose words go.
 
@@ -38,6 +38,8 @@ from .common import table
 
 WINDOW = 13
 GROUP, BLOCK, BUCKETS = 2_000_000, 500_000, 1 << 14
+#: A block's number is its rank by doc_id and, in the low bits, a part of the rows without id, which are all of one rank.
+SPLIT = 20
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -162,7 +164,7 @@ def _prefix_groups(counts: dict[int, np.ndarray], group: int) -> dict[int, np.nd
 
 
 def _blocks(docs: DataFrame, id_col: str, text_col: str, window: int, group: int, block: int, buckets: int):
-    """Prefix groups and the doc_ids at which blocks begin."""
+    """Prefix groups, the doc_ids at which blocks begin, and the number of blocks of rows without id."""
     approx = docs.count() // 64
     parts = int(min(4096, max(1, approx)))
     cuts = sorted(set(docs.approxQuantile(id_col, [i / parts for i in range(1, parts)], 0.25 / parts))) if parts > 1 else []
@@ -176,7 +178,7 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, window: int, group: int
         total += int(words[i])
         if total >= block:
             begins, total = [*begins, cut], 0
-    return _prefix_groups(counts, group), begins
+    return _prefix_groups(counts, group), begins, min((1 << SPLIT) - 1, 1 + int(words[-1]) // block)
 
 
 def _hand_out(window: int, groups: dict[int, np.ndarray], text_at: str):
@@ -207,7 +209,9 @@ def _inner_nodes(part: pa.Table) -> pa.Table:
     label = np.concatenate(labels)
     sort = np.argsort(label, kind="stable")
     label, at = label[sort], at[sort]
-    again = np.concatenate(([False], label[1:] == label[:-1]))
+    first = np.flatnonzero(np.concatenate(([True], label[1:] != label[:-1])))
+    rank = blocks[at] >> SPLIT
+    again = rank > np.repeat(rank[first], np.diff(first, append=len(label)))
     label, at = label[again], at[again]
     sort = np.argsort(at, kind="stable")
     label, at = label[sort], at[sort]
@@ -270,7 +274,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         docs = docs.select(id_col, text_col)
     elif {"n_words", "n_removed"} & set(docs.columns):
         docs = docs.drop("n_words", "n_removed")
-    groups, begins = _blocks(docs, id_col, text_col, window, group, block, buckets)
+    groups, begins, parts = _blocks(docs, id_col, text_col, window, group, block, buckets)
     last = len(begins) + 1
 
     @F.pandas_udf("long")
@@ -278,7 +282,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return ids.map(lambda k: k, na_action="ignore").pipe(lambda s: s.where(s.isna(), np.searchsorted(np.array(begins, np.int64), s.fillna(0).astype("int64"), "right"))).fillna(last).astype("int64")
 
     schema = T.StructType([f for f in docs.schema.fields])
-    dealt = docs.withColumn(text_col, F.col(text_col).cast("binary")).withColumn("_block", at(F.col(id_col).cast("long")))
+    part = F.when(F.col(id_col).isNull(), F.pmod(F.xxhash64(text_col), F.lit(parts))).otherwise(F.lit(0))
+    dealt = docs.withColumn("_block", F.shiftleft(at(F.col(id_col).cast("long")), SPLIT) + part).withColumn(text_col, F.col(text_col).cast("binary"))
     handed = dealt.groupBy("_block").applyInArrow(_hand_out(window, groups, text_col), "grp long, block long, labels binary")
     told = handed.groupBy("grp").applyInArrow(_inner_nodes, "block long, labels binary").withColumnRenamed("block", "_block")
     if digest:

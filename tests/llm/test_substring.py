@@ -51,3 +51,10 @@ def test_texts_keep_what_is_left(spark):
     got = {r.doc_id: (r.text, r.lang, r.n_removed) for r in substring.deduplicated(docs, window=5).collect()}
     assert got == {1: ("a b c d e\nf g", "en", 0), 2: ("x\ny z", "en", 5), 3: (None, None, 0)}
     assert substring.deduplicated(docs.limit(0)).count() == 0
+
+
+def test_many_rows_without_id(spark):
+    rows = [(None if i % 3 else i, t) for i, t in enumerate(t for _, t in rows_of(9, 200))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in substring.deduplicated(docs, window=5, digest=True, group=100, block=60).collect())
+    assert got == sorted((str(k), *x) for (k, _), x in zip(rows, brute(rows, 5)))
