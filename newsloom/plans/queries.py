@@ -335,7 +335,7 @@ def radar_run(spark, sf_dir):
     history = document_history(items).select([f.name for f in SEEN.fields])
     result = run(items.withColumn("raw_text", F.lit("")), history, RUN_AT, CONFIG, SYNTHETIC)
     c = F.col("classification")
-    return result.selected.select("item_ord", "title", "url", "published_at", c["category"].alias("category"), c["score"].alias("score"))
+    return result.selected.select("item_ord", "title", "url", F.unix_timestamp("published_at").alias("published"), c["category"].alias("category"), c["score"].alias("score"))
 
 
 @query("SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY event_type")
