@@ -143,10 +143,13 @@ def mixed(docs: DataFrame, weights=None, id_col: str = "doc_id", text_col: str =
     others = units.join(F.broadcast(gaps.filter("_gap > 0")), "_of").join(edge.filter("_in").select("_of", "_u"), ["_of", "_u"], "left_anti")
     best = others.groupBy("_of").agg(F.min(F.struct(F.abs(F.col("size") - F.col("_gap")).alias("_off"), "_u", "_gap")).alias("_best")).filter("_best._off < _best._gap")
     chosen = written(edge.filter("_in").select("_of", "_u").union(best.select("_of", "_best._u")).withColumn("_more", F.lit(1)))
-    rows = slim if set(docs.columns) <= {id_col, source_col, text_col} else base
+    alone = set(docs.columns) <= {id_col, source_col, text_col}
+    rows = slim if alone else base
+    # with the texts at hand, whether there is a word is cheaper to see than how many; unused sizes are then not counted again
+    worded = F.col("size") > 0 if alone else F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     rows = rows.join(F.broadcast(plan.join(cut.select("_of", "_cut"), "_of", "left")), "_of").join(small_enough(chosen, 100_000), ["_of", "_u"], "left")
     more = F.coalesce((F.col("_b") < F.col("_cut")).cast("long"), F.lit(0)) + F.coalesce("_more", F.lit(0))
-    rows = rows.withColumn("copies", F.when(F.col("size") > 0, F.col("_whole") + more).otherwise(F.lit(0)))
+    rows = rows.withColumn("copies", F.when(worded, F.col("_whole") + more).otherwise(F.lit(0)))
     return rows.withColumn("taken", F.col("copies") * F.col("size")).select(*[c for c in docs.columns if c in rows.columns], *own)
 
 
