@@ -94,9 +94,9 @@ class Forest:
 
 
 def fitted_reach(x: np.ndarray, centre: np.ndarray, length: int, k: int, trees: int = TREES, aim: float = AIM) -> float:
-    """Share of a slice that the ascent must reach to meet a part `aim` of true neighbours; 2 stands for the root."""
+    """Share of a slice that the ascent must reach (matches of all trees added up) to meet a part `aim` of true neighbours; infinity is the root."""
     if len(x) <= k + 1:
-        return 2.0
+        return math.inf
     forest, asks = Forest(x, centre, length, trees), np.arange(0, len(x), max(1, len(x) // QUERIES))
     strings = forest.strings(x[asks])
     first, end = forest.spans(strings)
@@ -117,7 +117,7 @@ def fitted_reach(x: np.ndarray, centre: np.ndarray, length: int, k: int, trees:
             d = forest.length - back
             need.append(n[d, : t + 1, i].sum() + (n[d + 1, t + 1 :, i].sum() if d < forest.length else 0))
     need = sorted(need)[max(0, math.ceil(aim * len(need)) - 1)]
-    return 2.0 if need == math.inf else float(need) / len(x)
+    return float(need) / len(x)
 
 
 def search(df: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = TREES, reach: float | None = None) -> DataFrame:

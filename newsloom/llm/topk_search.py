@@ -32,6 +32,8 @@ from .vectors import clean, matrix, merged
 
 K, SCALE, EVERY = 20, 64, 20
 BLOCK, SLICE, MOST_PIVOTS, SEED = 4096, 65_536, 256, 42
+#: Scaled components beyond this are held at it, so that sums of products stay whole numbers of 64 bits.
+MOST = float(1 << 27)
 
 
 def _best(queries: np.ndarray, qid: np.ndarray, data: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -56,7 +58,7 @@ def _best(queries: np.ndarray, qid: np.ndarray, data: np.ndarray, ids: np.ndarra
 def search(df: DataFrame, is_query, k: int = K, scale: int = SCALE, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK, slice_rows: int = SLICE) -> DataFrame:
     """query_id, rank, vec_id, score: for each row that `is_query` (a condition on vec_id) names, its k largest products."""
     spark = df.sparkSession
-    rows = clean(df, id_col, vector_col).select("vec_id", F.transform("v", lambda x: F.floor(x * scale).cast("long")).alias("v"))
+    rows = clean(df, id_col, vector_col).select("vec_id", F.transform("v", lambda x: F.floor(F.greatest(F.least(x * scale, F.lit(MOST)), F.lit(-MOST))).cast("long")).alias("v"))
     rows = written(rows.withColumn("asks", is_query(F.col("vec_id"))))
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
     n, asked, width, far = rows.agg(F.count(F.lit(1)), F.count_if("asks"), F.max(F.size("v")), F.max(norm)).first()

@@ -34,6 +34,14 @@ def test_exact_search_against_brute_force(spark):
     assert topk_search.search(frame.limit(0), lambda i: i % 20 == 0).count() == 0
 
 
+def test_huge_components(spark):
+    frame = spark.createDataFrame([(0, [1e300, 1.0]), (20, [-1e300, 2.0]), (3, [0.5, 0.5]), (4, [1e9, -1e9])], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk_search.search(frame, lambda i: i % 20 == 0).collect()}
+    most = 1 << 27
+    assert got[0, 1] == (4, most * most - 64 * most) and got[20, 2] == (0, -most * most + 64 * 128) and got[20, 3] == (4, -most * most - 128 * most)
+    assert len(got) == 6 and ann_forest.search(frame, lambda i: i % 20 == 0).count() == 6
+
+
 def test_rows_beyond_the_bound_are_not_handed_over(spark):
     # two far clusters of very different norms: a block of one needs few rows of the other
     rng = np.random.default_rng(0)
@@ -69,7 +77,7 @@ def test_forest_recall_and_distances(spark):
 def test_forest_odd_rows(spark):
     frame, rows = odd_frame(spark)
     kept = whole(rows, False)
-    got = ann_forest.search(frame, lambda i: i % 20 == 0, reach=2.0).collect()
+    got = ann_forest.search(frame, lambda i: i % 20 == 0, reach=math.inf).collect()
     want = set()
     for q in (i for i in kept if i % 20 == 0):
         best = sorted((float(np.sqrt(((kept[q] - v) ** 2).sum())), i) for i, v in kept.items() if i != q)[:10]
