@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import filled, for_match, whitespace
 from ..functions.urls import is_official
+from ..sources.tables import spread
 from .rules import CONSORTIA, GENERAL, GENERAL_MARK, REJECTED, RuleSet, java
 
 GAZETTE, GAZETTE_LIMIT, LIMIT = "gazette", 1200, 1800
@@ -88,11 +89,14 @@ def classification(rules: RuleSet = CONSORTIA, kind="kind", title="title", summa
 
 
 def classified(items: DataFrame, rules: RuleSet = CONSORTIA) -> DataFrame:
+    """items with their classification."""
     have = set(items.columns)
     for c, kind in (("kind", "string"), ("raw_text", "string"), ("excerpts", "array<string>"), ("source_url", "string"), ("url", "string"), ("summary", "string")):
         if c not in have:
             items = items.withColumn(c, F.lit(None).cast(kind))
-    return items.withColumn("classification", classification(rules))
+    # a one-row generator, not a projection: filters on its result would otherwise be pushed below and work it out again
+    rest = [c for c in items.columns if c != "classification"]
+    return spread(items).select(*rest, F.explode(F.array(classification(rules))).alias("classification"))
 
 
 def is_publishable(minimum: int = 5) -> Column:

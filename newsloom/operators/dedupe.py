@@ -70,6 +70,8 @@ def first_of_each_event(items: DataFrame, order: list, least: float = SIMILAR, r
     columns = items.columns
     group = F.sha2(F.concat_ws("\u0001", F.coalesce("category", F.lit("\u0002")), F.array_join("content_tokens", " ")), 256)
     rows = written(items.withColumns({"_rank": F.struct(*order), "_set": group}))
+    if not rows.head(1):
+        return rows.select(columns)
     sets = rows.filter(F.size("content_tokens") > 0).groupBy(F.col("_set").alias("key")).agg(F.first("category").alias("category"), F.first("content_tokens").alias("tokens"))
     near = written(similar_sets(sets, sets.filter(F.size("tokens") >= LEAST_TOKENS), least).filter("a_key <> b_key").select("a_key", "b_key"))
     state = written(rows.select("_rank", "_set", "title_fingerprint", F.size("content_tokens").alias("_n"), F.lit(0).alias("_state")))  # 0 open, 1 kept, 2 dropped

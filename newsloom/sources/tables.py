@@ -35,3 +35,9 @@ def written(df: DataFrame) -> DataFrame:
 def small_enough(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """Marked for broadcast if it has at most `rows` rows, else for a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where it comes in fewer partitions (a small file that cannot be split) and costly work follows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
