@@ -20,7 +20,7 @@ def work_folder(spark: SparkSession) -> str:
     said = spark.conf.get("spark.checkpoint.dir", None)
     if said:
         return said.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local["):
         return f"file://{tempfile.gettempdir()}/radar-{spark.sparkContext.applicationId}"
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/radar-work"
 
