@@ -56,25 +56,21 @@ def word_count(text) -> F.Column:
     return F.when(plain == "", F.lit(0)).otherwise(F.length(plain) - F.length(F.translate(plain, " ", "")) + 1).cast("long")
 
 
-def prefix_sums(df: DataFrame, order: list[str], value: str, whole: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
+def prefix_sums(df: DataFrame, order: list[str], value: str, whole: list[str] | None = None) -> DataFrame:
     """Add `row_no` (0-based) and `sum_before` (sum of `value` over earlier rows) in the total order `order`.
 
     Range partitions are sorted alone; their totals (one row a partition) are summed and handed back, so no task holds
-    more than its own range. `by` restarts both columns at each combination of these columns, which must lead `order`.
-    Rows equal in `whole` (leading columns of `order`, default: all) share a partition. The result is a written table.
+    more than its own range. Rows equal in `whole` (leading columns of `order`, default: all) share a partition. The local
+    sums are a written table, so partition numbers stay what they were.
     """
-    by = by or []
     ranged = df.repartitionByRange(*[F.col(c) for c in whole or order]).withColumn("_pid", F.spark_partition_id())
-    own = Window.partitionBy("_pid", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = written(ranged.withColumns({"_n": F.row_number().over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("long"), "_s": F.sum(value).over(own)}))
-    totals = local.groupBy("_pid", *by).agg(F.count(F.lit(1)).alias("_rows"), F.sum(value).alias("_sum"))
-    earlier = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_pid", *by, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_r0"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_s0"))
-    # one row for each partition (and key that it holds)
-    offsets = offsets.select([F.col(c).alias(f"_o{c}") for c in ("_pid", *by)] + ["_r0", "_s0"])
-    on = [F.col(c).eqNullSafe(F.col(f"_o{c}")) for c in ("_pid", *by)]
-    out = local.join(offsets, on, "left")
-    return out.withColumns({"row_no": F.col("_r0") + F.col("_n") - 1, "sum_before": F.col("_s0") + F.col("_s") - F.col(value)}).drop("_pid", "_n", "_s", "_r0", "_s0", *[f"_o{c}" for c in ("_pid", *by)])
+    own = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = written(ranged.withColumns({"_n": F.row_number().over(own).cast("long"), "_s": F.sum(value).over(own)}))
+    totals = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_rows"), F.sum(value).alias("_sum"))
+    earlier = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_pid", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_r0"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_s0"))
+    out = local.join(offsets, "_pid")
+    return out.withColumns({"row_no": F.col("_r0") + F.col("_n") - 1, "sum_before": F.col("_s0") + F.col("_s") - F.col(value)}).drop("_pid", "_n", "_s", "_r0", "_s0")
 
 
 def small_enough(df: DataFrame, rows: int) -> DataFrame:
