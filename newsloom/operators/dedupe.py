@@ -43,11 +43,19 @@ def _prefixes(sets: DataFrame, order: DataFrame, least: float) -> DataFrame:
     return rows.select("key", "category", "size", "tokens", F.explode(F.slice("ranked", F.lit(1), length)["token"]).alias("token"))
 
 
-def similar_sets(left: DataFrame, right: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """(left key, right key, similarity) of sets of one category with Jaccard at least `least`. Sets: key, category, tokens."""
-    both = left.select("tokens").union(right.select("tokens"))
+def similar_sets(left: DataFrame, right: DataFrame | None = None, least: float = SIMILAR, smallest: int = 1) -> DataFrame:
+    """(left key, right key, similarity) of sets of one category with Jaccard at least `least`. Sets: key, category, tokens.
+
+    Without `right`, the sets of `left` are compared with those among them that have `smallest` tokens or more.
+    """
+    both = left.select("tokens") if right is None else left.select("tokens").union(right.select("tokens"))
     order = both.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    a, b = (_prefixes(s, order, least).select([F.col(c).alias(f"{side}_{c}") for c in ("key", "category", "size", "tokens", "token")]) for s, side in ((left, "a"), (right, "b")))
+    if right is None:
+        one = written(_prefixes(left, order, least))
+        sides = one, one.filter(F.col("size") >= smallest)
+    else:
+        sides = _prefixes(left, order, least), _prefixes(right, order, least)
+    a, b = (x.select([F.col(c).alias(f"{side}_{c}") for c in ("key", "category", "size", "tokens", "token")]) for x, side in zip(sides, "ab"))
     on = F.col("a_category").eqNullSafe(F.col("b_category")) & (F.col("a_token") == F.col("b_token")) & (F.col("a_size") >= F.col("b_size") * least - 1e-9) & (F.col("b_size") >= F.col("a_size") * least - 1e-9)
     found = a.join(b, on).withColumn("similarity", jaccard(F.col("a_tokens"), F.col("b_tokens"))).filter(F.col("similarity") >= least)
     return found.groupBy("a_key", "b_key").agg(F.first("similarity").alias("similarity"))
@@ -73,7 +81,7 @@ def first_of_each_event(items: DataFrame, order: list, least: float = SIMILAR, r
     if not rows.head(1):
         return rows.select(columns)
     sets = rows.filter(F.size("content_tokens") > 0).groupBy(F.col("_set").alias("key")).agg(F.first("category").alias("category"), F.first("content_tokens").alias("tokens"))
-    near = written(similar_sets(sets, sets.filter(F.size("tokens") >= LEAST_TOKENS), least).filter("a_key <> b_key").select("a_key", "b_key"))
+    near = written(similar_sets(sets, least=least, smallest=LEAST_TOKENS).filter("a_key <> b_key").select("a_key", "b_key"))
     state = written(rows.select("_rank", "_set", "title_fingerprint", F.size("content_tokens").alias("_n"), F.lit(0).alias("_state")))  # 0 open, 1 kept, 2 dropped
     first = lambda s: F.min(F.when(F.col("_state") == s, F.col("_rank")))
     for _ in range(rounds):

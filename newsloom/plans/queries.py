@@ -180,7 +180,7 @@ def _token_sets(spark, sf_dir) -> DataFrame:
 def jaccard_pairs(spark, sf_dir):
     """Similar pairs of different token sets; equal sets stand for their smallest id."""
     sets = written(_token_sets(spark, sf_dir).groupBy("category", "tokens").agg(F.min("key").alias("key")))
-    return dedupe.similar_sets(sets, sets).filter("a_key < b_key").select(F.col("a_key").alias("a"), F.col("b_key").alias("b"), F.round("similarity", 9).alias("similarity"))
+    return dedupe.similar_sets(sets).filter("a_key < b_key").select(F.col("a_key").alias("a"), F.col("b_key").alias("b"), F.round("similarity", 9).alias("similarity"))
 
 
 @query(f"WITH {ITEMS_SQL}, {_TOKENS_SQL} SELECT id FROM items WHERE id % 7 <> 1 AND NOT EXISTS (SELECT 1 FROM pairs WHERE a = items.id AND b % 7 = 1 AND nb >= {similarity.LEAST_TOKENS})")
