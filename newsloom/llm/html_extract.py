@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame
 
 from .common import table
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|[^<]+|<", re.S)
+#: Comment, declaration, tag with whole quoted values, any other tag, text. Possessive, so a tag that is not closed is tried once.
+TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>|[^<]++|<""", re.S)
 NAMED = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden|aria-label)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 
 # Elements of HTML by their part in a page, and names that sites give to elements.
@@ -100,8 +101,12 @@ def blocks_of(page: str) -> list[Block]:
         if link_at > len(stack):
             link_at = -1
 
-    at = 0
-    while m := TOKEN.match(page, at):
+    at, last = 0, page.rfind(">") + 1
+    while at < len(page):
+        m = TOKEN.match(page, at) if at < last else None
+        if not m:  # no tag can end after here; one that begins is not text
+            text.append(re.split("<[a-zA-Z/!?]", page[at:], maxsplit=1)[0])
+            break
         at = m.end()
         tag = m[2] or m[5]
         if not tag:

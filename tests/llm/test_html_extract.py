@@ -37,6 +37,8 @@ def test_page_without_semantic_elements():
 
 def test_unclosed_elements():
     assert h.main_text(f"<nav><a href=1>x</a><article><h1>A b<p><b>{LONG}<br><p>{LONG}</article><footer>f") == f"A b\n{LONG}\n{LONG}"
+    assert h.main_text(f"<p>{LONG}</p><p>{LONG} 1 < 2<a href='x") == f"{LONG}\n{LONG} 1 < 2"
+    assert h.main_text(f"<p title='a>b'>{LONG}</p>" + "<a href='x " * 3000) == LONG
     assert h.main_text("<script>" + "x" * 100) == "" and h.main_text(None) == ""
 
 
