@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import table
+from .substring import word_ids
 
 SAMPLE, RANK, NEAREST, POWER, SEED, CUT = 3000, 48, 15, 8, 42, 0.3
 MARKS = b" \n.,!?|$%&*#:;-'\"()/=<>@_"
@@ -85,14 +86,14 @@ def term_counts(column: pa.Array) -> np.ndarray:
                 term = term * base + c[i : i + m]
             keep = row[:m] == row[k - 1 : k - 1 + m]
             out[:, step : step + base**k] += np.bincount(row[:m][keep] * base**k + term[keep], minlength=n * base**k).reshape(n, -1)
-    for i in range(n):
-        words = data[edge[i] : edge[i + 1]].tobytes().split()
-        if words:
-            ids = np.fromiter(map(hash, words), np.int64, len(words))
-            again = np.count_nonzero(ids[1:] == ids[:-1]) / len(words)
-            held = 1 - len(set(words)) / len(words)
-            for at, share in ((TERMS - 2 * STEPS, again), (TERMS - STEPS, held)):
-                out[i, at + min(STEPS - 1, int(share * STEPS))] = len(words)
+    ids, row = word_ids(column)
+    words = np.bincount(row, minlength=n)
+    again = np.bincount(row[1:][(ids[1:] == ids[:-1]) & (row[1:] == row[:-1])], minlength=n)
+    order = np.lexsort((ids, row))
+    held = np.bincount(row[order][1:][(ids[order][1:] == ids[order][:-1]) & (row[order][1:] == row[order][:-1])], minlength=n)
+    some = np.flatnonzero(words)
+    for at, times in ((TERMS - 2 * STEPS, again), (TERMS - STEPS, held)):
+        out[some, at + np.minimum(STEPS - 1, times[some] * STEPS // words[some])] = words[some]
     return out
 
 

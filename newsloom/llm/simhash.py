@@ -18,6 +18,7 @@ columns are not read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,24 +34,44 @@ SEGMENTS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
 #: Index rows and asking rows of one key that may meet in one group.
 BLOCK = 20_000
 PAIRS = 2_000_000
+PIECE = 1 << 19
+BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def fingerprint(text: bytes | None, words: int = WORDS, seed: int = SEED) -> int:
-    """Signed 64-bit SimHash of the word shingles of a UTF-8 text."""
+def _pieces(text: bytes, size: int) -> Iterator[bytes]:
+    """A text in pieces of about `size` bytes, cut at white space."""
+    at = 0
+    while at < len(text):
+        cut = BLANK.search(text, min(len(text), at + size))
+        end = cut.start() if cut else len(text)
+        yield text[at:end]
+        at = end
+
+
+def fingerprint(text: bytes | None, words: int = WORDS, seed: int = SEED, piece: int = PIECE) -> int:
+    """Signed 64-bit SimHash of the word shingles of a UTF-8 text; a very long text is never held as words at once."""
     from xxhash import xxh64_intdigest
 
-    found = (text or b"").lower().split()
-    if not found:
-        return 0
-    joined, n = b" ".join(found), max(1, len(found) - words + 1)
+    counts, n, tail = np.zeros(64, np.int64), 0, []
+    for part in _pieces(text or b"", piece):
+        found = tail + part.lower().split()
+        if len(found) >= words:
+            n += _add(counts, found, words, seed, xxh64_intdigest)
+            found = found[len(found) - words + 1 :]
+        tail = found
+    if not n and tail:
+        n = _add(counts, tail, len(tail), seed, xxh64_intdigest)
+    return int(np.packbits(counts * 2 > n, bitorder="little").view("<i8")[0]) if n else 0
+
+
+def _add(counts: np.ndarray, found: list[bytes], words: int, seed: int, digest) -> int:
+    """Adds the bits of all shingles of `found` to counts; their number."""
+    joined = b" ".join(found)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
-    starts = np.concatenate(([0], ends[:-1]))
-    counts, block = np.zeros(64, np.int64), 100_000
-    for at in range(0, n, block):
-        first, last = starts[at : min(n, at + block)].tolist(), (ends[min(len(found), words) - 1 :] - 1)[at : at + block].tolist()
-        hashes = np.fromiter((xxh64_intdigest(joined[i:j], seed) for i, j in zip(first, last)), "<u8", len(first))
-        counts += np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view("<i8")[0])
+    starts = np.concatenate(([0], ends[:-1]))[: len(found) - words + 1].tolist()
+    hashes = np.fromiter((digest(joined[i:j], seed) for i, j in zip(starts, (ends[words - 1 :] - 1).tolist())), "<u8", len(starts))
+    counts += np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
+    return len(starts)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

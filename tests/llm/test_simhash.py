@@ -46,6 +46,12 @@ def test_whole_table_against_brute_force(spark):
     assert got == want
 
 
+def test_long_texts_in_pieces():
+    texts = ["A bc  d e f g", "a", "a b c", "", " \n", "word " * 300 + "x", "y" * 500 + " z q w"]
+    for t, want in zip(texts, brute(texts)):
+        assert {simhash.fingerprint(t.encode(), piece=n) & (2**64 - 1) for n in (1, 7, 64, 1 << 19)} == {want}
+
+
 def test_links_of_clustered_fingerprints(spark):
     rng = np.random.default_rng(1)
     fps = [int(x) for x in rng.integers(0, 2**63, 40)]
