@@ -167,8 +167,11 @@ def anti_history_exact(spark, sf_dir):
 
 
 _TOKENS_SQL = f"""toks AS (SELECT id, kind, {sql.tokens("title", "summary")} AS t FROM items), sets AS (SELECT id, kind, t, len(t) AS n FROM toks WHERE len(t) > 0),
-each AS (SELECT id, kind, unnest(t) AS w FROM sets), common AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM each a JOIN each b ON a.w = b.w AND a.kind = b.kind AND a.id <> b.id GROUP BY 1, 2),
-pairs AS (SELECT a, b, c / (x.n + y.n - c) AS s, x.n AS na, y.n AS nb FROM common JOIN sets x ON x.id = a JOIN sets y ON y.id = b WHERE c / (x.n + y.n - c) >= {similarity.SIMILAR})"""
+each AS (SELECT id, kind, n, unnest(t) AS w FROM sets),
+common AS (SELECT a.id AS a, b.id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM each a JOIN each b
+  ON a.w = b.w AND a.kind = b.kind AND a.id < b.id AND a.n >= {similarity.SIMILAR} * b.n AND b.n >= {similarity.SIMILAR} * a.n GROUP BY 1, 2),
+near AS (SELECT a, b, c / (na + nb - c) AS s, na, nb FROM common WHERE c / (na + nb - c) >= {similarity.SIMILAR}),
+pairs AS (SELECT a, b, s, na, nb FROM near UNION ALL SELECT b, a, s, nb, na FROM near)"""
 
 
 def _token_sets(spark, sf_dir) -> DataFrame:
