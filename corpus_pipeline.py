@@ -1,8 +1,9 @@
 """Documents to packed training bins: five stages, each written as Parquet and read again before the next.
 
 Every stage takes (spark, docs, sf_dir), works on all that its predecessor kept and, but for the last, returns the columns of
-documents. Documents without id: a group of near-duplicates without any id keeps all of its rows; else they count as copies of
-those with ids. Rows that repeat an id: one stays.
+documents. Near-duplicates are told apart by row, never by doc_id alone: one row of every group stays, of the smallest doc_id, a
+row without id only where no row of the group has one. Rows that repeat an id or an id and a text are copies of each other only
+within a group; different texts under one id all stay.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from newsloom.llm.quality_knn import scored
 from newsloom.llm.simhash import near_duplicates
 from newsloom.llm.substring import deduplicated
 
-#: Ids of kept documents that are broadcast at most: some 30 MB.
+#: Numbers of kept rows that are broadcast at most: some 30 MB.
 KEPT = 500_000
 
 
@@ -27,15 +28,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group of near-duplicates."""
-    kept = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = written(kept.groupBy("doc_id").count())
-    named, nameless = docs.filter("doc_id is not null"), docs.filter("doc_id is null")
-    if kept.filter("count > 1 and doc_id is not null").head(1):
-        named = named.dropDuplicates(["doc_id"])
-    # up to KEPT ids are broadcast, which saves the texts a shuffle; more are joined by a shuffle
-    out = named.join(small_enough(kept.select("doc_id").filter("doc_id is not null"), KEPT), "doc_id", "left_semi")
-    return (out.unionByName(nameless) if kept.filter("doc_id is null").head(1) else out).select(docs.columns)
+    """The row with the smallest id of every group of near-duplicates; among equal ids, by the row's hash."""
+    # the row number is written once with the texts, so it stays what it was; it decides only between wholly equal rows
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()))
+    key = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", F.xxhash64(*docs.columns).alias("hash"), F.col("_row").alias("row"))
+    found = near_duplicates(rows.select(key.alias("_key"), "text"), "_key")
+    kept = written(found.filter("doc_id.row = component_id.row").select(F.col("doc_id.row").alias("_row")))
+    # up to KEPT numbers are broadcast, which saves the texts a shuffle; more are joined by a shuffle
+    return rows.join(small_enough(kept, KEPT), "_row", "left_semi").select(docs.columns)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

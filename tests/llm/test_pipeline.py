@@ -56,3 +56,19 @@ def test_one_of_each_with_repeated_and_missing_ids(spark):
     rows = [(1, "a b c d e f", "en", "s", 1), (1, "a b c d e f", "en", "s", 1), (2, "a b c d e f", "en", "s", 1), (None, "q r s t u v", "en", "s", 1), (3, None, None, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id or 0 for r in p.one_of_each(spark, docs, DATA).collect()) == [0, 1, 3]
+
+
+def test_one_of_each_decides_rows_and_not_ids(spark):
+    def kept(*rows):
+        docs = spark.createDataFrame([(k, t, lang, "s", 1) for k, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long")
+        return sorted((r.doc_id or 0, r.text, r.lang) for r in p.one_of_each(spark, docs.repartition(3), DATA).collect())
+
+    one, two, three = "a b c d e f", "q r s t u v", "g h i j k l m n"
+    # a group without any id keeps one row; a nameless copy of a named text goes
+    assert kept((None, two, "en"), (None, two, "en"), (None, two, "en"), (None, one, "en"), (7, one, "en")) == [(0, two, "en"), (7, one, "en")]
+    # two texts under one id are two documents
+    assert kept((1, one, "en"), (1, two, "en"), (1, two, "en")) == [(1, one, "en"), (1, two, "en")]
+    # of an id's rows only the copy of a smaller id goes
+    assert kept((1, one, "en"), (5, one, "en"), (5, three, "en")) == [(1, one, "en"), (5, three, "en")]
+    # rows that differ in other columns only: one stays, always the same
+    assert len(kept((1, one, "de"), (1, one, "en"))) == 1 and kept((1, one, "de"), (1, one, "en")) == kept((1, one, "en"), (1, one, "de"))
