@@ -5,7 +5,9 @@ classifier over a block's elements, names, links and form gives a cost for eithe
 two terminals. Neighbouring blocks, and blocks that follow each other in one element, are joined by smoothness edges that
 weaken with their distance in the tree. The maximum flow's cut separates content from boilerplate at the least total cost,
 so a short line inside an article stays and a long line inside a menu goes, while names such as nav, ad or comments weigh more
-than any smoothness.
+than any smoothness. A name that only ends in such a word (right-sidebar) does not count if its element holds half of the page's
+prose, one that begins with it only if it holds all of at least two paragraphs; names of headings do not count, nor do ids inside
+an article that are ordinary words. Shortness does not count against lines between paragraphs of one container, nor lists and tables beside them.
 
 Character references are decoded, white space inside a block (as str.split sees it, so also no-break spaces) becomes one space, and
 the content blocks are joined by line ends in page order; nothing else is dropped or cut. A line break tag is white space.
@@ -28,7 +30,7 @@ from .common import table
 
 #: Comment, declaration, tag with whole quoted values, any other tag, text. Possessive, so a tag that is not closed is tried once.
 TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>|[^<]++|<""", re.S)
-NAMED = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden|aria-label)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 
 # Elements of HTML by their part in a page, and names that sites give to elements.
 RAW = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "title", "audio", "video"}
@@ -46,6 +48,14 @@ BAD_NAMES = set(
     "pagination pager paging copyright legal disclaimer skip form search searchbox contentinfo complementary banner dialog alertdialog paywall outbrain taboola hidden".split()
 )
 HEADERS = {"header", "head", "masthead"}
+#: Bad names that are titles of sections as well.
+ORDINARY = set("discussion notice notices related share sharing follow form register legal disclaimer copyright feedback reply replies responses reader trending popular search promotion subscription recommendations consent cookie cookies navigation menu side".split())
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+LISTED = {"ul", "ol", "li", "dl", "dt", "dd", "table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption"}
+#: Elements that are no container of their own.
+FLOW = LISTED | HEADINGS | {"p", "blockquote", "pre", "figure", "figcaption", "hgroup", "center"}
+#: Words of a paragraph at least.
+PROSE = 12
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}}
 BOUND = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select", "datalist"}, "thead": {"table"}, "tbody": {"table"}}
 # Weights of the classifier (a positive score is content) and of smoothness, in hundredths.
@@ -60,27 +70,30 @@ class Block:
         self.text, self.path, self.score = text, path, score
 
 
-def _names(attributes: str, inside: bool) -> tuple[int, bool]:
-    """Weight of an element's names; whether it is hidden. Inside an article, headers are its own."""
-    weight, hidden = 0, False
-    for m in NAMED.finditer(attributes):
+def _names(tag: str, attributes: str, inside: bool) -> tuple[int, bool, int]:
+    """Weight of an element's names without the bad ones; whether it is hidden; 2 if a name begins with a bad word, 1 if it
+    only holds one, else 0. Inside an article, headers are its own."""
+    weight, hidden, bad = 0, False, 0
+    for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
             hidden = True
         elif name in ("class", "id", "role"):
+            names = BAD_NAMES - (HEADERS if inside else set()) - (ORDINARY if inside and name == "id" else set())
             for word in value.split():
-                parts = {x for x in re.split(r"[^a-z]+", word) if x} | {re.sub(r"[^a-z]", "", word)}
-                if parts & BAD_NAMES - (HEADERS if inside else set()) and not word.startswith(("has-", "no-", "with-")):
-                    weight = min(weight, BAD)
-                elif parts & GOOD_NAMES and weight >= 0:
+                parts = [x for x in re.split(r"[^a-z]+", word) if x]
+                whole = "".join(parts)
+                if tag not in HEADINGS and not names.isdisjoint([*parts, whole]) and not word.startswith(("has-", "no-", "with-")):
+                    bad = max(bad, 2 if parts[0] in names or whole in names else 1)
+                elif not GOOD_NAMES.isdisjoint([*parts, whole]):
                     weight = GOOD
-    return weight, hidden
+    return weight, hidden, bad
 
 
 def blocks_of(page: str) -> list[Block]:
     """Blocks with text, in page order, with their element chain and classifier score."""
-    out: list[Block] = []
-    stack: list[tuple] = []  # (tag, serial, weight, inside an article)
+    out: list[tuple] = []  # (words, linked characters, open elements)
+    stack: list[tuple] = []  # (tag, serial, weight, inside an article, how bad its names are)
     text: list[str] = []
     linked = serial = 0
     link_at = -1
@@ -90,7 +103,7 @@ def blocks_of(page: str) -> list[Block]:
         if text:
             words = html.unescape("".join(text)).split()
             if words:
-                out.append(Block(" ".join(words), tuple(x[1] for x in stack), _score(words, linked, stack)))
+                out.append((words, linked, tuple(stack)))
             text.clear()
         linked = 0
 
@@ -139,8 +152,8 @@ def blocks_of(page: str) -> list[Block]:
                 if tag in BLOCK:
                     flush()
         else:
-            weight, hidden = _names(attributes, bool(stack and stack[-1][3])) if attributes else (0, False)
-            if tag not in BLOCK and weight >= 0 and not hidden:
+            weight, hidden, bad = _names(tag, attributes, bool(stack and stack[-1][3])) if attributes else (0, False, 0)
+            if tag not in BLOCK and not bad and not hidden:
                 continue  # inline
             if tag in BLOCK:
                 if stack and stack[-1][0] == "p" or tag[0] == "h" and stack and stack[-1][0] in ("h1", "h2", "h3", "h4", "h5", "h6") and tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
@@ -160,25 +173,54 @@ def blocks_of(page: str) -> list[Block]:
             flush()
             inside = bool(stack and stack[-1][3]) or tag in ("article", "main")
             if hidden or tag in BOILER or (tag == "header" and not inside):
-                weight = BAD
-            elif tag in ("html", "body") and weight < 0:
-                weight = 0
+                weight, bad = BAD, 0
+            elif tag in ("html", "body"):
+                bad = 0
             elif tag in ("article", "main"):
-                weight = IN_ARTICLE if weight >= 0 else weight
+                weight = IN_ARTICLE
             serial += 1
             if not attributes.endswith("/") or tag in BLOCK:
-                stack.append((tag, serial, weight, inside))
+                stack.append((tag, serial, weight, inside, bad))
     flush()
+    return _scored(out)
+
+
+def _scored(found: list[tuple]) -> list[Block]:
+    """Blocks with scores, for which the prose of the whole page is known."""
+    total = [0, 0]  # paragraphs, words
+    held: dict[int, list[int]] = {}  # the same under each element with a bad name
+    ends: dict[int, list[int]] = {}  # first and last paragraph of each container
+    own = []
+    for i, (words, linked, stack) in enumerate(found):
+        own.append(next((x[1] for x in reversed(stack) if x[0] not in FLOW), 0))
+        if len(words) >= PROSE and linked <= 0.5 * _size(words) and all(x[2] != BAD for x in stack):
+            for n in (total, *(held.setdefault(x[1], [0, 0]) for x in stack if x[4])):
+                n[0] += 1
+                n[1] += len(words)
+            ends.setdefault(own[-1], [i, i])[1] = i
+    bad = {x[1]: x[4] for _, _, stack in found for x in stack if x[4]}
+    for k, (n, size) in held.items():
+        if 2 * size >= total[1] if bad[k] == 1 else n == total[0] > 1:
+            del bad[k]
+    out = []
+    for i, (words, linked, stack) in enumerate(found):
+        first, last = ends.get(own[i], (len(found), -1))
+        between = first < i < last or (last >= 0 and any(x[0] in LISTED for x in stack))
+        weights = [BAD if x[1] in bad else x[2] for x in stack]
+        out.append(Block(" ".join(words), tuple(x[1] for x in stack), _score(words, linked, weights, bool(stack) and stack[-1][0] in HEADINGS, between)))
     return out
 
 
-def _score(words: list[str], linked: int, stack: list[tuple]) -> int:
+def _size(words: list[str]) -> int:
+    return sum(map(len, words)) + len(words) - 1
+
+
+def _score(words: list[str], linked: int, weights: list[int], heading: bool, between: bool) -> int:
     """Content score of a block in hundredths."""
-    size = sum(map(len, words)) + len(words) - 1
-    down, up = min((x[2] for x in stack), default=0), max((x[2] for x in stack), default=0)
-    heading = bool(stack) and stack[-1][0] in ("h1", "h2", "h3", "h4", "h5", "h6")
+    size = _size(words)
+    down, up = min(weights, default=0), max(weights, default=0)
     score = BASE + min(0, down) + max(0, up)
-    score += LONG if len(words) >= 12 else SHORT if len(words) < 4 else 0
+    score += LONG if len(words) >= PROSE else SHORT if len(words) < 4 and not between else 0
     score += SENTENCE if words[-1][-1] in ".!?…:;\"'”»)" else 0
     score += HEADING if heading else 0
     if linked > 0.5 * size:

@@ -35,6 +35,24 @@ def test_page_without_semantic_elements():
     assert h.main_text(page) == f"Head\n{LONG}\nYes\n{LONG}"
 
 
+def test_short_lines_between_paragraphs():
+    assert h.main_text(f"<div><p>{LONG}</p><p>Two eggs</p><p>One lemon</p><p>{LONG}</p></div>") == f"{LONG}\nTwo eggs\nOne lemon\n{LONG}"
+    page = f"<div><p>{LONG}</p><ul><li>Two eggs<li>One lemon<li>Salt</ul><p>{LONG}</p><table><tr><td>A<td>1<tr><td>B<td>2</table></div><div>Menu</div><div>Top</div>"
+    assert h.main_text(page) == "\n".join([LONG, "Two eggs", "One lemon", "Salt", LONG, "A", "1", "B", "2"])
+
+
+def test_names_that_are_no_boilerplate():
+    two = f"{LONG}\n{LONG}"
+    assert h.main_text(f"<div class='layout right-sidebar'><p>{LONG}</p><p>{LONG}</p><div class='left-sidebar'><p>{LONG}</p></div></div>") == two
+    assert h.main_text(f"<div class=comments-open><p>{LONG}</p><p>{LONG}</p></div>") == two
+    assert h.main_text(f"<article><section id='discussion'><h2 id='related-work'>Related work</h2><p>{LONG}</p></section><p>{LONG}</p></article>") == f"Related work\n{two}"
+    assert h.main_text(f"<div data-id=ad title='class=ad'><p>{LONG}</p></div><p>{LONG}</p>") == two
+    # these stay boilerplate
+    for name in ("sidebar", "related-posts", "site-footer", "post-comments"):
+        assert h.main_text(f"<div class='{name}'><p>{LONG}</p></div><div><p>{LONG}</p><p>{LONG}</p></div>") == two
+    assert h.main_text(f"<main><article><p>{LONG}</p><p>{LONG}</p></article><div id=comments><p>{LONG}</p></div></main>") == two
+
+
 def test_unclosed_elements():
     assert h.main_text(f"<nav><a href=1>x</a><article><h1>A b<p><b>{LONG}<br><p>{LONG}</article><footer>f") == f"A b\n{LONG}\n{LONG}"
     assert h.main_text(f"<p>{LONG}</p><p>{LONG} 1 < 2<a href='x") == f"{LONG}\n{LONG} 1 < 2"
