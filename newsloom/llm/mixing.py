@@ -2,9 +2,10 @@
 
 Documents are aggregated by membership pattern (the set of sources that they belong to); one flow network over patterns and
 sources decides how many words each pattern gives to each source. A pattern's capacity is its words, once for each allowed
-repetition, at convex costs (1, 3, 9, ...: a first use is cheapest), and a source takes at most its quota. The network has one
-node for each pattern and source and is solved exactly on the driver; its size is that of the pattern table, which is
-refused beyond MAX_PATTERNS. Selection is distributed: a pattern that gives r times its words uses every document floor(r)
+repetition, at convex costs (1, 3, 9, ...: a first use is cheapest), and a source takes at most its quota. Where the source
+column is a string, every source is a network of its own whose flow is its quota; quotas are then found by rounds of sums over
+the table of sources, of any number. Where it is an array, the network has one node for each pattern and source and is solved
+exactly on the driver; its size is that of the pattern table, which is refused beyond MAX_PATTERNS. Selection is distributed: a pattern that gives r times its words uses every document floor(r)
 times and once more those that come first in a seeded order, up to the words left; one more document, that which best fits
 what then lacks, follows. The cut is found from a histogram of the seeded order in two levels, so only the documents of one of
 BUCKETS buckets a pattern are ever ordered against each other.
@@ -21,9 +22,11 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_enough, table, word_count, written
+from .common import prefix_sums, small_enough, table, word_count, written
 
 REPEATS, SEED, BUCKETS, COARSE, MAX_PATTERNS = 3, 42, 1 << 14, 1 << 7, 100_000
+#: Sources or patterns whose plan is broadcast at most.
+PLANNED = 100_000
 
 
 def quotas(sizes: list[int], weights: list[float], repeats: int = REPEATS) -> list[Fraction]:
@@ -88,6 +91,72 @@ def min_cost_flow(patterns: list[tuple[int, list[int]]], quota: list[int], repea
             cap[e ^ 1] += most
 
 
+def _plan(held: DataFrame, give, target) -> DataFrame:
+    """_of, source_size, target and the words to give as whole uses of the source and a rest."""
+    used = F.col("size") > 0
+    whole, rest = F.when(used, F.expr("_give div size")).otherwise(0), F.when(used, F.expr("_give % size")).otherwise(0)
+    held = held.withColumns({"_give": give, "target": target})
+    return written(held.select("_of", F.col("size").alias("source_size"), "target", whole.cast("long").alias("_whole"), rest.cast("long").alias("_rest")))
+
+
+def one_source_plan(held: DataFrame, weights, repeats: int) -> DataFrame:
+    """The plan where each pattern is one source, with the quotas of `quotas`; held: _of, size. Only sums and the sources that
+    `weights` names come to the driver."""
+    held = held.select("_of", "size", F.col("_of")[0].alias("_s"), F.col("_of")[0].isNull().alias("_null"))
+    if weights:
+        named = spark_rows(held, weights)
+        found = held.join(F.broadcast(named.select(F.col("_s").alias("_k"))), F.col("_s").eqNullSafe(F.col("_k"))).select("_s", "size").collect()
+        words = held.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+        # all other sources as one without weight
+        target = quotas([*(r["size"] for r in found), words - sum(r["size"] for r in found)], [*(weights[r["_s"]] for r in found), 0], repeats)
+        named = spark_rows(held, {r["_s"]: t for r, t in zip(found, target)})
+        held = held.join(F.broadcast(named.withColumnRenamed("_s", "_k")), F.col("_s").eqNullSafe(F.col("_k")), "left")
+        return _plan(held, F.coalesce("_round", F.lit(0)), F.coalesce("_target", F.lit(0.0)))
+    held = written(prefix_sums(held, ["_null", "_s"], "size").withColumn("_w", F.col("row_no") % 3 + 1).select("_of", "size", "_w"))
+    words, weight = held.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("_w"), F.lit(0))).first()
+    # each round, sources whose share by weight is more than they have are full, and their excess raises the others' shares
+    left, total, full, before = words, weight, F.lit(False), -1
+    while total:
+        most = [(left * w - 1) // (total * repeats) for w in (1, 2, 3)]
+        full = F.col("size") <= F.element_at(F.array(*[F.lit(m).cast("long") for m in most]), F.col("_w").cast("int"))
+        n, size, taken = held.filter(full).agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("_w"), F.lit(0))).first()
+        if n == before:
+            break
+        before, left, total = n, words - repeats * size, weight - taken
+    share = [Fraction(left * w, total) if total else Fraction(0) for w in (1, 2, 3)]
+    mine = [F.element_at(F.array(*[F.lit(x) for x in xs]), F.col("_w").cast("int")) for xs in ([int(round(x)) for x in share], [float(x) for x in share])]
+    most = F.col("size") * repeats
+    return _plan(held, F.when(full, most).otherwise(mine[0].cast("long")), F.when(full, most.cast("double")).otherwise(mine[1]))
+
+
+def spark_rows(held: DataFrame, values: dict) -> DataFrame:
+    """source -> value as rows _s, _target, _round."""
+    rows = [(k, float(v), round(Fraction(v))) for k, v in values.items()]
+    return held.sparkSession.createDataFrame(rows, "_s string, _target double, _round long")
+
+
+def network_plan(held: DataFrame, weights, repeats: int) -> DataFrame:
+    """The plan where documents belong to several sources; held: _of, size."""
+    spark = held.sparkSession
+    held = held.limit(MAX_PATTERNS + 1).collect()
+    if len(held) > MAX_PATTERNS:
+        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
+    held = sorted(((list(h["_of"] or []), h["size"]) for h in held), key=lambda h: [(x is None, (x or "").encode("utf-8")) for x in h[0]])
+    every = sorted({s for of, _ in held for s in of}, key=lambda x: (x is None, (x or "").encode("utf-8")))
+    at = {s: i for i, s in enumerate(every)}
+    share = [weights.get(s, 0) for s in every] if weights else [1 + i % 3 for i in range(len(every))]
+    # what a source could use at most: every document that belongs to it
+    sizes = [sum(n for of, n in held if s in of) for s in every]
+    target = quotas(sizes, share, repeats)
+    total, spare = sum(n for _, n in held), sum(target)
+    if spare > total:  # overlapping words count once
+        target = [t * total / spare for t in target]
+    flow = min_cost_flow([(n, [at[s] for s in of]) for of, n in held], [round(t) for t in target], repeats)
+    gives = [sum(flow.get((p, s), 0) for s in range(len(every))) for p in range(len(held))]
+    plan = [(of, n, float(g), g // n if n else 0, g % n if n else 0) for (of, n), g in zip(held, gives)]
+    return spark.createDataFrame(plan, "_of array<string>, source_size long, target double, _whole long, _rest long")
+
+
 def mixed(docs: DataFrame, weights=None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", repeats: int = REPEATS, seed: int = SEED, buckets: int = BUCKETS) -> DataFrame:
     """docs with size, source_size, target, copies and taken.
 
@@ -102,24 +171,10 @@ def mixed(docs: DataFrame, weights=None, id_col: str = "doc_id", text_col: str =
     key = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), F.lit(seed))
     base = docs.withColumns({"size": word_count(F.col(text_col)), "_of": names, "_u": key}).withColumn("_b", F.pmod(F.shiftright("_u", 20), F.lit(buckets)))
     slim = written(base.drop(text_col) if set(docs.columns) <= {id_col, source_col, text_col} else base.select("_of", "_u", "_b", "size"))
-    held = slim.groupBy("_of").agg(F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect()
-    if len(held) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
-    held = sorted(((list(h["_of"] or []), h["size"]) for h in held), key=lambda h: [(x is None, (x or "").encode("utf-8")) for x in h[0]])
-    every = sorted({s for of, _ in held for s in of}, key=lambda x: (x is None, (x or "").encode("utf-8")))
-    at = {s: i for i, s in enumerate(every)}
-    share = [weights.get(s, 0) for s in every] if weights else [1 + i % 3 for i in range(len(every))]
-    # what a source could use at most: every document that belongs to it
-    sizes = [sum(n for of, n in held if s in of) for s in every]
-    target = quotas(sizes, share, repeats)
-    total, spare = sum(n for _, n in held), sum(target)
-    if many and spare > total:  # overlapping words count once
-        target = [t * total / spare for t in target]
-    flow = min_cost_flow([(n, [at[s] for s in of]) for of, n in held], [round(t) for t in target], repeats)
-    gives = [sum(flow.get((p, s), 0) for s in range(len(every))) for p in range(len(held))]
-    plan = [(of, n, float(target[at[of[0]]]) if not many else float(g), g // n if n else 0, g % n if n else 0) for (of, n), g in zip(held, gives)]
-    spark = docs.sparkSession
-    plan = spark.createDataFrame(plan, "_of array<string>, source_size long, target double, _whole long, _rest long")
+    held = slim.groupBy("_of").agg(F.sum("size").alias("size"))
+    plan = (network_plan if many else one_source_plan)(held, weights, repeats)
+    # the tables below have at most one row a pattern
+    near = F.broadcast if plan.limit(PLANNED + 1).count() <= PLANNED else lambda df: df
     # where the words left over end: first among coarse buckets, then among the fine ones of that bucket, so no window holds
     # more than COARSE rows a pattern
     fine = buckets // COARSE
@@ -129,25 +184,25 @@ def mixed(docs: DataFrame, weights=None, id_col: str = "doc_id", text_col: str =
         running = F.col("_base") + F.coalesce(F.sum("_n").over(Window.partitionBy("_of").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         return hist.withColumn("_before", running).filter("_before < _rest and _before + _n >= _rest").select("_of", F.col(at).alias(f"{at}_cut"), *keep, "_before", "_rest")
 
-    rest = F.broadcast(plan.select("_of", "_rest"))
+    rest = near(plan.select("_of", "_rest"))
     coarse = slim.groupBy("_of", F.floor(F.col("_b") / fine).alias("_hi")).agg(F.sum("size").alias("_n")).join(rest, "_of").withColumn("_base", F.lit(0).cast("long"))
     coarse = written(crossing(coarse, "_hi"))
-    inner = slim.join(F.broadcast(coarse), "_of").filter(F.floor(F.col("_b") / fine) == F.col("_hi_cut"))
+    inner = slim.join(near(coarse), "_of").filter(F.floor(F.col("_b") / fine) == F.col("_hi_cut"))
     inner = inner.groupBy("_of", "_b", F.col("_before").alias("_base"), "_rest").agg(F.sum("size").alias("_n"))
     cut = written(crossing(inner, "_b").withColumnRenamed("_b_cut", "_cut"))
     # whole units up to the cut, then the one unit of the others whose size is nearest to the gap, if that lessens it
-    units = slim.filter("size > 0").join(F.broadcast(cut), "_of").filter("_b >= _cut").groupBy("_of", "_u", "_b", "_cut", "_before", "_rest").agg(F.sum("size").alias("size"))
+    units = slim.filter("size > 0").join(near(cut), "_of").filter("_b >= _cut").groupBy("_of", "_u", "_b", "_cut", "_before", "_rest").agg(F.sum("size").alias("size"))
     edge = units.filter("_b = _cut").withColumn("_end", F.col("_before") + F.sum("size").over(Window.partitionBy("_of").orderBy("_u").rowsBetween(Window.unboundedPreceding, 0)))
     edge = written(edge.select("_of", "_u", "_end", (F.col("_end") <= F.col("_rest")).alias("_in")))
     gaps = cut.join(edge.filter("_in").groupBy("_of").agg(F.max("_end").alias("_end")), "_of", "left").select("_of", (F.col("_rest") - F.coalesce("_end", "_before")).alias("_gap"))
-    others = units.join(F.broadcast(gaps.filter("_gap > 0")), "_of").join(edge.filter("_in").select("_of", "_u"), ["_of", "_u"], "left_anti")
+    others = units.join(near(gaps.filter("_gap > 0")), "_of").join(edge.filter("_in").select("_of", "_u"), ["_of", "_u"], "left_anti")
     best = others.groupBy("_of").agg(F.min(F.struct(F.abs(F.col("size") - F.col("_gap")).alias("_off"), "_u", "_gap")).alias("_best")).filter("_best._off < _best._gap")
     chosen = written(edge.filter("_in").select("_of", "_u").union(best.select("_of", "_best._u")).withColumn("_more", F.lit(1)))
     alone = set(docs.columns) <= {id_col, source_col, text_col}
     rows = slim if alone else base
     # with the texts at hand, whether there is a word is cheaper to see than how many; unused sizes are then not counted again
     worded = F.col("size") > 0 if alone else F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    rows = rows.join(F.broadcast(plan.join(cut.select("_of", "_cut"), "_of", "left")), "_of").join(small_enough(chosen, 100_000), ["_of", "_u"], "left")
+    rows = rows.join(near(plan.join(cut.select("_of", "_cut"), "_of", "left")), "_of").join(small_enough(chosen, 100_000), ["_of", "_u"], "left")
     more = F.coalesce((F.col("_b") < F.col("_cut")).cast("long"), F.lit(0)) + F.coalesce("_more", F.lit(0))
     rows = rows.withColumn("copies", F.when(worded, F.col("_whole") + more).otherwise(F.lit(0)))
     return rows.withColumn("taken", F.col("copies") * F.col("size")).select(*[c for c in docs.columns if c in rows.columns], *own)

@@ -68,3 +68,25 @@ def test_odd_rows(spark):
     got = mixing.mixed(docs).collect()
     assert sorted(r["size"] for r in got) == [0, 0, 2, 3, 3, 500] and all(r.taken <= 3 * r["size"] for r in got)
     assert mixing.mixed(docs.limit(0)).count() == 0
+
+
+def test_plan_of_single_sources_is_that_of_quotas_and_flow(spark):
+    rng = random.Random(4)
+    for weights in (None, {"s3": 0.7, "s11": 2, None: 1.3, "none": 5}):
+        sizes = {f"s{i}": rng.choice([0, 1, 3, 40, 900, 20_000]) for i in range(20)} | {None: 7}
+        held = spark.createDataFrame([([k], n) for k, n in sizes.items()], "_of array<string>, size long")
+        got = {r._of[0]: r for r in mixing.one_source_plan(held, weights, 3).collect()}
+        order = sorted(sizes, key=lambda x: (x is None, x or ""))
+        want = mixing.quotas([sizes[k] for k in order], [weights.get(k, 0) for k in order] if weights else [1 + i % 3 for i in range(len(order))])
+        flow = mixing.min_cost_flow([(sizes[k], [i]) for i, k in enumerate(order)], [round(t) for t in want])
+        for i, (k, t) in enumerate(zip(order, want)):
+            r = got.pop(k)
+            assert r.source_size == sizes[k] and r.target == float(t) and r._whole * sizes[k] + r._rest == flow.get((i, i), 0)
+        assert not got
+
+
+def test_one_source_for_each_of_very_many_hosts(spark):
+    docs = spark.range(mixing.MAX_PATTERNS + 2000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), F.lpad(F.col("id").cast("string"), 9, "0").alias("source"))
+    got = mixing.mixed(docs).groupBy(F.col("doc_id") % 3, "target", "source_size", "taken").count().collect()
+    # 102,000 sources of two words, weights 1, 2, 3: one, two and three words each; a text for one missing word is no nearer
+    assert sorted(map(tuple, got)) == [(0, 1.0, 2, 0, 34_000), (1, 2.0, 2, 2, 34_000), (2, 3.0, 2, 2, 34_000)]
