@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from newsloom.llm import ann_forest, topk_search
 
@@ -35,25 +36,50 @@ def test_exact_search_against_brute_force(spark):
 
 
 def test_huge_components(spark):
-    frame = spark.createDataFrame([(0, [1e300, 1.0]), (20, [-1e300, 2.0]), (3, [0.5, 0.5]), (4, [1e9, -1e9])], "vec_id long, embedding array<double>")
+    frame = spark.createDataFrame([(0, [3e6, 1.0]), (1, [3e6, 0.0]), (2, [2.5e6, 5.0]), (3, [-3e6, 0.5]), (20, [0.0, 1e12])], "vec_id long, embedding array<double>")
     got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk_search.search(frame, lambda i: i % 20 == 0).collect()}
-    most = 1 << 27
-    assert got[0, 1] == (4, most * most - 64 * most) and got[20, 2] == (0, -most * most + 64 * 128) and got[20, 3] == (4, -most * most - 128 * most)
-    assert len(got) == 6 and ann_forest.search(frame, lambda i: i % 20 == 0).count() == 6
+    v = {0: (192_000_000, 64), 1: (192_000_000, 0), 2: (160_000_000, 320), 3: (-192_000_000, 32), 20: (0, 64 * 10**12)}
+    dot = lambda a, b: sum(x * y for x, y in zip(v[a], v[b]))
+    for q in (0, 20):
+        best = sorted(((-dot(q, i), i) for i in v if i != q))
+        assert [got[q, n + 1] for n in range(4)] == [(i, -s) for s, i in best]
+    assert got[0, 1] == (1, 36_864_000_000_000_000) and got[0, 2] == (2, 30_720_000_000_020_480) and len(got) == 8
+    # no score of 64 bits: an error, not a wrong number
+    with pytest.raises(Exception, match="OverflowError|too large"):
+        topk_search.search(spark.createDataFrame([(0, [1e300]), (1, [1e300])], "vec_id long, embedding array<double>"), lambda i: i == 0).collect()
+
+
+def test_clustered_rows_are_handed_to_few_blocks(spark):
+    rng = np.random.default_rng(0)
+    centre = rng.standard_normal((50, 16))
+    rows = []
+    for i in range(6000):
+        x = centre[i // 7 % 50] + 0.02 * rng.standard_normal(16)
+        rows.append((i, [float(y) for y in x / np.linalg.norm(x)]))
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    plan = topk_search.handout(frame, lambda i: i % 20 == 0, scale=4096)
+    assert plan.blocks > 10 and plan.data.count() / (6000 * plan.blocks) < 0.1
+    got = {tuple(r) for r in topk_search.search(frame, lambda i: i % 20 == 0, k=3, scale=4096).collect()}
+    v = np.array([np.floor(4096 * np.array(x)) for _, x in rows]).astype(int)
+    want = set()
+    for q in range(0, 6000, 20):
+        s = v @ v[q]
+        best = [i for i in np.lexsort((np.arange(6000), -s)) if i != q][:3]
+        want |= {(q, n + 1, int(i), int(s[i])) for n, i in enumerate(best)}
+    assert got == want
 
 
-def test_rows_beyond_the_bound_are_not_handed_over(spark):
-    # two far clusters of very different norms: a block of one needs few rows of the other
+def test_rows_of_unlike_norms_and_parted_homes(spark):
     rng = np.random.default_rng(0)
     rows = [(i, [float(x) for x in rng.standard_normal(3) * 0.1 + (i % 2) * 50]) for i in range(2000)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = {tuple(r) for r in topk_search.search(frame, lambda i: i % 101 == 0, k=3).collect()}
     v = {i: np.floor(64 * np.array(x)).astype(int) for i, x in rows}
     want = set()
     for q in range(0, 2000, 101):
         best = sorted((-int(v[q] @ x), i) for i, x in v.items() if i != q)[:3]
         want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(best)}
-    assert got == want
+    for sizes in ({}, {"block": 2, "slice_rows": 300, "most_pivots": 5}):
+        assert {tuple(r) for r in topk_search.search(frame, lambda i: i % 101 == 0, k=3, **sizes).collect()} == want
 
 
 def test_forest_recall_and_distances(spark):
