@@ -2,12 +2,13 @@
 
 Each of TREES trees labels a vector with a long string of 7-bit characters. A character is the index and sign of the largest
 coordinate after a random rotation of the centred vector (the vertex of a cross-polytope that it is nearest to). The rows are
-dealt to slices at random; a slice keeps, for each tree, its strings in a sorted array. A query descends in every tree to its
+dealt to slices of SLICE rows at random; a slice keeps, for each tree, its strings in a sorted array. One task sorts a slice once and
+then streams all queries past it, so rows are shuffled once and queries once a slice. A query descends in every tree to its
 longest matching prefix (two binary searches a length). Then it ascends all trees in step, one prefix length at a time and tree by
 tree within a length, until the matches reach the share `reach` of the slice; the root is the whole slice. The matches are
 ranked by their exact distances, and the best lists of all slices merge. Every row is indexed and every query meets every slice.
 
-`reach` is fitted before on at most SAMPLE rows: for QUERIES of them, it is the share at which the ascent has met a part AIM
+The centre is the mean of at most SAMPLE rows, and `reach` is fitted on them: for QUERIES of them, it is the share at which the ascent has met a part AIM
 of their true neighbours in the sample. A sample is sparser than the whole, so its neighbours are farther away and the fitted share is on
 the safe side. Vectors without structure need a large share (in 64 independent dimensions, about a third); no cap is set.
 
@@ -19,6 +20,7 @@ that the ascent finds. Ties go to the smaller id. Empty table: no rows. Other co
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ from .vectors import clean, matrix, merged
 
 K, EVERY = 10, 100
 TREES, SAMPLE, QUERIES, AIM, SEED = 64, 8192, 128, 0.96, 42
-SLICE, BLOCK = 65_536, 4096
+SLICE = 65_536
 
 
 class Forest:
@@ -127,44 +129,63 @@ def search(df: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vector_c
     n, asked, width = rows.agg(F.count(F.lit(1)), F.count_if("asks"), F.max(F.size("v"))).first()
     if not asked:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    centre = np.zeros(width)
-    for r in rows.select(F.posexplode("v")).groupBy("pos").agg((F.sum("col") / n).alias("mean")).collect():  # one row a dimension
-        centre[r["pos"]] = r["mean"]
+    sample = matrix(rows.orderBy(F.xxhash64("vec_id", F.lit(SEED))).limit(SAMPLE).select("v").toArrow().column("v"), width)  # SAMPLE rows at most
+    centre = sample.mean(0)
     length = 1 + math.ceil(math.log(max(2, n)) / math.log(128))
     if reach is None:
-        sample = rows.orderBy(F.xxhash64("vec_id", F.lit(SEED))).limit(SAMPLE).select("v").toArrow()  # SAMPLE rows at most
-        reach = fitted_reach(matrix(sample.column("v"), width), centre, length, k, trees)
-    slices, blocks = max(math.ceil(n / SLICE), min(8, math.ceil(n / 4096))), math.ceil(asked / BLOCK)
-
-    def spread(x: int):
-        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(x - 1).cast("long")))
-
-    data = rows.select("vec_id", "v", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(slices)).alias("slice"), spread(blocks).alias("block"))
-    asking = rows.filter("asks").select("vec_id", "v", spread(slices).alias("slice"), F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks)).alias("block"))
-
-    def solve(queries: pa.Table, part: pa.Table) -> pa.Table:
-        out = {"query_id": [np.zeros(0, np.int64)], "vec_id": [np.zeros(0, np.int64)], "score": [np.zeros(0)]}
-        if queries.num_rows and part.num_rows:
-            ids, q, qid = part.column("vec_id").to_numpy(), matrix(queries.column("v"), width), queries.column("vec_id").to_numpy()
-            forest = Forest(matrix(part.column("v"), width), centre, length, trees)
-            for at in range(0, len(q), 256):
-                first, end = forest.spans(forest.strings(q[at : at + 256]))
-                depth, upto = forest.stops(first, end, reach * len(ids))
-                for i in range(len(depth)):
-                    met = forest.matches(first, end, i, depth[i], upto[i])
-                    met = met[ids[met] != qid[at + i]]
-                    d = np.sqrt(((forest.x[met] - q[at + i]) ** 2).sum(1))
-                    if len(d) > k:
-                        near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
-                        met, d = met[near], d[near]
-                    best = np.lexsort((ids[met], d))[:k]
-                    for name, x in (("query_id", np.full(len(best), qid[at + i])), ("vec_id", ids[met[best]]), ("score", d[best])):
-                        out[name].append(x)
-        return pa.table({name: np.concatenate(x) for name, x in out.items()})
-
-    found = asking.groupBy("slice", "block").cogroup(data.groupBy("slice", "block")).applyInArrow(solve, "query_id long, vec_id long, score double")
+        reach = fitted_reach(sample, centre, length, k, trees)
+    slices = max(math.ceil(n / SLICE), min(8, math.ceil(n / 4096)))
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long")))
+    data = rows.select("vec_id", "v", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(slices)).alias("slice"), F.lit(False).alias("asks"))
+    asking = rows.filter("asks").select("vec_id", "v", each.alias("slice"), F.lit(True).alias("asks"))
+    # a slice's rows come first, then all queries, in batches: the forest is built once and never copied
+    dealt = data.union(asking).repartition(2 * slices, "slice").sortWithinPartitions("slice", "asks")
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, forest, ids = None, [], None, None
+        for slice_no, asks, part in _runs(batches):
+            if slice_no != at:
+                at, held, forest = slice_no, [], None
+            if not asks:
+                held.append(part)
+                continue
+            if forest is None and held:
+                whole = pa.Table.from_batches(held)
+                ids, forest, held = whole.column("vec_id").to_numpy(), Forest(matrix(whole.column("v"), width), centre, length, trees), []
+            if forest is not None:
+                yield from _answers(forest, ids, part, width, k, reach)
+
+    found = dealt.mapInArrow(solve, "query_id long, vec_id long, score double")
     return merged(found, k, F.col("score")).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, pa.RecordBatch]]:
+    """Pieces of batches (vec_id, v, slice, asks) that are of one slice and kind."""
+    for b in batches:
+        if b.num_rows:
+            key = b.column(2).to_numpy() * 2 + b.column(3).to_numpy(zero_copy_only=False)
+            cuts = [*np.flatnonzero(np.diff(key, prepend=-1)), b.num_rows]
+            yield from ((int(key[i]) // 2, bool(key[i] % 2), b.slice(i, j - i)) for i, j in zip(cuts[:-1], cuts[1:]))
+
+
+def _answers(forest: Forest, ids: np.ndarray, queries: pa.RecordBatch, width: int, k: int, reach: float) -> Iterator[pa.RecordBatch]:
+    """query_id, vec_id, score of the k nearest rows of the forest that each query's ascent meets."""
+    q, qid = matrix(queries.column(1), width), queries.column(0).to_numpy()
+    for at in range(0, len(q), 256):
+        first, end = forest.spans(forest.strings(q[at : at + 256]))
+        depth, upto = forest.stops(first, end, reach * len(ids))
+        found = []
+        for i in range(len(depth)):
+            met = forest.matches(first, end, i, depth[i], upto[i])
+            met = met[ids[met] != qid[at + i]]
+            d = np.sqrt(((forest.x[met] - q[at + i]) ** 2).sum(1))
+            if len(d) > k:
+                near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
+                met, d = met[near], d[near]
+            best = np.lexsort((ids[met], d))[:k]
+            found.append((np.full(len(best), qid[at + i]), ids[met[best]], d[best]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["query_id", "vec_id", "score"])
+
+
 def op6_ann_forest(spark, sf_dir) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), lambda i: i % EVERY == 0)
