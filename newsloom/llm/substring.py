@@ -1,23 +1,28 @@
 """Substring de-duplication by prefix-partitioned suffix trees over words.
 
 Every word position starts a suffix; the tree is cut at the depth of the window (13 words), where each inner node is a word
-sequence that occurs again. Four steps:
-
-1. One pass counts suffixes by the first 1, 2, 4 and 13 words (hashed to buckets). The prefix tree is descended until a
-   bucket holds at most GROUP suffixes, so a frequent first word is split by longer prefixes and a rare one is not; leaves
-   are put together to groups of about GROUP suffixes. The counts (levels x BUCKETS numbers) are all that the driver sees.
-2. Documents are dealt to blocks of consecutive doc_ids of about BLOCK words. Each block hands every group the sorted labels
-   (64-bit rolling hashes of 13 words) of its suffixes, once each: a passage that stands in a third of all documents is one
-   label a block. Equal windows have equal prefixes, so they share a group; labels are told apart within a prefix leaf.
-3. A group's sorted labels are the leaf order of its subtree; a run of equal labels is a deep inner node. Its first block
-   keeps it, each later block (larger doc_ids) is told. Rows without id are dealt to several blocks of one, the last, rank.
-4. Each block marks the windows that it was told of and those that a smaller doc_id of its own holds. Covering windows merge
+sequence that occurs again. Five steps:
+
+1. Ids are ranked: prefix sums of the texts' bytes over the sorted ids cut them to blocks of about BLOCK bytes, however many these
+   are. An id whose rows hold more than that, and the rows without id (the last rank), are dealt to several blocks of one rank. Up to CUTS
+   cuts are broadcast; more are joined by id.
+2. One pass counts suffixes by their first 1, 2 and 4 words (hashed to buckets, whose number grows with the text). A prefix in a bucket of
+   more than GROUP suffixes is split by the next longer prefix; at most (suffixes / GROUP) such buckets a level exist, and only these leave
+   the cluster. A suffix hangs below the shortest prefix that is not split; prefixes are hashed to groups of about GROUP suffixes.
+3. Each block hands every group its subtrees in leaf order: prefix after prefix, and below each the sorted labels (64-bit rolling hashes of
+   13 words) of its windows, once each, so a passage that stands in a third of all documents is one leaf a block.
+4. A group merges the subtrees of all blocks in leaf order (prefix, label). A run of equal leaves is an inner node at the depth of the window,
+   a repeat. Its first rank keeps it, each block of a later rank (larger doc_ids) is told.
+5. Each block marks the windows that it was told of and those that a smaller doc_id of its own holds. Covering windows merge
    to maximal repeats, whose words go.
 
-A false match needs equal 64-bit labels and equal leaves: about (suffixes x GROUP) / 2^64 are to be expected.
+Two windows are one leaf if the 64-bit hashes of their prefix and of their 13 words are equal; about (suffixes x GROUP) / 2^64 false
+matches are to be expected (10^-3 at 30 GB).
 
 Null text: no words. Null doc_id: larger than any other, and nulls do not compare with each other. Rows of the same doc_id do
-not compare with each other. Repeated rows come back as often as they stand. Empty table: no rows. Other columns pass through.
+not compare with each other. Repeated rows come back as often as they stand. Very long texts: a block holds at least one text whole, as word
+hashes and bytes, so memory follows the longest text; words are hashed PIECE bytes at a time. Empty table: no rows. Other
+columns pass through; earlier columns named n_words or n_removed are replaced.
 """
 
 from __future__ import annotations
@@ -28,18 +33,22 @@ from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import dropped, prefix_sums, table, written
 
 WINDOW = 13
-GROUP, BLOCK, BUCKETS = 2_000_000, 500_000, 1 << 14
-#: A block's number is its rank by doc_id and, in the low bits, a part of the rows without id, which are all of one rank.
-SPLIT = 20
+#: Suffixes of a group, bytes of a block, least number of buckets, cuts that are broadcast at most.
+GROUP, BLOCK, BUCKETS, CUTS = 2_000_000, 3_000_000, 1 << 14, 1 << 20
+#: Bytes of text of a shuffle partition, and partitions at most (then they hold more blocks; memory follows the block).
+PART, PARTS = 16_000_000, 20_000
+#: A block's number is its rank by doc_id and, in the low bits, its part of a rank that is dealt to several blocks.
+SPLIT = 24
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -120,20 +129,33 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return (((h ^ (h >> np.uint64(29))) * FACTOR) >> np.uint64(33)).astype(np.int64) % buckets
 
 
-def _counts(window: int, buckets: int, cuts: list):
-    """Rows (kind, at, n): suffixes by prefix level and bucket, and words (kind 0) by range of doc_id."""
+def _counts(window: int, buckets: int, most: int = 1 << 20):
+    """Rows (level, at, n): suffixes by prefix level and bucket. A task holds about `most` sums at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, words = {k: np.zeros(buckets, np.int64) for k in _levels(window)}, np.zeros(len(cuts) + 2, np.int64)
-        for b in (x for whole in batches for x in _slices(whole, 1)):
-            ids, row = word_ids(b.column(1))
-            at = np.array([len(cuts) + 1 if k is None else np.searchsorted(cuts, k, "right") for k in b.column(0).to_pylist()])
-            np.add.at(words, at, np.bincount(row, minlength=len(at)))
-            for level, h in _suffixes(ids, row, window)[1].items():
-                seen[level] += np.bincount(_bucket(h, buckets), minlength=buckets)
-        for kind, n in {0: words, **seen}.items():
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind)), pa.array(at), pa.array(n[at])], ["kind", "at", "n"])
+        keys, sums, fresh = np.zeros(0, np.int64), np.zeros(0, np.int64), [[], []]
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            every, back = np.unique(np.concatenate((keys, *fresh[0])), return_inverse=True)
+            total = np.bincount(back, np.concatenate((sums, *fresh[1])), len(every)).astype(np.int64)
+            fresh[0].clear(), fresh[1].clear()
+            return every, total
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys >> 40), pa.array(keys & ((1 << 40) - 1)), pa.array(sums)], ["level", "at", "n"])
+
+        for b in (x for whole in batches for x in _slices(whole, 0)):
+            for level, h in _suffixes(*word_ids(b.column(0)), window)[1].items():
+                if level < window:
+                    at, n = np.unique(_bucket(h, buckets), return_counts=True)
+                    fresh[0].append(at + (level << 40)), fresh[1].append(n)
+            if sum(map(len, fresh[0])) > most:
+                keys, sums = merged()
+                if len(keys) > most:
+                    yield rows()
+                    keys, sums = keys[:0], sums[:0]
+        keys, sums = merged()
+        yield rows()
 
     return run
 
@@ -147,76 +169,96 @@ def _values(planes: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(planes, np.uint8).reshape(8, -1).T.copy().view("<u8").ravel(), dtype=np.uint64)
 
 
-def _prefix_groups(counts: dict[int, np.ndarray], group: int) -> dict[int, np.ndarray]:
-    """Level -> group of each bucket; -1 where a longer prefix decides."""
-    out, used, at = {}, 0, 0
-    for level in sorted(counts):
-        n, last = counts[level], level == max(counts)
-        mine = np.full(len(n), -1, np.int64)
-        for b in np.flatnonzero(n):
-            if last or n[b] <= group:
-                if used and used + n[b] > group:
-                    at, used = at + 1, 0
-                mine[b] = at
-                used += int(n[b])
-        out[level] = mine
-    return out
+def _split_prefixes(docs: DataFrame, text_col: str, window: int, group: int, buckets: int) -> dict[int, np.ndarray]:
+    """Level -> sorted buckets of more than `group` suffixes."""
+    found = docs.select(F.col(text_col).cast("binary")).mapInArrow(_counts(window, buckets), "level long, at long, n long").groupBy("level", "at").agg(F.sum("n").alias("n"))
+    hot = found.filter(F.col("n") > group).select("level", "at").toArrow()  # at most suffixes / group rows a level
+    level, at = hot.column("level").to_numpy(), hot.column("at").to_numpy()
+    return {k: np.sort(at[level == k]) for k in _levels(window)[:-1]}
+
+
+def _dealt(docs: DataFrame, id_col: str, text_col: str, block: int, cuts: int) -> tuple[DataFrame, int]:
+    """docs with the number of their block (_block), and the bytes of all texts."""
+    size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long")
+    sizes = written(docs.select(F.col(id_col).alias("_id"), size.alias("_bytes")).groupBy("_id").agg(F.sum("_bytes").alias("_bytes")))
+    whole, nameless = sizes.agg(F.coalesce(F.sum("_bytes"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("_id").isNull(), F.col("_bytes"))), F.lit(0))).first()
+    heavy = F.col("_bytes") > block
+    # a heavy id is followed by ranks of at least two more, so it has one of its own
+    ranks = prefix_sums(sizes.filter("_id is not null"), ["_id"], "_bytes")
+    ranks = written(ranks.select("_id", (2 * F.floor(F.col("sum_before") / block) + heavy.cast("long")).alias("_rank"), F.when(heavy, F.ceil(F.col("_bytes") / block)).otherwise(1).cast("long").alias("_parts")))
+    dropped(sizes)
+    begins = written(ranks.groupBy("_rank").agg(F.min("_id").alias("_id"), F.max("_parts").alias("_parts")))
+    last, rest = 2 * (whole // block) + 2, 1 + nameless // block
+    mixed = F.xxhash64(*docs.columns)
+    kind = dict(docs.dtypes)[id_col]
+    if kind in ("bigint", "int", "smallint", "tinyint") and begins.limit(cuts + 1).count() <= cuts:
+        at = begins.orderBy("_id").toArrow()
+        first, rank, parts = (at.column(c).to_numpy().astype(np.int64) for c in ("_id", "_rank", "_parts"))
+
+        @F.pandas_udf("long")
+        def numbered(ids, hashes):
+            i = np.searchsorted(first, ids.to_numpy(np.int64), "right") - 1
+            return pd.Series((rank[i] << SPLIT) + hashes.to_numpy(np.int64) % parts[i])
+
+        named = numbered(F.coalesce(F.col(id_col), F.lit(0)).cast("long"), mixed) if len(first) else F.lit(0).cast("long")
+        out = docs
+    else:
+        out = docs.withColumn("_mixed", mixed).join(ranks.withColumnRenamed("_id", id_col), id_col, "left").select(*docs.columns, "_rank", "_parts", "_mixed")
+        named = F.shiftleft("_rank", SPLIT) + F.pmod("_mixed", "_parts")
+        mixed = F.col("_mixed")
+    unnamed = F.lit(last << SPLIT).cast("long") + F.pmod(mixed, F.lit(rest).cast("long"))
+    return out.withColumn("_block", F.when(F.col(id_col).isNull(), unnamed).otherwise(named)).select(*docs.columns, "_block"), whole
 
 
-def _blocks(docs: DataFrame, id_col: str, text_col: str, window: int, group: int, block: int, buckets: int):
-    """Prefix groups, the doc_ids at which blocks begin, and the number of blocks of rows without id."""
-    approx = docs.count() // 64
-    parts = int(min(4096, max(1, approx)))
-    cuts = sorted(set(docs.approxQuantile(id_col, [i / parts for i in range(1, parts)], 0.25 / parts))) if parts > 1 else []
-    cuts = [int(x) for x in cuts]
-    found = docs.select(F.col(id_col), F.col(text_col).cast("binary")).mapInArrow(_counts(window, buckets, cuts), "kind long, at long, n long").groupBy("kind", "at").agg(F.sum("n").alias("n"))
-    counts, words = {k: np.zeros(buckets, np.int64) for k in _levels(window)}, np.zeros(len(cuts) + 2, np.int64)
-    for kind, at, n in found.collect():  # at most buckets x levels + 4096 rows
-        (counts[kind] if kind else words)[at] = n
-    begins, total = [], 0
-    for i, cut in enumerate(cuts):
-        total += int(words[i])
-        if total >= block:
-            begins, total = [*begins, cut], 0
-    return _prefix_groups(counts, group), begins, min((1 << SPLIT) - 1, 1 + int(words[-1]) // block)
-
-
-def _hand_out(window: int, groups: dict[int, np.ndarray], text_at: str):
-    """A block's labels, once each, to the groups of their prefixes."""
-    buckets = len(next(iter(groups.values())))
+def _hand_out(window: int, split: dict[int, np.ndarray], groups: int, buckets: int, text_at: str):
+    """A block's subtrees, in leaf order, to the groups of their prefixes: the prefixes, the number of leaves below each, the leaves."""
 
     def run(docs: pa.Table) -> pa.Table:
         block = docs.column("_block")[0].as_py()
         _, label = _suffixes(*word_ids(docs.column(text_at)), window)
-        last, once = np.unique(label[window], return_index=True)
-        to = np.full(len(last), -1, np.int64)
-        for k in _levels(window):
-            to = np.where(to < 0, groups[k][_bucket(label[k][once], buckets)], to)
-        order = np.argsort(to, kind="stable")  # sorted labels stay sorted within a group
-        to, last = to[order], last[order]
-        first = np.flatnonzero(np.diff(to, prepend=-2))
-        return pa.table({"grp": pa.array(to[first]), "block": pa.array(np.full(len(first), block, np.int64)), "labels": pa.array([_planes(x) for x in np.split(last, first[1:])] if len(first) else [], pa.binary())})
+        leaf, once = np.unique(label[window], return_index=True)
+        prefix, open_ = leaf.copy(), np.ones(len(leaf), bool)  # a window that is split at every level is a prefix of its own
+        for k in _levels(window)[:-1]:
+            own = label[k][once]
+            now = open_ & ~np.isin(_bucket(own, buckets), split[k])
+            prefix[now] = _hashed(own[now] + np.uint64(k))
+            open_ &= ~now
+        to = (prefix % np.uint64(groups)).astype(np.int64)
+        order = np.lexsort((leaf, prefix, to))
+        to, prefix, leaf = to[order], prefix[order], leaf[order]
+        tree = np.flatnonzero(np.diff(prefix, prepend=~prefix[:1]) | (np.diff(to, prepend=-1) != 0).astype(np.uint64))
+        size = np.diff(tree, append=len(to)).astype("<u4")
+        first = np.flatnonzero(np.diff(to[tree], prepend=-1))  # trees at which a group begins
+        cuts = tree[first]
+        return pa.table({
+            "grp": pa.array(to[cuts]), "block": pa.array(np.full(len(first), block, np.int64)),
+            "prefixes": pa.array([x.astype("<u8").tobytes() for x in np.split(prefix[tree], first[1:])] if len(first) else [], pa.binary()),
+            "sizes": pa.array([x.tobytes() for x in np.split(size, first[1:])] if len(first) else [], pa.binary()),
+            "leaves": pa.array([_planes(x) for x in np.split(leaf, cuts[1:])] if len(first) else [], pa.binary()),
+        })
 
     return run
 
 
 def _inner_nodes(part: pa.Table) -> pa.Table:
-    """For each later block of a run of equal labels, the labels that an earlier block holds."""
+    """For each block of a later rank in a run of equal leaves, the labels that an earlier rank holds."""
     order = np.argsort(part.column("block").to_numpy(), kind="stable")
     blocks = part.column("block").to_numpy()[order]
-    labels = [_values(part.column("labels")[int(i)].as_py()) for i in order]
-    at = np.repeat(np.arange(len(labels), dtype=np.int32), [len(x) for x in labels])
-    label = np.concatenate(labels)
-    sort = np.argsort(label, kind="stable")
-    label, at = label[sort], at[sort]
-    first = np.flatnonzero(np.concatenate(([True], label[1:] != label[:-1])))
+    column = lambda name: [part.column(name)[int(i)].as_py() for i in order]
+    prefix = np.concatenate([np.repeat(np.frombuffer(p, "<u8"), np.frombuffer(n, "<u4")) for p, n in zip(column("prefixes"), column("sizes"))])
+    leaves = [_values(x) for x in column("leaves")]
+    at = np.repeat(np.arange(len(leaves), dtype=np.int32), [len(x) for x in leaves])
+    leaf = np.concatenate(leaves)
+    sort = np.lexsort((leaf, prefix))  # stable: earlier ranks first
+    leaf, at, prefix = leaf[sort], at[sort], prefix[sort]
+    first = np.flatnonzero(np.concatenate(([True], (leaf[1:] != leaf[:-1]) | (prefix[1:] != prefix[:-1]))))
     rank = blocks[at] >> SPLIT
-    again = rank > np.repeat(rank[first], np.diff(first, append=len(label)))
-    label, at = label[again], at[again]
-    sort = np.argsort(at, kind="stable")
-    label, at = label[sort], at[sort]
+    again = rank > np.repeat(rank[first], np.diff(first, append=len(leaf)))
+    leaf, at = leaf[again], at[again]
+    sort = np.lexsort((leaf, at))
+    leaf, at = leaf[sort], at[sort]
     first = np.flatnonzero(np.diff(at, prepend=-1))
-    return pa.table({"block": pa.array(blocks[at[first]] if len(first) else [], pa.int64()), "labels": pa.array([_planes(x) for x in np.split(label, first[1:])] if len(first) else [], pa.binary())})
+    return pa.table({"block": pa.array(blocks[at[first]] if len(first) else [], pa.int64()), "labels": pa.array([_planes(x) for x in np.split(leaf, first[1:])] if len(first) else [], pa.binary())})
 
 
 def removed_words(texts: pa.ChunkedArray, keys: list, told: np.ndarray, window: int) -> list[np.ndarray]:
@@ -267,25 +309,23 @@ def _finish(window: int, id_at: str, text_at: str, schema: pa.Schema, digest: bo
     return run
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, group: int = GROUP, block: int = BLOCK, buckets: int = BUCKETS, digest: bool = False) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, group: int = GROUP, block: int = BLOCK, buckets: int = BUCKETS, cuts: int = CUTS, digest: bool = False) -> DataFrame:
     """docs with repeated passages cut out of the text, and n_words, n_removed; digest: only doc_id, these and kept_sha256."""
-    docs = docs.drop("_block") if "_block" in docs.columns else docs
+    docs = docs.drop(*(c for c in docs.columns if c in ("_block", "_rank", "_parts", "_mixed")))
     if digest:
         docs = docs.select(id_col, text_col)
     elif {"n_words", "n_removed"} & set(docs.columns):
         docs = docs.drop("n_words", "n_removed")
-    groups, begins, parts = _blocks(docs, id_col, text_col, window, group, block, buckets)
-    last = len(begins) + 1
-
-    @F.pandas_udf("long")
-    def at(ids):
-        return ids.map(lambda k: k, na_action="ignore").pipe(lambda s: s.where(s.isna(), np.searchsorted(np.array(begins, np.int64), s.fillna(0).astype("int64"), "right"))).fillna(last).astype("int64")
-
+    dealt, size = _dealt(docs, id_col, text_col, block, cuts)
+    # a word has some six bytes
+    groups = 1 + size // 6 // group
+    while buckets < 16 * groups:
+        buckets *= 2
+    split = _split_prefixes(docs, text_col, window, group, buckets)
     schema = T.StructType([f for f in docs.schema.fields])
-    part = F.when(F.col(id_col).isNull(), F.pmod(F.xxhash64(text_col), F.lit(parts))).otherwise(F.lit(0))
-    dealt = docs.withColumn("_block", F.shiftleft(at(F.col(id_col).cast("long")), SPLIT) + part).withColumn(text_col, F.col(text_col).cast("binary"))
-    handed = dealt.groupBy("_block").applyInArrow(_hand_out(window, groups, text_col), "grp long, block long, labels binary")
-    told = handed.groupBy("grp").applyInArrow(_inner_nodes, "block long, labels binary").withColumnRenamed("block", "_block")
+    dealt = dealt.withColumn(text_col, F.col(text_col).cast("binary")).repartition(min(PARTS, 1 + size // PART), "_block")
+    handed = dealt.groupBy("_block").applyInArrow(_hand_out(window, split, groups, buckets, text_col), "grp long, block long, prefixes binary, sizes binary, leaves binary")
+    told = handed.repartition(min(PARTS, groups), "grp").groupBy("grp").applyInArrow(_inner_nodes, "block long, labels binary").withColumnRenamed("block", "_block")
     if digest:
         out = T.StructType([schema[id_col], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
     else:
