@@ -1,8 +1,15 @@
+import html
 import random
+import re
+import time
+from collections import Counter
 from itertools import product
 
+from pyspark.sql import functions as F
+
 from newsloom.llm import html_extract as h
 
+DATA = "/root/testdata/sf0.01"
 LONG = "This is a rather long sentence of the article that goes on for more than a dozen words in all."
 
 
@@ -60,17 +67,66 @@ def test_unclosed_elements():
     assert h.main_text("<script>" + "x" * 100) == "" and h.main_text(None) == ""
 
 
-def test_whole_table(spark):
-    got = h.op2_html_extract(spark, "/root/testdata/sf0.01").collect()
-    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()}
-    import re
+def plain(page):
+    """Main text of the test tables' pages, read off their article element."""
+    inner = re.search("(?s)<article>(.*)</article>", page)[1]
+    parts = [" ".join(html.unescape(re.sub("<[^>]*>", "", x.replace("<br>", " "))).split()) for x in re.split("</?(?:p|h1)>", inner)]
+    return "\n".join(x for x in parts if x)
 
+
+def test_whole_table(spark):
+    got = h.op2_html_extract(spark, DATA).collect()
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()}
+    assert len(got) == len(pages) == 250
     for r in got:
-        text = docs[int(re.search(r"/(\d+)(\D|$)", r.url.split("://")[1])[1])]
-        lines = [" ".join(x.split()) for x in text.split("\n") if x.split()]
-        assert r.text.split("\n")[1:] == lines or r.text.replace(" ", "").endswith("".join("\n".join(lines).split(" "))), r.page_id
-        assert r.n_chars == len(r.text)
-    assert len(got) == 250
+        assert r.text == plain(pages[r.page_id]) and r.n_chars == len(r.text)
+
+
+def lines_right(pairs):
+    """Line precision and recall of (got, wanted) texts."""
+    got, want, both = Counter(), Counter(), Counter()
+    for i, (g, w) in enumerate(pairs):
+        g, w = Counter((i, x) for x in g.split("\n")), Counter((i, x) for x in w.split("\n"))
+        got, want, both = got + g, want + w, both + (g & w)
+    return both.total() / got.total(), both.total() / want.total()
+
+
+def test_pages_without_names_or_elements(spark):
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    want = {r.page_id: plain(r.html) for r in pages.collect()}
+    bare = pages.withColumn("html", F.regexp_replace("html", " (class|id|role)=(\"[^\"]*\"|[a-z]+)", ""))
+    assert not bare.filter("html like '%class=%'").count()
+    assert min(lines_right((r.text, want[r.page_id]) for r in h.extracted(bare).collect())) >= 0.97
+    # neither names nor any element that tells its part: weights from pages that have them
+    weights = h.weights_of(pages)
+    plainest = bare.withColumn("html", F.regexp_replace("html", "<(/?)(article|nav|footer)>", "<$1div>"))
+    assert min(lines_right((r.text, want[r.page_id]) for r in h.extracted(plainest, weights=weights).collect())) >= 0.9
+
+
+def test_labels_that_only_the_cut_sets_right():
+    page = h.page_of(f"<body><div><p>{LONG}</p><p>Yes no yes no yes no yes</p><div>Yes</div><p>{LONG}</p></div><div class=x><ul><li><a href=1>One two</a><li><a href=2>Two two</a><li>Nearly a whole sentence.<li><a href=3>Three two</a></ul></div></body>")
+    score = h.costs(page.blocks)
+    kept = h.min_cut(score, h.smoothness(page))
+    assert [b.text for b, k in zip(page.blocks, kept) if k] == [LONG, "Yes no yes no yes no yes", "Yes", LONG]
+    wrong = {b.text for b, s, k in zip(page.blocks, score, kept) if (s > 0) != k}
+    assert wrong == {"Yes", "Nearly a whole sentence."}
+    assert max(map(abs, score)) <= h.MOST < h.NEXT
+
+
+def test_fit_starts_from_fixed_weights():
+    assert (h.fitted([]) == h.PRIOR).all()
+    rows = [([1.0, 0, 0, 0, 0, 0, 0, 0, 0, 1, 0, 0, 0, 0], 1), ([1.0, 0, 0, 0, 1, 0, 0, 0, 0, 0, 0, 1, 0, 0], 0)] * 200
+    w = dict(zip(h.NAMES, h.fitted(rows)))
+    assert w["links"] < h.FEATURES["links"] and w["base"] > h.FEATURES["base"]
+    assert (h.fitted(rows) == h.fitted(rows[::-1])).all()
+
+
+def test_deeply_nested_pages():
+    for tag in ("div", "article", "nav", "div class=ad", "li", "table", "header"):
+        began = time.time()
+        h.main_text(f"<{tag}>" * 20_000 + LONG + "</b></section>" * 20_000)
+        h.main_text(f"<{tag}>x" * 20_000)
+        assert time.time() - began < 4, tag
 
 
 def test_odd_rows(spark):
