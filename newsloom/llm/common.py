@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +14,10 @@ from pyspark.sql import functions as F
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
+#: Edges at which the rounds of `components` end to broadcast.
+FEW = 200_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -65,12 +70,12 @@ def prefix_sums(df: DataFrame, order: list[str], value: str, whole: list[str] |
     """
     ranged = df.repartitionByRange(*[F.col(c) for c in whole or order]).withColumn("_pid", F.spark_partition_id())
     own = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = written(ranged.withColumns({"_n": F.row_number().over(own).cast("long"), "_s": F.sum(value).over(own)}))
+    local = written(ranged.withColumns({"_prefix_rows": F.row_number().over(own).cast("long"), "_prefix_sum": F.sum(value).over(own)}))
     totals = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_rows"), F.sum(value).alias("_sum"))
     earlier = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_pid", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_r0"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_s0"))
     out = local.join(offsets, "_pid")
-    return out.withColumns({"row_no": F.col("_r0") + F.col("_n") - 1, "sum_before": F.col("_s0") + F.col("_s") - F.col(value)}).drop("_pid", "_n", "_s", "_r0", "_s0")
+    return out.withColumns({"row_no": F.col("_r0") + F.col("_prefix_rows") - 1, "sum_before": F.col("_s0") + F.col("_prefix_sum") - F.col(value)}).drop("_pid", "_prefix_rows", "_prefix_sum", "_r0", "_s0")
 
 
 def small_enough(df: DataFrame, rows: int) -> DataFrame:
@@ -78,11 +83,21 @@ def small_enough(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def apart(spark: SparkSession, n: int, parts: int) -> np.ndarray:
+    """n different numbers of groups that repartition(parts, number) deals evenly to its partitions, where plain numbers would meet by chance."""
+    tries = spark.range(n * 4 + parts * 40).select(F.pmod(F.hash("id"), F.lit(parts)).alias("part"), "id")
+    every = tries.toArrow()
+    part, number = every.column("part").to_numpy(), every.column("id").to_numpy()
+    order = np.argsort(part, kind="stable")
+    place = np.arange(len(part)) - np.repeat(np.flatnonzero(np.diff(part[order], prepend=-1)), np.unique(part, return_counts=True)[1])
+    return number[order][np.argsort(place, kind="stable")[:n]]
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, root (smallest node reachable) of every node that stands in an edge, by alternating large and small stars.
 
-    Each round is two grouped minima joined back on their key, so a node with many neighbours is a skewed join that
-    adaptive execution splits, never one group in one task. Rounds are written tables; they end when the edges, which by
+    Each round is two grouped minima joined back on their key. The minima are broadcast while there are at most FEW edges; beyond, a
+    node with many neighbours is a skewed join that adaptive execution splits, never one group in one task. Rounds are written tables; they end when the edges, which by
     then all point at roots, stay as they are.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v")
@@ -90,10 +105,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     state = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
     while state[0]:
         both = e.union(e.select("v", "u"))
+        near = F.broadcast if state[0] <= FEW else lambda df: df  # at most two nodes an edge
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.join(near(low), "u").filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(near(low), "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = written(small.union(low.select("u", F.col("m").alias("v"))).distinct())
         now = new.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         dropped(e)

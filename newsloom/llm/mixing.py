@@ -1,14 +1,14 @@
 """Mixing overlapping sources to target weights by min-cost flow.
 
-Documents are aggregated by membership pattern (the set of sources that they belong to); one flow network over patterns and
+Documents are aggregated by membership pattern (the set of sources that they belong to); a flow network over patterns and
 sources decides how many words each pattern gives to each source. A pattern's capacity is its words, once for each allowed
-repetition, at convex costs (1, 3, 9, ...: a first use is cheapest), and a source takes at most its quota. Where the source
-column is a string, every source is a network of its own whose flow is its quota; quotas are then found by rounds of sums over
-the table of sources, of any number. Where it is an array, the network has one node for each pattern and source and is solved
-exactly on the driver; its size is that of the pattern table, which is refused beyond MAX_PATTERNS. Selection is distributed: a pattern that gives r times its words uses every document floor(r)
-times and once more those that come first in a seeded order, up to the words left; one more document, that which best fits
-what then lacks, follows. The cut is found from a histogram of the seeded order in two levels, so only the documents of one of
-BUCKETS buckets a pattern are ever ordered against each other.
+repetition, at convex costs (1, 3, 9, ...: a first use is cheapest), and a source takes at most its quota. Quotas are found by rounds of
+sums over the table of sources, of any number. The network falls into the connected components of sources that share documents. A component
+of one source (always so where the source column is a string) gives that source's quota; every other one is a group of its own, whose
+task solves it exactly: a node for each of its patterns and sources, not for documents. Selection is distributed: a pattern that
+gives r times its words uses every document floor(r) times and once more those that come first in a seeded order, up to the words
+left; one more document, that which best fits what then lacks, follows. The cut is found from a histogram of the seeded order in
+two levels, so only the documents of one of BUCKETS buckets a pattern are ever ordered against each other.
 
 Null and blank texts have size 0 and are taken 0 words. A null source is a source of its own, after the others. Null doc_id:
 has its place in the seeded order by its text. Rows equal in id and text are used alike. Empty table: no rows. Other columns pass through
@@ -19,12 +19,13 @@ from __future__ import annotations
 
 from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prefix_sums, small_enough, table, word_count, written
+from .common import components, prefix_sums, small_enough, table, word_count, written
 
-REPEATS, SEED, BUCKETS, COARSE, MAX_PATTERNS = 3, 42, 1 << 14, 1 << 7, 100_000
+REPEATS, SEED, BUCKETS, COARSE = 3, 42, 1 << 14, 1 << 7
 #: Sources or patterns whose plan is broadcast at most.
 PLANNED = 100_000
 
@@ -99,34 +100,41 @@ def _plan(held: DataFrame, give, target) -> DataFrame:
     return written(held.select("_of", F.col("size").alias("source_size"), "target", whole.cast("long").alias("_whole"), rest.cast("long").alias("_rest")))
 
 
-def one_source_plan(held: DataFrame, weights, repeats: int) -> DataFrame:
-    """The plan where each pattern is one source, with the quotas of `quotas`; held: _of, size. Only sums and the sources that
+def source_targets(sources: DataFrame, weights, repeats: int) -> DataFrame:
+    """The quotas of `quotas` as columns _target and _round (whole words) of sources (_s, size). Only sums and the sources that
     `weights` names come to the driver."""
-    held = held.select("_of", "size", F.col("_of")[0].alias("_s"), F.col("_of")[0].isNull().alias("_null"))
     if weights:
-        named = spark_rows(held, weights)
-        found = held.join(F.broadcast(named.select(F.col("_s").alias("_k"))), F.col("_s").eqNullSafe(F.col("_k"))).select("_s", "size").collect()
-        words = held.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+        named = spark_rows(sources, weights)
+        same = F.col("_s").eqNullSafe(F.col("_k"))
+        found = sources.join(F.broadcast(named.select(F.col("_s").alias("_k"))), same).select("_s", "size").collect()
+        words = sources.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
         # all other sources as one without weight
         target = quotas([*(r["size"] for r in found), words - sum(r["size"] for r in found)], [*(weights[r["_s"]] for r in found), 0], repeats)
-        named = spark_rows(held, {r["_s"]: t for r, t in zip(found, target)})
-        held = held.join(F.broadcast(named.withColumnRenamed("_s", "_k")), F.col("_s").eqNullSafe(F.col("_k")), "left")
-        return _plan(held, F.coalesce("_round", F.lit(0)), F.coalesce("_target", F.lit(0.0)))
-    held = written(prefix_sums(held, ["_null", "_s"], "size").withColumn("_w", F.col("row_no") % 3 + 1).select("_of", "size", "_w"))
-    words, weight = held.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("_w"), F.lit(0))).first()
+        named = spark_rows(sources, {r["_s"]: t for r, t in zip(found, target)})
+        out = sources.join(F.broadcast(named.withColumnRenamed("_s", "_k")), same, "left")
+        return out.select("_s", "size", F.coalesce("_target", F.lit(0.0)).alias("_target"), F.coalesce("_round", F.lit(0)).alias("_round"))
+    sources = sources.select("_s", "size", F.col("_s").isNull().alias("_null"))
+    sources = written(prefix_sums(sources, ["_null", "_s"], "size").withColumn("_w", F.col("row_no") % 3 + 1).select("_s", "size", "_w"))
+    words, weight = sources.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("_w"), F.lit(0))).first()
     # each round, sources whose share by weight is more than they have are full, and their excess raises the others' shares
     left, total, full, before = words, weight, F.lit(False), -1
     while total:
         most = [(left * w - 1) // (total * repeats) for w in (1, 2, 3)]
         full = F.col("size") <= F.element_at(F.array(*[F.lit(m).cast("long") for m in most]), F.col("_w").cast("int"))
-        n, size, taken = held.filter(full).agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("_w"), F.lit(0))).first()
+        n, size, taken = sources.filter(full).agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("_w"), F.lit(0))).first()
         if n == before:
             break
         before, left, total = n, words - repeats * size, weight - taken
     share = [Fraction(left * w, total) if total else Fraction(0) for w in (1, 2, 3)]
     mine = [F.element_at(F.array(*[F.lit(x) for x in xs]), F.col("_w").cast("int")) for xs in ([int(round(x)) for x in share], [float(x) for x in share])]
     most = F.col("size") * repeats
-    return _plan(held, F.when(full, most).otherwise(mine[0].cast("long")), F.when(full, most.cast("double")).otherwise(mine[1]))
+    return sources.select("_s", "size", F.when(full, most.cast("double")).otherwise(mine[1]).alias("_target"), F.when(full, most).otherwise(mine[0].cast("long")).alias("_round"))
+
+
+def one_source_plan(held: DataFrame, weights, repeats: int) -> DataFrame:
+    """The plan where each pattern is one source; held: _of, size."""
+    found = source_targets(held.select(F.get("_of", 0).alias("_s"), "size"), weights, repeats)
+    return _plan(found.withColumn("_of", F.array("_s")), F.col("_round"), F.col("_target"))
 
 
 def spark_rows(held: DataFrame, values: dict) -> DataFrame:
@@ -137,24 +145,35 @@ def spark_rows(held: DataFrame, values: dict) -> DataFrame:
 
 def network_plan(held: DataFrame, weights, repeats: int) -> DataFrame:
     """The plan where documents belong to several sources; held: _of, size."""
-    spark = held.sparkSession
-    held = held.limit(MAX_PATTERNS + 1).collect()
-    if len(held) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
-    held = sorted(((list(h["_of"] or []), h["size"]) for h in held), key=lambda h: [(x is None, (x or "").encode("utf-8")) for x in h[0]])
-    every = sorted({s for of, _ in held for s in of}, key=lambda x: (x is None, (x or "").encode("utf-8")))
-    at = {s: i for i, s in enumerate(every)}
-    share = [weights.get(s, 0) for s in every] if weights else [1 + i % 3 for i in range(len(every))]
+    held = written(held.select("_of", "size"))
+    member = held.filter(F.size("_of") > 0).select("_of", "size", F.explode("_of").alias("_s"))
     # what a source could use at most: every document that belongs to it
-    sizes = [sum(n for of, n in held if s in of) for s in every]
-    target = quotas(sizes, share, repeats)
-    total, spare = sum(n for _, n in held), sum(target)
-    if spare > total:  # overlapping words count once
-        target = [t * total / spare for t in target]
-    flow = min_cost_flow([(n, [at[s] for s in of]) for of, n in held], [round(t) for t in target], repeats)
-    gives = [sum(flow.get((p, s), 0) for s in range(len(every))) for p in range(len(held))]
-    plan = [(of, n, float(g), g // n if n else 0, g % n if n else 0) for (of, n), g in zip(held, gives)]
-    return spark.createDataFrame(plan, "_of array<string>, source_size long, target double, _whole long, _rest long")
+    sources = written(source_targets(member.groupBy("_s").agg(F.sum("size").alias("size")), weights, repeats))
+    spare, total = sources.agg(F.coalesce(F.sum("_target"), F.lit(0.0))).first()[0], held.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    part = min(1.0, total / spare) if spare else 1.0  # overlapping words count once
+    quota = F.round(F.col("_target") * part).cast("long") if part < 1 else F.col("_round")
+    name = lambda s: F.coalesce(F.concat(F.lit("s"), s), F.lit("n"))
+    shared = held.filter(F.size("_of") > 1).select(F.explode(F.transform(F.slice("_of", 2, 1 << 30), lambda s: F.struct(name(F.get("_of", 0)).alias("a"), name(s).alias("b")))).alias("e")).select("e.*")
+    root = written(components(shared))
+    sources = sources.select("_s", quota.alias("_quota"), name(F.col("_s")).alias("node")).join(root.select("node", F.col("root").alias("_root")), "node", "left")
+    patterns = held.withColumn("node", name(F.get("_of", 0))).join(root, "node", "left")
+    single = patterns.filter("root is null").select("_of", "size", F.get("_of", 0).alias("_s"), F.size("_of").alias("_n"))
+    alone = sources.filter("_root is null").select(F.col("_s").alias("_k"), "_quota")
+    single = single.join(alone, (F.col("_n") > 0) & F.col("_s").eqNullSafe(F.col("_k")), "left")
+    single = single.select("_of", "size", F.least(F.coalesce("_quota", F.lit(0)), F.col("size") * repeats).alias("_give"))
+
+    def solve(patterns: pa.Table, sources: pa.Table) -> pa.Table:
+        rows = sorted(zip(patterns.column("_of").to_pylist(), patterns.column("size").to_pylist()), key=lambda r: [(s is None, s or "") for s in r[0]])
+        every = sorted(zip(sources.column("_s").to_pylist(), sources.column("_quota").to_pylist()), key=lambda r: (r[0] is None, r[0] or ""))
+        at = {s: i for i, (s, _) in enumerate(every)}
+        flow = min_cost_flow([(n, [at[s] for s in of]) for of, n in rows], [q for _, q in every], repeats)
+        gives = [0] * len(rows)
+        for (p, _), n in flow.items():
+            gives[p] += n
+        return pa.table({"_of": pa.array([of for of, _ in rows], pa.list_(pa.string())), "size": pa.array([n for _, n in rows], pa.int64()), "_give": pa.array(gives, pa.int64())})
+
+    linked = patterns.filter("root is not null").groupBy("root").cogroup(sources.filter("_root is not null").groupBy("_root")).applyInArrow(solve, "_of array<string>, size long, _give long")
+    return _plan(single.unionByName(linked), F.col("_give"), F.col("_give").cast("double"))
 
 
 def mixed(docs: DataFrame, weights=None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", repeats: int = REPEATS, seed: int = SEED, buckets: int = BUCKETS) -> DataFrame:

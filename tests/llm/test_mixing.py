@@ -47,10 +47,18 @@ def test_whole_table(spark):
         s[0] += r["size"]
         s[1] += r.taken
         assert r.taken % max(1, r["size"]) == 0 and r.taken <= 3 * r["size"]
+    # targets worked out by water-filling in whole hundredths of a word, apart from the operator
     order = sorted(by)
-    want = mixing.quotas([by[s][0] for s in order], [1 + i % 3 for i in range(len(order))])
-    for s, t in zip(order, want):
-        assert by[s][0] == by[s][3] and abs(by[s][2] - float(t)) < 1e-6 and abs(by[s][1] - t) <= 0.03 * t
+    weight, full, total = {s: 1 + i % 3 for i, s in enumerate(order)}, set(), sum(by[s][0] for s in order)
+    while True:
+        left, share = total - sum(3 * by[s][0] for s in full), sum(weight[s] for s in order if s not in full)
+        more = {s for s in order if s not in full and left * weight[s] > 3 * by[s][0] * share}
+        if not more:
+            break
+        full |= more
+    for s in order:
+        t = 3 * by[s][0] if s in full else left * weight[s] / share
+        assert by[s][0] == by[s][3] and abs(by[s][2] - t) < 1e-6 and abs(by[s][1] - t) <= 0.03 * t
 
 
 def test_overlapping_sources_and_extra_columns(spark):
@@ -86,7 +94,30 @@ def test_plan_of_single_sources_is_that_of_quotas_and_flow(spark):
 
 
 def test_one_source_for_each_of_very_many_hosts(spark):
-    docs = spark.range(mixing.MAX_PATTERNS + 2000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), F.lpad(F.col("id").cast("string"), 9, "0").alias("source"))
+    docs = spark.range(102_000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), F.lpad(F.col("id").cast("string"), 9, "0").alias("source"))
     got = mixing.mixed(docs).groupBy(F.col("doc_id") % 3, "target", "source_size", "taken").count().collect()
     # 102,000 sources of two words, weights 1, 2, 3: one, two and three words each; a text for one missing word is no nearer
     assert sorted(map(tuple, got)) == [(0, 1.0, 2, 0, 34_000), (1, 2.0, 2, 2, 34_000), (2, 3.0, 2, 2, 34_000)]
+
+
+def test_networks_of_overlapping_sources_equal_one_flow(spark):
+    rng = random.Random(8)
+    names = [None, *(f"s{i}" for i in range(9))]
+    held = {}
+    for _ in range(25):
+        k = rng.randrange(9)
+        of = tuple(sorted({names[k], names[k // 2 * 2 % 10], *rng.sample(names[:3], rng.randrange(2))} if rng.random() < 0.7 else {names[k]}, key=lambda x: (x is None, x or "")))
+        held[of] = rng.choice([0, 5, 60, 700])
+    held[()] = 40
+    got = {tuple(r._of): r._whole * r.source_size + r._rest for r in mixing.network_plan(spark.createDataFrame([(list(k), n) for k, n in held.items()], "_of array<string>, size long"), None, 3).collect()}
+    every = sorted({s for of in held for s in of}, key=lambda x: (x is None, x or ""))
+    sizes = [sum(n for of, n in held.items() if s in of) for s in every]
+    target = mixing.quotas(sizes, [1 + i % 3 for i in range(len(every))])
+    part = min(1, sum(held.values()) / float(sum(target)))
+    quota = [int(float(t) * part + 0.5) for t in target]
+    patterns = sorted(held, key=lambda of: [(s is None, s or "") for s in of])
+    flow = mixing.min_cost_flow([(held[of], [every.index(s) for s in of]) for of in patterns], quota)
+    assert got.keys() == held.keys()
+    cost = lambda gives: sum(min(g, held[of]) + 3 * max(0, min(g, 2 * held[of]) - held[of]) + 9 * max(0, g - 2 * held[of]) for of, g in gives.items())
+    want = {of: sum(n for (p, _), n in flow.items() if patterns[p] == of) for of in patterns}
+    assert sum(got.values()) == sum(want.values()) and cost(got) == cost(want)
