@@ -1,7 +1,7 @@
 """URL filter by empirical-Bayes host reputation.
 
-Labelled page outcomes (bad: quality 0 or toxic 1) are counted by host, registered domain (the last two names) and suffix
-(the last name). Each level's bad rates are beta-binomial: its prior is centred on the posterior mean of the level above, and
+Labelled page outcomes (bad: quality 0 or toxic 1) are counted by host, registered domain (one name more than the suffix) and suffix
+(the last name, or the last two where registries give out names below them: SUFFIXES). User and port are no part of these. Each level's bad rates are beta-binomial: its prior is centred on the posterior mean of the level above, and
 its strength is fitted by moments over all groups of the level, so a host with little evidence is shrunk to its domain, a
 domain to its suffix, a suffix to the whole. A page is blocked where the lower bound of its host's posterior (mean less Z
 standard deviations) is over THRESHOLD; hosts without labels take the posterior of the nearest level above that has some.
@@ -9,7 +9,7 @@ Fixed rules (host and path prefix) come first; the longest that fits decides.
 
 A page's label is that of the document whose number stands in its path (the first run of digits that follows a slash).
 
-Null url, or one without "://": empty host and path, no rule, judged at the top level. Null labels count as good. Repeated pages
+Very long urls are read whole. Null url, or one without "://": empty host and path, no rule, judged at the top level. Null labels count as good. Repeated pages
 come back as often as they stand; repeated labels of a document count as one (bad if any is). Empty tables: no rows, or no
 evidence (all pages without a rule are allowed). Other columns of pages are not read.
 """
@@ -23,6 +23,11 @@ from .common import small_enough, table, written
 
 #: Fixed rules: host, path prefix, verdict.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+# Suffixes of two names below which names are registered.
+SUFFIXES = (
+    "co.uk org.uk gov.uk ac.uk net.uk com.br org.br gov.br net.br edu.br leg.br mp.br com.au net.au org.au gov.au edu.au co.nz org.nz co.za org.za co.jp ne.jp or.jp ac.jp go.jp co.kr or.kr "
+    "co.in org.in gov.in com.cn org.cn gov.cn com.tw com.hk com.sg com.my co.id com.mx org.mx gob.mx com.ar gob.ar com.co com.pe com.ve com.ec com.uy com.tr gov.tr com.ua com.pl co.il com.eg com.sa com.pt"
+).split()
 THRESHOLD, Z, STRONGEST = 0.5, 1.645, 1000.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -44,6 +49,14 @@ def rule_of(host, path, rules=RULES) -> tuple:
     return name, verdict
 
 
+def levels_of(host) -> dict:
+    """host, domain and suffix of a host for its reputation."""
+    name = F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
+    two = F.substring_index(name, ".", -2)
+    long = two.isin(SUFFIXES)
+    return {"site": name, "domain": F.when(long, F.substring_index(name, ".", -3)).otherwise(two), "suffix": F.when(long, two).otherwise(F.substring_index(name, ".", -1))}
+
+
 def _strength(groups: DataFrame, centre: str | float) -> float:
     """Prior strength of a level by moments: n labelled pages and k bad ones of each group, and the mean above it."""
     m = F.lit(centre) if isinstance(centre, float) else F.col(centre)
@@ -58,16 +71,14 @@ def _strength(groups: DataFrame, centre: str | float) -> float:
 
 
 def reputation(outcomes: DataFrame, z: float = Z) -> tuple[list[DataFrame], float]:
-    """outcomes: host, bad (0 or 1). Tables (level name, mean, bound) of host, domain and suffix, and the bound at the top."""
-    level = {"host": F.col("host"), "domain": F.substring_index("host", ".", -2), "suffix": F.substring_index("host", ".", -1)}
-    hosts = written(outcomes.groupBy("host").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("bad").cast("double").alias("k")))
+    """outcomes: site, domain, suffix, bad (0 or 1). Tables (level name, mean, bound) of site, domain and suffix, and the bound at the top."""
+    hosts = written(outcomes.groupBy("site", "domain", "suffix").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("bad").cast("double").alias("k")))
     total = hosts.agg(F.coalesce(F.sum("n"), F.lit(0.0)), F.coalesce(F.sum("k"), F.lit(0.0))).first()
     a, b = total[1] + 0.5, total[0] - total[1] + 0.5  # Jeffreys' prior at the top
     above, key, out = a / (a + b), None, []
     top = above - z * (a * b / (a + b) ** 2 / (a + b + 1)) ** 0.5
-    hosts = hosts.withColumns({"domain": level["domain"], "suffix": level["suffix"]})
     found = None
-    for name in ("suffix", "domain", "host"):
+    for name in ("suffix", "domain", "site"):
         groups = hosts.groupBy(name, *([key] if key else [])).agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
         groups = groups.join(found.select(key, F.col("mean").alias("m")), key) if key else groups.withColumn("m", F.lit(above))
         groups = written(groups)
@@ -82,16 +93,16 @@ def reputation(outcomes: DataFrame, z: float = Z) -> tuple[list[DataFrame], floa
 def judged(pages: DataFrame, labels: DataFrame, rules=RULES, threshold: float = THRESHOLD, z: float = Z) -> DataFrame:
     """page_id, host, path, rule, verdict of every page."""
     host, path = parts_of(F.col("url"))
-    pages = pages.select("page_id", host.alias("host"), path.alias("path"))
+    pages = pages.select("page_id", host.alias("host"), path.alias("path")).withColumns(levels_of(F.col("host")))
     bad = F.max(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0))
     labels = labels.groupBy(F.col("doc_id").alias("doc")).agg(bad.alias("bad"))
-    named = pages.select("host", F.expr(r"try_cast(regexp_extract(path, '/([0-9]+)', 1) as bigint)").alias("doc")).filter("doc is not null")
-    (hosts, domains, suffixes), top = reputation(named.join(labels, "doc").select("host", "bad"), z)
+    named = pages.select("site", "domain", "suffix", F.expr(r"try_cast(regexp_extract(path, '/([0-9]+)', 1) as bigint)").alias("doc")).filter("doc is not null")
+    (hosts, domains, suffixes), top = reputation(named.join(labels, "doc").select("site", "domain", "suffix", "bad"), z)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    pages = pages.withColumns({"rule": rule, "_said": verdict, "domain": F.substring_index("host", ".", -2), "suffix": F.substring_index("host", ".", -1)})
-    for name, found in (("host", hosts), ("domain", domains), ("suffix", suffixes)):
+    pages = pages.withColumns({"rule": rule, "_said": verdict})
+    for name, found in (("site", hosts), ("domain", domains), ("suffix", suffixes)):
         pages = pages.join(small_enough(found.select(name, F.col("bound").alias(f"_{name}")), 100_000), name, "left")
-    own = F.when(F.coalesce("_host", "_domain", "_suffix", F.lit(top)) > threshold, "block").otherwise("allow")
+    own = F.when(F.coalesce("_site", "_domain", "_suffix", F.lit(top)) > threshold, "block").otherwise("allow")
     return pages.select("page_id", "host", "path", "rule", F.coalesce("_said", own).alias("verdict"))
 
 
@@ -114,27 +125,29 @@ _RULE_SQL = [
     " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{x}'" for h, p, x in ((h, p, (h + p, v)[i]) for h, p, v in sorted(RULES, key=lambda r: -len(r[0] + r[1]))))
     for i in (0, 1)
 ]
+_SUFFIX_SQL = ", ".join(f"'{x}'" for x in SUFFIXES)
 ORACLE_SQL = f"""
 WITH rest AS (
   SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages
 ), parsed AS (
   SELECT page_id, translate(regexp_extract(r, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest
 ), named AS (
-  SELECT *, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix,
+  SELECT *, CASE WHEN two IN ({_SUFFIX_SQL}) THEN array_to_string(string_split(site, '.')[-3:], '.') ELSE two END AS domain,
+         CASE WHEN two IN ({_SUFFIX_SQL}) THEN two ELSE string_split(site, '.')[-1] END AS suffix,
          CASE {_RULE_SQL[0]} END AS rule, CASE {_RULE_SQL[1]} END AS said, TRY_CAST(regexp_extract(path, '/([0-9]+)', 1) AS BIGINT) AS doc
-  FROM parsed
+  FROM (SELECT *, array_to_string(string_split(site, '.')[-2:], '.') AS two FROM (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS site FROM parsed))
 ), outcome AS (
   SELECT doc_id AS doc, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id
 ), hosts AS (
-  SELECT host, domain, suffix, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS k FROM named JOIN outcome USING (doc) GROUP BY ALL
+  SELECT site, domain, suffix, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS k FROM named JOIN outcome USING (doc) GROUP BY ALL
 ), whole AS (SELECT coalesce(sum(k), 0) + 0.5 AS a, coalesce(sum(n) - sum(k), 0) + 0.5 AS b FROM hosts),
 top AS (SELECT a / (a + b) AS mean, a / (a + b) - {Z} * sqrt(a * b / (a + b) ** 2 / (a + b + 1)) AS bound FROM whole),
 {_level_sql("suffix", "CROSS JOIN top", "top.mean")}
 {_level_sql("domain", "JOIN p_suffix USING (suffix)", "p_suffix.mean")}
-{_level_sql("host", "JOIN p_domain USING (domain)", "p_domain.mean")}
+{_level_sql("site", "JOIN p_domain USING (domain)", "p_domain.mean")}
 fin AS (
-  SELECT page_id, host, path, rule, said, coalesce(p_host.bound, p_domain.bound, p_suffix.bound, (SELECT bound FROM top)) AS bound
-  FROM named LEFT JOIN p_host USING (host) LEFT JOIN p_domain USING (domain) LEFT JOIN p_suffix USING (suffix)
+  SELECT page_id, host, path, rule, said, coalesce(p_site.bound, p_domain.bound, p_suffix.bound, (SELECT bound FROM top)) AS bound
+  FROM named LEFT JOIN p_site USING (site) LEFT JOIN p_domain USING (domain) LEFT JOIN p_suffix USING (suffix)
 )
 SELECT page_id, host, path, rule, coalesce(said, CASE WHEN bound > {THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict FROM fin
 """

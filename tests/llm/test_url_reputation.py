@@ -27,3 +27,20 @@ def test_reputation_shrinks_and_blocks(spark):
     assert got.count() == n + 3
     empty = spark.createDataFrame([], "page_id long, url string")
     assert u.judged(empty, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).count() == 0
+
+
+def test_levels(spark):
+    hosts = {"www.a.co.uk:8080": ("www.a.co.uk", "a.co.uk", "co.uk"), "me:x@b.com": ("b.com", "b.com", "com"), "co.uk": ("co.uk", "co.uk", "co.uk"), "localhost": ("localhost",) * 3, "": ("",) * 3, "a.b.example.com:": ("a.b.example.com", "example.com", "com")}
+    rows = spark.createDataFrame([(h,) for h in hosts], "host string")
+    levels = u.levels_of(rows.host)
+    assert {r[0]: tuple(r[1:]) for r in rows.select("host", *[levels[k] for k in ("site", "domain", "suffix")]).collect()} == hosts
+
+
+def test_sites_of_a_shared_suffix_and_long_urls(spark):
+    # one bad site under co.uk does not block the others there; its subdomains and ports share its name
+    pages = [(i, f"http://bad.co.uk:80/x/{i}") for i in range(40)] + [(i, f"http://good{i % 9}.co.uk/x/{i}") for i in range(40, 120)]
+    labels = [(i, int(i >= 40), 0) for i in range(120)]
+    pages += [(200, "http://www.bad.co.uk/"), (201, "http://new.co.uk/"), (202, "http://bad.co.uk/" + "a" * 300_000)]
+    got = {r.page_id: r for r in u.judged(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert (got[0].verdict, got[50].verdict, got[200].verdict, got[201].verdict, got[202].verdict) == ("block", "allow", "block", "allow", "block")
+    assert got[0].host == "bad.co.uk:80" and len(got[202].path) == 300_001
