@@ -1,7 +1,8 @@
 """Quality classifier: nearest-neighbour voting in a latent-semantic space.
 
-The terms of a text are pairs of neighbouring characters in 32 classes, triples in 10 coarse classes, and its share of words
-that repeat the word before and of words that it holds already (each in steps). A term-document matrix of log counts times
+The terms of a text are its words and its pairs of neighbouring words (each hashed to WORDS buckets), pairs of neighbouring characters in
+32 classes, triples in 10 coarse classes, and its share of words that repeat the word before and of words that it holds already
+(each in steps). A term-document matrix of log counts times
 inverse document frequency, taken over at most SAMPLE labelled rows, is cut to RANK latent dimensions by a seeded randomised
 SVD. The labelled vectors (SAMPLE x RANK numbers) and the projection (TERMS x RANK) are broadcast: their sizes are fixed by
 these parameters. Every document is projected, its cosines with all labelled vectors are computed exactly, block by block, and the
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import table
-from .substring import word_ids
+from .substring import FACTOR, word_ids
 
 SAMPLE, RANK, NEAREST, POWER, SEED, CUT = 3000, 48, 15, 8, 42, 0.3
 MARKS = b" \n.,!?|$%&*#:;-'\"()/=<>@_"
@@ -56,7 +57,9 @@ def _classes() -> tuple[np.ndarray, np.ndarray]:
 
 
 FINE, COARSE = _classes()
-TERMS = 32 * 32 + 10 * 10 * 10 + 2 * STEPS
+#: Buckets of words, and of word pairs.
+WORDS = 1024
+TERMS = 32 * 32 + 10 * 10 * 10 + 2 * WORDS + 2 * STEPS
 
 
 def _slices(column: pa.Array, size: int = 1_000_000) -> Iterator[tuple[int, int]]:
@@ -88,6 +91,9 @@ def term_counts(column: pa.Array) -> np.ndarray:
             out[:, step : step + base**k] += np.bincount(row[:m][keep] * base**k + term[keep], minlength=n * base**k).reshape(n, -1)
     ids, row = word_ids(column)
     words = np.bincount(row, minlength=n)
+    pairs = np.flatnonzero(row[1:] == row[:-1])
+    for step, of, term in ((2024, row, ids), (2024 + WORDS, row[pairs], (ids[pairs] * FACTOR + ids[pairs + 1]) * FACTOR)):
+        out[:, step : step + WORDS] = np.bincount(of * WORDS + (term >> np.uint64(40)).astype(np.int64) % WORDS, minlength=n * WORDS).reshape(n, WORDS)
     again = np.bincount(row[1:][(ids[1:] == ids[:-1]) & (row[1:] == row[:-1])], minlength=n)
     order = np.lexsort((ids, row))
     held = np.bincount(row[order][1:][(ids[order][1:] == ids[order][:-1]) & (row[order][1:] == row[order][:-1])], minlength=n)
