@@ -21,7 +21,7 @@ def brute(texts):
     return out
 
 
-def roots(fps, ids):
+def roots(fps, ids, limit=4):
     root = list(range(len(fps)))
     def find(i):
         while root[i] != i:
@@ -29,7 +29,7 @@ def roots(fps, ids):
         return i
     for i in range(len(fps)):
         for j in range(i):
-            if bin(fps[i] ^ fps[j]).count("1") <= 4:
+            if bin(fps[i] ^ fps[j]).count("1") <= limit:
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
     groups = {}
@@ -49,7 +49,9 @@ def test_whole_table_against_brute_force(spark):
 def test_long_texts_in_pieces():
     texts = ["A bc  d e f g", "a", "a b c", "", " \n", "word " * 300 + "x", "y" * 500 + " z q w"]
     for t, want in zip(texts, brute(texts)):
-        assert {simhash.fingerprint(t.encode(), piece=n) & (2**64 - 1) for n in (1, 7, 64, 1 << 19)} == {want}
+        for prints in (1, 3):
+            found = [simhash.fingerprint(t.encode(), piece=n, prints=prints) for n in (1, 7, 64, 1 << 19)]
+            assert {int(f[0]) & (2**64 - 1) for f in found} == {want} and all((f == found[0]).all() for f in found)
 
 
 def test_links_of_clustered_fingerprints(spark):
@@ -62,9 +64,9 @@ def test_links_of_clustered_fingerprints(spark):
     frame = spark.createDataFrame([(int(np.uint64(f).astype(np.int64)),) for f in fps], "fp long")
     from newsloom.llm.common import components
 
-    want = roots(fps, ids)
-    for block in (20_000, 3):
-        found = {int(np.int64(r.node).astype(np.uint64)): int(np.int64(r.root).astype(np.uint64)) for r in components(simhash.links(frame, block)).collect()}
+    for block, limit in ((20_000, 4), (3, 4), (20_000, 6), (5, 7)):
+        want = roots(fps, ids, limit)
+        found = {int(np.int64(r.node).astype(np.uint64)): int(np.int64(r.root).astype(np.uint64)) for r in components(simhash.links(frame, block, limit)).collect()}
         mine = {}
         for f, w in zip(fps, want):
             mine.setdefault(found.get(f, f), set()).add(w)
@@ -77,3 +79,27 @@ def test_odd_rows(spark):
     got = sorted(((r.doc_id or 0), r.component_id) for r in simhash.near_duplicates(docs).collect())
     assert got == [(0, 5), (1, 1), (2, 1), (3, 1), (5, 5), (5, 5), (6, 6)]
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_several_fingerprints_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(rng.choice(words, rng.integers(0, 120))) for _ in range(60)]
+    for _ in range(240):
+        w = texts[rng.integers(60)].split()
+        for _ in range(rng.integers(0, 6)):
+            if w:
+                w[rng.integers(len(w))] = str(rng.choice(words))
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    fps = np.array([simhash.fingerprint(t.encode(), 5, prints=3) for t in texts])
+    near = (np.bitwise_count((fps[:, None] ^ fps[None]).view(np.uint64)) <= 6).any(2)
+    root = list(range(300))
+    for _ in range(300):
+        new = [min(root[j] for j in np.flatnonzero(near[i])) for i in range(300)]
+        if new == root:
+            break
+        root = new
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, words=5, prints=3, limit=6).collect()}
+    assert got == dict(enumerate(root)) and 60 < len(set(root)) < 300
+    assert len(set(root)) < len({r.component_id for r in simhash.near_duplicates(docs, words=5, limit=6).collect()})
