@@ -16,7 +16,7 @@ sequence that occurs again. Five steps:
 5. Each block marks the windows that it was told of and those that a smaller doc_id of its own holds. Covering windows merge
    to maximal repeats, whose words go.
 
-Two windows are one leaf if the 64-bit hashes of their prefix and of their 13 words are equal; about (suffixes x GROUP) / 2^64 false
+Two windows are one leaf if 32 bits of their prefixes' hashes and the 64-bit hashes of their 13 words are equal; at most (suffixes x GROUP) / 2^64 false
 matches are to be expected (10^-3 at 30 GB).
 
 Null text: no words. Null doc_id: larger than any other, and nulls do not compare with each other. Rows of the same doc_id do
@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import dropped, prefix_sums, table, written
+from .common import apart, dropped, prefix_sums, table, written
 
 WINDOW = 13
 #: Suffixes of a group, bytes of a block, least number of buckets, cuts that are broadcast at most.
@@ -160,13 +160,14 @@ def _counts(window: int, buckets: int, most: int = 1 << 20):
     return run
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """Sorted numbers as byte planes of their differences; the shuffle's codec packs the empty planes."""
-    return np.diff(values, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+def _planes(values: np.ndarray, width: int = 8) -> bytes:
+    """Numbers as byte planes of their differences; the shuffle's codec packs the empty planes."""
+    return np.diff(values, prepend=values.dtype.type(0)).astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
 
 
-def _values(planes: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(planes, np.uint8).reshape(8, -1).T.copy().view("<u8").ravel(), dtype=np.uint64)
+def _values(planes: bytes, width: int = 8) -> np.ndarray:
+    kind = np.dtype(f"<u{width}")
+    return np.cumsum(np.frombuffer(planes, np.uint8).reshape(width, -1).T.copy().view(kind).ravel(), dtype=kind)
 
 
 def _split_prefixes(docs: DataFrame, text_col: str, window: int, group: int, buckets: int) -> dict[int, np.ndarray]:
@@ -210,7 +211,7 @@ def _dealt(docs: DataFrame, id_col: str, text_col: str, block: int, cuts: int) -
     return out.withColumn("_block", F.when(F.col(id_col).isNull(), unnamed).otherwise(named)).select(*docs.columns, "_block"), whole
 
 
-def _hand_out(window: int, split: dict[int, np.ndarray], groups: int, buckets: int, text_at: str):
+def _hand_out(window: int, split: dict[int, np.ndarray], groups: np.ndarray, buckets: int, text_at: str):
     """A block's subtrees, in leaf order, to the groups of their prefixes: the prefixes, the number of leaves below each, the leaves."""
 
     def run(docs: pa.Table) -> pa.Table:
@@ -223,17 +224,17 @@ def _hand_out(window: int, split: dict[int, np.ndarray], groups: int, buckets: i
             now = open_ & ~np.isin(_bucket(own, buckets), split[k])
             prefix[now] = _hashed(own[now] + np.uint64(k))
             open_ &= ~now
-        to = (prefix % np.uint64(groups)).astype(np.int64)
+        to, prefix = (prefix % np.uint64(len(groups))).astype(np.int64), (prefix >> np.uint64(32)).astype(np.uint32)
         order = np.lexsort((leaf, prefix, to))
         to, prefix, leaf = to[order], prefix[order], leaf[order]
-        tree = np.flatnonzero(np.diff(prefix, prepend=~prefix[:1]) | (np.diff(to, prepend=-1) != 0).astype(np.uint64))
-        size = np.diff(tree, append=len(to)).astype("<u4")
+        tree = np.flatnonzero((np.diff(prefix, prepend=~prefix[:1]) != 0) | (np.diff(to, prepend=-1) != 0))
+        size = np.diff(tree, append=len(to)).astype(np.uint32)
         first = np.flatnonzero(np.diff(to[tree], prepend=-1))  # trees at which a group begins
         cuts = tree[first]
         return pa.table({
-            "grp": pa.array(to[cuts]), "block": pa.array(np.full(len(first), block, np.int64)),
-            "prefixes": pa.array([x.astype("<u8").tobytes() for x in np.split(prefix[tree], first[1:])] if len(first) else [], pa.binary()),
-            "sizes": pa.array([x.tobytes() for x in np.split(size, first[1:])] if len(first) else [], pa.binary()),
+            "grp": pa.array(groups[to[cuts]]), "block": pa.array(np.full(len(first), block, np.int64)),
+            "prefixes": pa.array([_planes(x, 4) for x in np.split(prefix[tree], first[1:])] if len(first) else [], pa.binary()),
+            "sizes": pa.array([_planes(x, 4) for x in np.split(size, first[1:])] if len(first) else [], pa.binary()),
             "leaves": pa.array([_planes(x) for x in np.split(leaf, cuts[1:])] if len(first) else [], pa.binary()),
         })
 
@@ -245,7 +246,7 @@ def _inner_nodes(part: pa.Table) -> pa.Table:
     order = np.argsort(part.column("block").to_numpy(), kind="stable")
     blocks = part.column("block").to_numpy()[order]
     column = lambda name: [part.column(name)[int(i)].as_py() for i in order]
-    prefix = np.concatenate([np.repeat(np.frombuffer(p, "<u8"), np.frombuffer(n, "<u4")) for p, n in zip(column("prefixes"), column("sizes"))])
+    prefix = np.concatenate([np.repeat(_values(p, 4), _values(n, 4)) for p, n in zip(column("prefixes"), column("sizes"))])
     leaves = [_values(x) for x in column("leaves")]
     at = np.repeat(np.arange(len(leaves), dtype=np.int32), [len(x) for x in leaves])
     leaf = np.concatenate(leaves)
@@ -319,13 +320,14 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     dealt, size = _dealt(docs, id_col, text_col, block, cuts)
     # a word has some six bytes
     groups = 1 + size // 6 // group
+    parts = min(PARTS, groups)
     while buckets < 16 * groups:
         buckets *= 2
     split = _split_prefixes(docs, text_col, window, group, buckets)
     schema = T.StructType([f for f in docs.schema.fields])
     dealt = dealt.withColumn(text_col, F.col(text_col).cast("binary")).repartition(min(PARTS, 1 + size // PART), "_block")
-    handed = dealt.groupBy("_block").applyInArrow(_hand_out(window, split, groups, buckets, text_col), "grp long, block long, prefixes binary, sizes binary, leaves binary")
-    told = handed.repartition(min(PARTS, groups), "grp").groupBy("grp").applyInArrow(_inner_nodes, "block long, labels binary").withColumnRenamed("block", "_block")
+    handed = dealt.groupBy("_block").applyInArrow(_hand_out(window, split, apart(docs.sparkSession, groups, parts), buckets, text_col), "grp long, block long, prefixes binary, sizes binary, leaves binary")
+    told = handed.repartition(parts, "grp").groupBy("grp").applyInArrow(_inner_nodes, "block long, labels binary").withColumnRenamed("block", "_block")
     if digest:
         out = T.StructType([schema[id_col], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
     else:
