@@ -33,21 +33,45 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/newsloom-work"
 
 
+#: Paths of the tables written inside each `staged` that is running.
+_WRITTEN: list[list[str]] = []
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends here and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for made in _WRITTEN:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def dropped(df: DataFrame) -> None:
     """Delete the files of a table made by written() that no later step reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for path in {os.path.dirname(f) for f in df.inputFiles()}:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        _delete(df.sparkSession, path)
+
+
+def staged(spark: SparkSession, make) -> DataFrame:
+    """written(make()), after which the tables that were written on the way are deleted."""
+    made: list[str] = []
+    _WRITTEN.append(made)
+    try:
+        out = written(make())
+        keep = made.pop()
+    finally:
+        _WRITTEN.pop()
+        for path in made:
+            _delete(spark, path)
+    for outer in _WRITTEN:  # an enclosing stage has only this one left to delete
+        outer[:] = [p for p in outer if p not in made or p == keep]
+    return out
 
 
 def spaced(text) -> F.Column:

@@ -42,3 +42,11 @@ def test_words(spark):
 
 def test_work_folder_is_the_sessions(spark):
     assert common.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_staged_leaves_only_its_result(spark, tmp_path, monkeypatch):
+    import os
+
+    monkeypatch.setattr(common, "shared_folder", lambda _: f"file://{tmp_path}")
+    out = common.staged(spark, lambda: common.staged(spark, lambda: common.written(spark.range(5)).filter("id > 1")).filter("id < 4"))
+    assert sorted(r.id for r in out.collect()) == [2, 3] and len(os.listdir(tmp_path)) == 1
