@@ -12,12 +12,12 @@ result holds only its own columns.
 
 from __future__ import annotations
 
-from functools import wraps
+from functools import partial, wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import small_enough, table, written
+from newsloom.llm.common import small_enough, staged, table, written
 from newsloom.llm.mixing import mixed
 from newsloom.llm.packing import packed
 from newsloom.llm.quality_knn import scored
@@ -94,5 +94,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir))
+        # what a stage wrote on the way goes; its result stays for the next
+        docs = staged(spark, partial(stage, spark, docs, sf_dir))
     return docs
