@@ -37,8 +37,10 @@ def _folds() -> tuple[str, str]:
 
 
 def unaccented(value: Column) -> Column:
-    """Without combining accents, lower case."""
-    return F.lower(F.regexp_replace(F.translate(value, *_folds()), r"[\u0300-\u036F]", ""))
+    """Without combining accents, lower case. Plain ASCII text is not looked up character by character."""
+    folded = lambda v: F.lower(F.regexp_replace(F.translate(v, *_folds()), r"[\u0300-\u036F]", ""))
+    # bound once, so the text that `value` makes is not made again for each branch
+    return F.transform(F.array(value), lambda v: F.when(v.rlike(r"[^\x00-\x7F]"), folded(v)).otherwise(F.lower(v)))[0]
 
 
 def for_match(value: Column) -> Column:

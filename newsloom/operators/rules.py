@@ -1,7 +1,7 @@
-"""Rule sets: weighted patterns as data, in a notation that compiles to Java and to RE2 regular expressions.
+"""Rule sets: weighted patterns as data, regular expressions over unaccented lower-case text.
 
-Notation: `<` and `>` are word boundaries, `~n~` is a gap of at most n characters, the rest is a regular expression over
-unaccented lower-case text.
+Java counts accented letters as word characters at \\b, so for Spark a boundary is written out by ASCII letters; RE2 takes the patterns
+as they are.
 """
 
 from __future__ import annotations
@@ -44,92 +44,134 @@ class RuleSet:
 
 
 def java(pattern: str) -> str:
-    return _compiled(pattern, LEFT, RIGHT)
+    """\\b before a letter, group or class begins a word; any other ends one."""
+    return re.sub(r"\\b(?=[a-z(\[])", lambda _: LEFT, pattern).replace(r"\b", RIGHT)
 
 
 def re2(pattern: str) -> str:
-    return _compiled(pattern, r"\b", r"\b")
-
-
-def _compiled(pattern: str, left: str, right: str) -> str:
-    return re.sub(r"~(\d+)~", r".{0,\1}", pattern).replace("<", left).replace(">", right)
+    return pattern
 
 
 # The vocabulary of public consortia. Words, gaps, weights and priorities decide the results.
-_END = "(dissolucao|extincao|liquidacao|intervencao|colapso|falencia)"
-_DEBT = "(inadimplencia|deficit|rombo|insolvencia)"
-_EXIT = "(retirada|desligamento|desvinculacao|saida|exclusao)"
-_MONEY = "(repasse|aporte|parcelamento|debito|prestacao de contas)"
-_WORK = "(inaugura|lanca|investe|aprova|assina|recebe|amplia|implanta)"
 CONSORTIA = RuleSet(
-    subject="<consorcio(s)?>",
-    strong=r"<(consorcio publico|consorcio intermunicipal|consorcio interfederativo|associacao publica|lei 11\.?107)>",
-    local="<(municipio|municipal|prefeitura|camara municipal|poder executivo)>",
+    subject=r"\bconsorcio(s)?\b",
+    strong=r"\b(consorcio publico|consorcio intermunicipal|consorcio interfederativo|associacao publica|lei 11\.?107)\b",
+    local=r"\b(municipio|municipal|prefeitura|camara municipal|poder executivo)\b",
     official=(".gov.br", ".leg.br", ".mp.br"),
     rules=(
         Rule("CRISE", "🟥", 8, 100, (
-            f"<{_END}>~140~<consorcio", f"<consorcio>~140~<{_END}>", f"<{_DEBT}>~100~<consorcio", f"<consorcio>~100~<{_DEBT}>",
-            "<divida(s)?>~30~<(do|junto ao) consorcio", "<consorcio>~120~<(paralisado|inoperante|sem recursos|sem repasse|encerra atividades)>",
+            r"\b(dissolucao|extincao|liquidacao|intervencao|colapso|falencia)\b.{0,140}\bconsorcio",
+            r"\bconsorcio\b.{0,140}\b(dissolucao|extincao|liquidacao|intervencao|colapso|falencia)\b",
+            r"\b(inadimplencia|deficit|rombo|insolvencia)\b.{0,100}\bconsorcio",
+            r"\bconsorcio\b.{0,100}\b(inadimplencia|deficit|rombo|insolvencia)\b",
+            r"\bdivida(s)?\b.{0,30}\b(do|junto ao) consorcio",
+            r"\bconsorcio\b.{0,120}\b(paralisado|inoperante|sem recursos|sem repasse|encerra atividades)\b",
         )),
         Rule("SAÍDA", "🟧", 8, 90, (
-            f"<{_EXIT}>~140~<(consorcio|municipio consorciado)", f"<consorcio>~140~<{_EXIT}>",
-            "<(deixa|deixou|sai|saiu|rompe|rompeu)>~100~<consorcio", "<denuncia>~100~<protocolo de intencoes",
+            r"\b(retirada|desligamento|desvinculacao|saida|exclusao)\b.{0,140}\b(consorcio|municipio consorciado)",
+            r"\bconsorcio\b.{0,140}\b(retirada|desligamento|desvinculacao|saida|exclusao)\b",
+            r"\b(deixa|deixou|sai|saiu|rompe|rompeu)\b.{0,100}\bconsorcio",
+            r"\bdenuncia\b.{0,100}\bprotocolo de intencoes",
         )),
         Rule("CRIAÇÃO", "🟩", 8, 85, (
-            "<(cria|criado|criacao|institui|formaliza)>~140~<consorcio", "<(constitui|constituicao)>~50~<(um |do )consorcio", "<novo consorcio>",
+            r"\b(cria|criado|criacao|institui|formaliza)\b.{0,140}\bconsorcio",
+            r"\b(constitui|constituicao)\b.{0,50}\b(um |do )consorcio",
+            r"\bnovo consorcio\b",
         )),
         Rule("ADESÃO", "🟦", 7, 80, (
-            "<(adesao|ingresso|integracao|filiacao|inclusao)>~130~<(ao |no )?consorcio",
-            "<(autoriza|autorizado)>~140~<(municipio|prefeitura|poder executivo)>~140~<(participar|integrar|aderir)>~100~<consorcio",
-            "<(passa a integrar|torna-se membro|municipio consorciado)>~100~<consorcio",
-            "<ratifica>~140~<protocolo de intencoes", "<ratificacao>~80~<protocolo de intencoes>",
-            "<ratificacao>~180~<protocolo de intencoes>~220~<(participacao|ingresso|adesao)>",
+            r"\b(adesao|ingresso|integracao|filiacao|inclusao)\b.{0,130}\b(ao |no )?consorcio",
+            r"\b(autoriza|autorizado)\b.{0,140}\b(municipio|prefeitura|poder executivo)\b.{0,140}\b(participar|integrar|aderir)\b.{0,100}\bconsorcio",
+            r"\b(passa a integrar|torna-se membro|municipio consorciado)\b.{0,100}\bconsorcio",
+            r"\bratifica\b.{0,140}\bprotocolo de intencoes",
+            r"\bratificacao\b.{0,80}\bprotocolo de intencoes\b",
+            r"\bratificacao\b.{0,180}\bprotocolo de intencoes\b.{0,220}\b(participacao|ingresso|adesao)\b",
         )),
         Rule("CONTROLE", "🟥", 7, 75, (
-            "<(auditoria|investigacao|operacao|acao civil publica|recomendacao)>~140~<consorcio",
-            "<consorcio>~140~<(irregularidade|fraude|desvio|improbidade|contas rejeitadas)>",
-            "<(tribunal de contas|ministerio publico|tce|tcu)>~160~<consorcio",
+            r"\b(auditoria|investigacao|operacao|acao civil publica|recomendacao)\b.{0,140}\bconsorcio",
+            r"\bconsorcio\b.{0,140}\b(irregularidade|fraude|desvio|improbidade|contas rejeitadas)\b",
+            r"\b(tribunal de contas|ministerio publico|tce|tcu)\b.{0,160}\bconsorcio",
+        )),
+        Rule("RATEIO", "🟪", 7, 70, (
+            r"\bcontrato(s)? de rateio\b",
+            r"\brateio\b.{0,100}\bconsorcio",
+        )),
+        Rule("FINANÇAS", "💰", 6, 65, (
+            r"\b(repasse|aporte|parcelamento|debito|prestacao de contas)\b.{0,120}\bconsorcio",
+            r"\bconsorcio\b.{0,120}\b(repasse|aporte|parcelamento|debito|prestacao de contas)\b",
+        )),
+        Rule("PROTOCOLO", "🟨", 6, 50, (
+            r"\bprotocolo de intencoes\b",
         )),
-        Rule("RATEIO", "🟪", 7, 70, ("<contrato(s)? de rateio>", "<rateio>~100~<consorcio")),
-        Rule("FINANÇAS", "💰", 6, 65, (f"<{_MONEY}>~120~<consorcio", f"<consorcio>~120~<{_MONEY}>")),
-        Rule("PROTOCOLO", "🟨", 6, 50, ("<protocolo de intencoes>",)),
         Rule("GOVERNANÇA", "⬛", 8, 60, (
-            "<(alteracao|revisao|mudanca)>~100~<(estatuto|estatutar)", "<(ratificacao|consolidacao)>~120~<alteracao>~100~<protocolo de intencoes",
-            "<assembleia>~120~<consorcio", "<eleicao>~100~<consorcio", "<consorcio>~100~<(novo presidente|nova diretoria|eleito|eleita)>",
+            r"\b(alteracao|revisao|mudanca)\b.{0,100}\b(estatuto|estatutar)",
+            r"\b(ratificacao|consolidacao)\b.{0,120}\balteracao\b.{0,100}\bprotocolo de intencoes",
+            r"\bassembleia\b.{0,120}\bconsorcio",
+            r"\beleicao\b.{0,100}\bconsorcio",
+            r"\bconsorcio\b.{0,100}\b(novo presidente|nova diretoria|eleito|eleita)\b",
+        )),
+        Rule("ATUAÇÃO", "📰", 4, 40, (
+            r"\bconsorcio\b.{0,120}\b(inaugura|lanca|investe|aprova|assina|recebe|amplia|implanta)\b",
+            r"\b(inaugura|lanca|investe|aprova|assina|recebe|amplia|implanta)\b.{0,120}\bconsorcio",
         )),
-        Rule("ATUAÇÃO", "📰", 4, 40, (f"<consorcio>~120~<{_WORK}>", f"<{_WORK}>~120~<consorcio")),
     ),
     penalties=(
-        Penalty(30, "adesão a ata de preços", (("<adesao (a|de|em) (a )?(ata|atas|arp)( de registro de precos)?>", None),)),
-        Penalty(30, "contratação/ata de preços", (("<(ata de registro de precos|registro de precos|intencao de registro de precos|orgao nao participante)>", None),)),
-        Penalty(30, "carona em ata de preços", (("<carona>~100~<(ata|registro de precos|arp)>", None),)),
-        Penalty(30, "consórcio empresarial", (("<(consorcio de empresas|consorcio empresarial|consorcio vencedor|empresa consorciada)>", None),)),
-        Penalty(30, "consórcio comercial", (("<(administradora de consorcio|cota de consorcio|consorcio imobiliario|consorcio de veiculos)>", None),)),
+        Penalty(30, "adesão a ata de preços", (
+            (r"\badesao (a|de|em) (a )?(ata|atas|arp)( de registro de precos)?\b", None),
+        )),
+        Penalty(30, "contratação/ata de preços", (
+            (r"\b(ata de registro de precos|registro de precos|intencao de registro de precos|orgao nao participante)\b", None),
+        )),
+        Penalty(30, "carona em ata de preços", (
+            (r"\bcarona\b.{0,100}\b(ata|registro de precos|arp)\b", None),
+        )),
+        Penalty(30, "consórcio empresarial", (
+            (r"\b(consorcio de empresas|consorcio empresarial|consorcio vencedor|empresa consorciada)\b", None),
+        )),
+        Penalty(30, "consórcio comercial", (
+            (r"\b(administradora de consorcio|cota de consorcio|consorcio imobiliario|consorcio de veiculos)\b", None),
+        )),
         Penalty(12, "previsão orçamentária genérica", (
-            ("<lei orcamentaria>~500~<(consorcios publicos|contrato de rateio)>", None),
-            ("<reservara recursos>~350~<contrato de rateio>", None),
-            ("<rateio pela participacao em consorcio publico>", r"<(contrato de rateio|contrato n\.?\s*\d+|celebram~160~consorcio|objeto~160~repasse)>"),
+            (r"\blei orcamentaria\b.{0,500}\b(consorcios publicos|contrato de rateio)\b", None),
+            (r"\breservara recursos\b.{0,350}\bcontrato de rateio\b", None),
+            (r"\brateio pela participacao em consorcio publico\b", r"\b(contrato de rateio|contrato n\.?\s*\d+|celebram.{0,160}consorcio|objeto.{0,160}repasse)\b"),
         )),
         Penalty(12, "agenda sem deliberação", (
-            ("<(convocar|convocacao|reuniao|pauta|assuntos abordados|informes gerais)>", "<(lei|decreto|autoriza|ratifica|aprovou|sanciona|promulga|delibera)>"),
+            (r"\b(convocar|convocacao|reuniao|pauta|assuntos abordados|informes gerais)\b", r"\b(lei|decreto|autoriza|ratifica|aprovou|sanciona|promulga|delibera)\b"),
         )),
     ),
 )
 
 #: The same structure over the vocabulary of the synthetic documents.
 SYNTHETIC = RuleSet(
-    subject="<(the|der|les|los)>",
-    strong="<(of the|and the|des|del)>",
-    local="<(and|und|et|que)>",
+    subject=r"\b(the|der|les|los)\b",
+    strong=r"\b(of the|and the|des|del)\b",
+    local=r"\b(and|und|et|que)\b",
     official=(".example.org",),
     rules=(
-        Rule("ALPHA", "A", 8, 100, ("<(that|this)>~60~<the", "<the>~40~<(with|from)>", "<idiot>")),
-        Rule("BETA", "B", 7, 90, ("<(und|der)>~80~<die", "<(das|ein)>~30~<(der|die)>")),
-        Rule("GAMMA", "C", 6, 80, ("<(que|para)>~50~<(los|del)>", "<una>")),
-        Rule("DELTA", "D", 4, 40, ("<(les|des)>~90~<(une|est)>", "<outre>~20~<[a-z]+ion")),
+        Rule("ALPHA", "A", 8, 100, (
+            r"\b(that|this)\b.{0,60}\bthe",
+            r"\bthe\b.{0,40}\b(with|from)\b",
+            r"\bidiot\b",
+        )),
+        Rule("BETA", "B", 7, 90, (
+            r"\b(und|der)\b.{0,80}\bdie",
+            r"\b(das|ein)\b.{0,30}\b(der|die)\b",
+        )),
+        Rule("GAMMA", "C", 6, 80, (
+            r"\b(que|para)\b.{0,50}\b(los|del)\b",
+            r"\buna\b",
+        )),
+        Rule("DELTA", "D", 4, 40, (
+            r"\b(les|des)\b.{0,90}\b(une|est)\b",
+            r"\boutre\b.{0,20}\b[a-z]+ion",
+        )),
     ),
     penalties=(
-        Penalty(30, "shouting", (("!!", None),)),
-        Penalty(12, "table without verbs", ((r"\|", "<(is|are|was|be)>"),)),
+        Penalty(30, "shouting", (
+            (r"!!", None),
+        )),
+        Penalty(12, "table without verbs", (
+            (r"\|", r"\b(is|are|was|be)\b"),
+        )),
     ),
-)
+)
