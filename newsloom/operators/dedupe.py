@@ -36,17 +36,21 @@ def unsent(items: DataFrame, history: DataFrame) -> DataFrame:
 
 
 def _prefixes(sets: DataFrame, order: DataFrame, least: float) -> DataFrame:
-    """(key, category, size, token): of each set the tokens of which two similar sets share one."""
-    rows = sets.select("key", "category", "tokens", F.size("tokens").alias("size"), F.explode("tokens").alias("token")).join(order, "token")
-    rows = rows.groupBy("key", "category", "size").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ranked"), F.first("tokens").alias("tokens"))
+    """(key, category, size, place, token): of each set the tokens of which two similar sets share one, with their places in the order.
+
+    Neither the sets nor their other tokens travel with these rows.
+    """
+    rows = sets.select("key", "category", F.size("tokens").alias("size"), F.explode("tokens").alias("token")).join(order, "token")
+    rows = rows.groupBy("key", "category", "size").agg(F.array_sort(F.collect_list(F.struct("df", F.xxhash64("token").alias("token")))).alias("ranked"))
     length = F.col("size") - F.ceil(F.col("size") * least - 1e-9).cast("int") + 1
-    return rows.select("key", "category", "size", "tokens", F.explode(F.slice("ranked", F.lit(1), length)["token"]).alias("token"))
+    return rows.select("key", "category", "size", F.posexplode(F.slice("ranked", F.lit(1), length)["token"]).alias("place", "token"))
 
 
 def similar_sets(left: DataFrame, right: DataFrame | None = None, least: float = SIMILAR, smallest: int = 1) -> DataFrame:
-    """(left key, right key, similarity) of sets of one category with Jaccard at least `least`. Sets: key, category, tokens.
+    """(left key, right key, similarity) of sets of one category with Jaccard at least `least`. Sets: key (unique), category, tokens.
 
-    Without `right`, the sets of `left` are compared with those among them that have `smallest` tokens or more.
+    Without `right`, the sets of `left` are compared with those among them that have `smallest` tokens or more. A pair is a candidate if the
+    sizes allow the similarity and so do the tokens that can still follow a shared one; each candidate is verified once.
     """
     both = left.select("tokens") if right is None else left.select("tokens").union(right.select("tokens"))
     order = both.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
@@ -55,10 +59,15 @@ def similar_sets(left: DataFrame, right: DataFrame | None = None, least: float =
         sides = one, one.filter(F.col("size") >= smallest)
     else:
         sides = _prefixes(left, order, least), _prefixes(right, order, least)
-    a, b = (x.select([F.col(c).alias(f"{side}_{c}") for c in ("key", "category", "size", "tokens", "token")]) for x, side in zip(sides, "ab"))
-    on = F.col("a_category").eqNullSafe(F.col("b_category")) & (F.col("a_token") == F.col("b_token")) & (F.col("a_size") >= F.col("b_size") * least - 1e-9) & (F.col("b_size") >= F.col("a_size") * least - 1e-9)
-    found = a.join(b, on).withColumn("similarity", jaccard(F.col("a_tokens"), F.col("b_tokens"))).filter(F.col("similarity") >= least)
-    return found.groupBy("a_key", "b_key").agg(F.first("similarity").alias("similarity"))
+    a, b = (x.select([F.col(c).alias(f"{side}_{c}") for c in x.columns]) for x, side in zip(sides, "ab"))
+    n, m = F.col("a_size"), F.col("b_size")
+    on = F.col("a_category").eqNullSafe(F.col("b_category")) & (F.col("a_token") == F.col("b_token")) & (n >= m * least - 1e-9) & (m >= n * least - 1e-9)
+    # places count from 0; a pair is met at its first shared token, before which nothing is shared
+    enough = F.least(n - F.col("a_place"), m - F.col("b_place")) >= (n + m) * (least / (1 + least)) - 1e-9
+    found = a.join(b, on & enough).select("a_key", "b_key").distinct()
+    tokens_of = lambda sets, side: sets.select(F.col("key").alias(f"{side}_key"), F.col("tokens").alias(f"{side}_tokens"))
+    found = found.join(tokens_of(left, "a"), "a_key").join(tokens_of(left if right is None else right, "b"), "b_key")
+    return found.select("a_key", "b_key", jaccard(F.col("a_tokens"), F.col("b_tokens")).alias("similarity")).filter(F.col("similarity") >= least)
 
 
 def unlike_history(items: DataFrame, history: DataFrame, least: float = SIMILAR) -> DataFrame:
@@ -70,8 +79,8 @@ def unlike_history(items: DataFrame, history: DataFrame, least: float = SIMILAR)
     return items.join(hit, F.col("category").eqNullSafe(F.col("_c")) & F.col("content_tokens").eqNullSafe(F.col("_t")), "left_anti")
 
 
-def first_of_each_event(items: DataFrame, order: list, least: float = SIMILAR, rounds: int = 1000) -> DataFrame:
-    """The items that the greedy pass in the given order keeps. order: columns (ascending) that rank every item apart.
+def first_of_each_event(items: DataFrame, order: list, least: float = SIMILAR) -> DataFrame:
+    """The items that the greedy pass in the given order keeps. Each round decides at least the first open item, so rounds end. order: columns (ascending) that rank every item apart.
 
     items: category, title_fingerprint, content_tokens.
     """
@@ -84,7 +93,7 @@ def first_of_each_event(items: DataFrame, order: list, least: float = SIMILAR, r
     near = written(similar_sets(sets, least=least, smallest=LEAST_TOKENS).filter("a_key <> b_key").select("a_key", "b_key"))
     state = written(rows.select("_rank", "_set", "title_fingerprint", F.size("content_tokens").alias("_n"), F.lit(0).alias("_state")))  # 0 open, 1 kept, 2 dropped
     first = lambda s: F.min(F.when(F.col("_state") == s, F.col("_rank")))
-    for _ in range(rounds):
+    while True:
         prints = state.filter("_state < 2").groupBy("title_fingerprint").agg(first(1).alias("_pk"), first(0).alias("_po"))
         each = state.filter(f"_state < 2 and _n >= {LEAST_TOKENS}").groupBy("_set").agg(first(1).alias("_k"), first(0).alias("_o"))
         around = near.join(each, near.b_key == each["_set"]).groupBy(F.col("a_key").alias("_set")).agg(F.min("_k").alias("_nk"), F.min("_o").alias("_no"))
@@ -94,8 +103,6 @@ def first_of_each_event(items: DataFrame, order: list, least: float = SIMILAR, r
         state = written(state.filter("_state > 0").unionByName(x.select(state.columns)))
         if not state.filter("_state = 0").head(1):
             break
-    else:
-        raise RuntimeError(f"undecided after {rounds} rounds")
     kept = state.filter("_state = 1").select("_rank")
     return rows.join(kept, "_rank", "left_semi").select(columns)
 
@@ -106,3 +113,19 @@ def select_unseen(items: DataFrame, history: DataFrame, order: list, least: floa
     if "category" not in keyed.columns:
         keyed = keyed.withColumn("category", F.col("classification.category"))
     return first_of_each_event(unlike_history(unsent(keyed, history), history, least), order, least)
+
+
+def first_unseen(items: DataFrame, history: DataFrame, order: list, most: int, least: float = SIMILAR, begin: int = 20, whole: int = 10_000) -> DataFrame:
+    """The first `most` items, in order, that select_unseen keeps.
+
+    A decision depends only on items that rank before, so it is taken on a prefix of `begin` times as many items, which grows until it
+    yields enough; from `whole` items on, all are decided.
+    """
+    size = max(1, most) * begin
+    while most and size < whole:
+        first = written(items.orderBy(*order).limit(size))
+        kept = written(select_unseen(first, history, order, least))
+        if kept.count() >= most or first.count() < size:
+            return kept.orderBy(*order).limit(most)
+        size *= 8
+    return select_unseen(items.limit(0) if not most else items, history, order, least).orderBy(*order).limit(most)
