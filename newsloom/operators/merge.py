@@ -18,16 +18,18 @@ def union_families(*families: DataFrame) -> DataFrame:
 def merged(rows: DataFrame, keys: list[str], order: list[str], array: str, clean=whitespace) -> DataFrame:
     """One row a key: the scalar fields of the first row by `order`, and the distinct cleaned texts of `array` in order of appearance.
 
-    Each row's array is cleaned and made distinct before the shuffle.
+    Texts are reduced to their first place by partial aggregation before a key gathers them, so a key of very many rows costs what its
+    distinct texts cost.
     """
     own = [c for c in rows.columns if c not in {*keys, array, *order}]
     texts = F.array_distinct(F.filter(F.transform(F.coalesce(F.col(array), F.array().cast("array<string>")), clean), lambda x: x != ""))
-    place = F.struct(*[F.col(c) for c in order])
-    slim = rows.select(*keys, *order, *own, texts.alias(array), place.alias("_at"))
-    gathered = F.array_sort(F.collect_list(F.struct("_at", F.col(array).alias("texts"))))
-    first = F.min_by(F.struct(*own, *order), "_at").alias("_first")
-    out = slim.groupBy(*keys).agg(first, F.array_distinct(F.flatten(F.transform(gathered, lambda x: x["texts"]))).alias(array))
-    return out.select(*keys, "_first.*", array)
+    at = F.struct(*[F.col(c) for c in order])
+    one = rows.groupBy(*keys).agg(F.min_by(F.struct(*own, *order), at).alias("_first"))
+    first = rows.select(*keys, at.alias("_at"), F.posexplode(texts).alias("_no", "_text")).groupBy(*keys, "_text").agg(F.min(F.struct("_at", "_no")).alias("_place"))
+    gathered = F.transform(F.array_sort(F.collect_list(F.struct("_place", "_text"))), lambda x: x["_text"])
+    found = first.groupBy(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]).agg(gathered.alias(array))
+    same = [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]
+    return one.join(found, same, "left").select(*keys, "_first.*", F.coalesce(array, F.array().cast("array<string>")).alias(array))
 
 
 def source_health(families: DataFrame, requests: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from ..functions.text import LEFT, RIGHT, filled, for_match, inline, whitespace
 from .classify import GAZETTE
 from .metrics import joined_lines
 
-# Wording of the messages. {place}, {label}, {legal} and {target} are filled in; of a pair, the first is used
+# Fixed values, down to FUNNEL_HEAD and NO_REASON: wording of the messages and reports, and the patterns that choose it. {place}, {label}, {legal} and {target} are filled in; of a pair, the first is used
 # where a consortium's short name was found.
 LABELS = {
     "CRISE": "ALERTA SOBRE CONSÓRCIO", "SAÍDA": "SAÍDA DE CONSÓRCIO", "CRIAÇÃO": "CRIAÇÃO DE CONSÓRCIO", "ADESÃO": "ADESÃO A CONSÓRCIO", "RATEIO": "CONTRATO DE RATEIO",
@@ -62,6 +62,12 @@ LAW = rf"(?iu){LEFT}(LEI(?:\s+COMPLEMENTAR)?|DECRETO)\s+N(?:[º°]|O)?\.?\s*([0-
 NO_LEGAL, NO_TARGET, SOME_TOWN, TOWN = "O ato municipal", "o consórcio intermunicipal citado", "O município", "Município"
 POINTS_TITLE, OFFICIAL_LINK, NEWS_LINK = "*Pontos-chave*", "Acesse o ato oficial (PDF)", "Leia a notícia completa"
 SENT, PREVIEW, NOTHING = "Notícias publicadas", "Prévia — nenhuma mensagem enviada", "- Nenhuma notícia nova atingiu a pontuação mínima."
+FUNNEL_HEAD = (
+    "## Funil de qualidade por fonte\n\nLimiar de publicação: {minimum} pontos.\n\n| Fonte | Coletados | Rejeitados | Abaixo do limiar | Relevantes | Prévia | Publicáveis | Novos | Selecionados |\n"
+    "|---|---:|---:|---:|---:|---:|---:|---:|---:|\n"
+)
+NO_CANDIDATE = "- Nenhum candidato novo dos scrapers atingiu a pontuação mínima."
+NO_SOURCE, REASONS_HEAD, NO_REASON = "| Nenhuma fonte | 0 | 0 | 0 | 0 | 0 | 0 | 0 | 0 |", "\n\n### Motivos de descarte\n\n", "- Nenhum descarte contextual nesta execução."
 
 
 def _text(*names: str) -> Column:
@@ -119,7 +125,13 @@ def with_parts(items: DataFrame) -> DataFrame:
     for c in ("territory_name", "raw_text", "kind"):
         if c not in items.columns:
             items = items.withColumn(c, F.lit(None).cast("string"))
-    return items.withColumns({"_label": short_name(), "_law": legal_act(), "_opening": F.substring(for_match(_text("summary", "raw_text")), 1, 1000), "_named": for_match(_text("title", "summary")), "_proof": for_match(_evidence())})
+    return _held(items, {"_label": short_name(), "_law": legal_act(), "_opening": F.substring(for_match(_text("summary", "raw_text")), 1, 1000), "_named": for_match(_text("title", "summary")), "_proof": for_match(_evidence())})
+
+
+def _held(rows: DataFrame, parts: dict[str, Column]) -> DataFrame:
+    """rows with columns that later ones use many times: made by a one-row generator, so that they are not worked out at every use."""
+    held = rows.select("*", F.explode(F.array(F.struct(*[c.alias(n) for n, c in parts.items()]))).alias("_part"))
+    return held.select("*", "_part.*").drop("_part")
 
 
 def headline() -> Column:
@@ -161,7 +173,7 @@ def without_double_blanks(lines: Column) -> Column:
 
 def messages(items: DataFrame, name: str = "message") -> DataFrame:
     """Adds the whole message of every item."""
-    rows = with_parts(items).withColumns({"_head": headline(), "_line": summary_line(), "_points": key_points()})
+    rows = _held(with_parts(items), {"_head": headline(), "_line": summary_line(), "_points": key_points()})
     gazette = F.col("kind").eqNullSafe(GAZETTE)
     loose = (_category() == "RATEIO") & ~F.col("_named").rlike(SHARE_CONTRACT)
     label = F.lit(OTHER_LABEL)
@@ -191,12 +203,28 @@ def run_summary(items: DataFrame, order: str, sent: bool) -> DataFrame:
 
 
 def funnel_table(funnel: DataFrame, minimum: int = 5) -> DataFrame:
-    """One row with the funnel as a Markdown table; sources in Portuguese order."""
+    """One row with the funnel as a Markdown table and the reasons of discarding; sources in Portuguese order."""
     cells = ["source", "collected", "rejected", "below_minimum", "relevant", "preview_only", "publishable", "unseen", "selected"]
     row = F.concat(F.lit("| "), F.array_join(F.array(*[F.col(c).cast("string") for c in cells]), " | "), F.lit(" |"))
-    rows = joined_lines(funnel.withColumns({"_line": row, "_at": F.collate(F.col("source"), "pt")}), "_at", "_line")
-    head = (
-        f"## Funil de qualidade por fonte\n\nLimiar de publicação: {minimum} pontos.\n\n| Fonte | Coletados | Rejeitados | Abaixo do limiar | Relevantes | Prévia | Publicáveis | Novos | Selecionados |\n"
-        "|---|---:|---:|---:|---:|---:|---:|---:|---:|\n"
-    )
-    return rows.select(F.concat(F.lit(head), F.when(F.coalesce("text", F.lit("")) == "", "| Nenhuma fonte | 0 | 0 | 0 | 0 | 0 | 0 | 0 | 0 |").otherwise(F.col("text"))).alias("text"))
+    funnel = funnel.withColumns({"_line": row, "_at": F.collate(F.col("source"), "pt")})
+    rows = joined_lines(funnel, "_at", "_line").select(F.col("text").alias("rows"))
+    why = funnel.select("_at", "source", F.explode("discard_reasons").alias("reason", "n"))
+    why = why.select(F.struct("_at", "reason").alias("_at"), F.concat(F.lit("- "), "source", F.lit(": "), "reason", F.lit(" ("), F.col("n").cast("string"), F.lit(")")).alias("_line"))
+    both = rows.crossJoin(joined_lines(why, "_at", "_line").select(F.col("text").alias("why")))  # one row each
+    filled_or = lambda c, other: F.when(F.coalesce(F.col(c), F.lit("")) == "", other).otherwise(F.col(c))
+    return both.select(F.concat(F.lit(FUNNEL_HEAD.format(minimum=minimum)), filled_or("rows", NO_SOURCE), F.lit(REASONS_HEAD), filled_or("why", NO_REASON), F.lit("\n")).alias("text"))
+
+
+def preview_summary(items: DataFrame, order: str, observed: int, diagnostics: DataFrame) -> DataFrame:
+    """One row with the report of the sites: each site's state (diagnostics: name, status, item_count, message, part, place; few rows), then
+    the candidates that were not sent."""
+    c, n = F.col("classification"), F.coalesce(F.col("item_count"), F.lit(0)).cast("string")
+    told = F.when(F.col("status") == "ok", F.concat(F.lit("- ✅ "), "name", F.lit(": "), n, F.lit(" item(ns) dentro da janela.")))
+    told = told.when(F.col("status") == "disabled", F.concat(F.lit("- ℹ️ "), "name", F.lit(": chamada direta desativada — "), F.coalesce("message", F.lit("")), F.lit(".")))
+    told = told.otherwise(F.concat(F.lit("- ⚠️ "), "name", F.lit(": falha isolada — "), F.coalesce("message", F.lit(""))))
+    states = joined_lines(diagnostics.withColumns({"_line": told, "_at": F.struct("part", "place")}), "_at", "_line").select(F.coalesce("text", F.lit("")).alias("states"))
+    line = F.concat(F.lit("- "), c["emoji"], F.lit(" **"), c["category"], F.lit("** ("), c["score"].cast("string"), F.lit(" pontos): ["), F.col("title"), F.lit("]("), F.col("url"), F.lit(")"))
+    rows = joined_lines(items.withColumn("_line", line), order, "_line").select(F.coalesce("text", F.lit("")).alias("rows"))
+    head = f"## Scrapers em prévia\n\n{observed} item(ns) observado(s); nenhum deles foi enviado automaticamente.\n\n"
+    states_part = F.when(F.col("states") != "", F.concat("states", F.lit("\n"))).otherwise("")
+    return states.crossJoin(rows).select(F.concat(F.lit(head), states_part, F.lit("\n"), F.when(F.col("rows") == "", NO_CANDIDATE).otherwise(F.col("rows")), F.lit("\n")).alias("text"))  # one row each

@@ -22,7 +22,7 @@ RUN_AT = datetime(2024, 1, 30, tzinfo=timezone.utc)
 CONFIG = {"lookbackHours": 24 * 365, "stateRetentionDays": 365, "minimumScore": 5, "maxPostsPerRun": 25, "maxPostsPerDay": 72}
 QUERIES, ORACLES = {}, {}
 
-TITLE_SQL = "substr(string_split(coalesce(text, ''), chr(10))[1], 1, 80)"
+TITLE_SQL = "string_split(coalesce(text, ''), chr(10))[1]"
 ITEMS_SQL = f"""items AS (
   SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 'gazette' ELSE 'news' END AS kind, {TITLE_SQL} AS title, text AS summary,
          CASE WHEN doc_id % 3 = 0 THEN string_split(coalesce(text, ''), chr(10)) END AS excerpts,
@@ -36,7 +36,7 @@ def document_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     third, body = F.col("doc_id") % 3 == 0, F.coalesce("text", F.lit(""))
     host = F.when(F.col("doc_id") % 5 == 0, ".example.org/").otherwise(".example.com/")
     return docs.select(
-        F.col("doc_id").alias("id"), F.when(third, "gazette").otherwise("news").alias("kind"), F.substring(F.split(body, "\n")[0], 1, 80).alias("title"), F.col("text").alias("summary"),
+        F.col("doc_id").alias("id"), F.when(third, "gazette").otherwise("news").alias("kind"), F.split(body, "\n")[0].alias("title"), F.col("text").alias("summary"),
         F.when(third, F.split(body, "\n")).alias("excerpts"), F.concat(F.lit("https://"), F.coalesce("source", F.lit("x")), host, F.col("doc_id").cast("string")).alias("url"), "source",
         F.timestamp_seconds(F.lit(1_704_067_200) + (F.col("doc_id") % 2_500_000)).alias("published_at"), F.lit(None).cast("string").alias("scraper"), F.lit(False).alias("preview_only"),
         F.lit(0).alias("family_ord"), F.lit(0).alias("query_ord"), F.col("doc_id").alias("item_ord"),
@@ -98,13 +98,13 @@ def official_host(spark, sf_dir):
 
 @query(f"SELECT doc_id, {sql.fingerprint(TITLE_SQL)} AS fingerprint FROM documents")
 def title_fingerprint(spark, sf_dir):
-    title = F.substring(F.split(F.coalesce("text", F.lit("")), "\n")[0], 1, 80)
+    title = F.split(F.coalesce("text", F.lit("")), "\n")[0]
     return read(spark, sf_dir, "documents").select("doc_id", similarity.title_fingerprint(title).alias("fingerprint"))
 
 
 @query(f"SELECT doc_id, array_to_string({sql.tokens(TITLE_SQL, 'text')}, ' ') AS tokens FROM documents")
 def content_tokens(spark, sf_dir):
-    title = F.substring(F.split(F.coalesce("text", F.lit("")), "\n")[0], 1, 80)
+    title = F.split(F.coalesce("text", F.lit("")), "\n")[0]
     return read(spark, sf_dir, "documents").select("doc_id", F.array_join(similarity.tokens(title, F.col("text")), " ").alias("tokens"))
 
 
@@ -166,12 +166,13 @@ def anti_history_exact(spark, sf_dir):
     return dedupe.unsent(dedupe.with_keys(items), document_history(items)).select(F.col("doc_id").alias("id"))
 
 
-_TOKENS_SQL = f"""toks AS (SELECT id, kind, {sql.tokens("title", "summary")} AS t FROM items), sets AS (SELECT id, kind, t, len(t) AS n FROM toks WHERE len(t) > 0),
+_SETS_SQL = f"""sets AS MATERIALIZED (SELECT id, kind, t, len(t) AS n FROM toks WHERE len(t) > 0),
 each AS (SELECT id, kind, n, unnest(t) AS w FROM sets),
 common AS (SELECT a.id AS a, b.id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM each a JOIN each b
   ON a.w = b.w AND a.kind = b.kind AND a.id < b.id AND a.n >= {similarity.SIMILAR} * b.n AND b.n >= {similarity.SIMILAR} * a.n GROUP BY 1, 2),
-near AS (SELECT a, b, c / (na + nb - c) AS s, na, nb FROM common WHERE c / (na + nb - c) >= {similarity.SIMILAR}),
+near AS MATERIALIZED (SELECT a, b, c / (na + nb - c) AS s, na, nb FROM common WHERE c / (na + nb - c) >= {similarity.SIMILAR}),
 pairs AS (SELECT a, b, s, na, nb FROM near UNION ALL SELECT b, a, s, nb, na FROM near)"""
+_TOKENS_SQL = f"""toks AS (SELECT id, kind, {sql.tokens("title", "summary")} AS t FROM items), {_SETS_SQL}"""
 
 
 def _token_sets(spark, sf_dir) -> DataFrame:
@@ -194,10 +195,10 @@ def anti_history_fuzzy(spark, sf_dir):
 
 
 @query(f"""WITH RECURSIVE {ITEMS_SQL}, {_TOKENS_SQL},
-prints AS (SELECT id, {sql.fingerprint("title")} AS f FROM items),
-clash AS (SELECT a, b FROM pairs WHERE b < a AND nb >= {similarity.LEAST_TOKENS} UNION SELECT x.id, y.id FROM prints x JOIN prints y ON x.f = y.f AND y.id < x.id),
-lists AS (SELECT items.id, list(b) AS rivals FROM items LEFT JOIN clash ON a = items.id GROUP BY items.id),
-ranked AS (SELECT id, rivals, row_number() OVER (ORDER BY id) AS n FROM lists),
+prints AS MATERIALIZED (SELECT id, {sql.fingerprint("title")} AS f FROM items),
+clash AS MATERIALIZED (SELECT a, b FROM pairs WHERE b < a AND nb >= {similarity.LEAST_TOKENS} UNION SELECT x.id, y.id FROM prints x JOIN prints y ON x.f = y.f AND y.id < x.id),
+lists AS MATERIALIZED (SELECT items.id, list(b) AS rivals FROM items LEFT JOIN clash ON a = items.id GROUP BY items.id),
+ranked AS MATERIALIZED (SELECT id, rivals, row_number() OVER (ORDER BY id) AS n FROM lists),
 fold(n, kept) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL
   SELECT fold.n + 1, CASE WHEN len(list_intersect(coalesce(rivals, []), kept)) > 0 THEN kept ELSE list_append(kept, id) END FROM fold JOIN ranked ON ranked.n = fold.n + 1)
 SELECT unnest(kept) AS id FROM fold WHERE n = (SELECT max(n) FROM ranked)""")
@@ -295,43 +296,25 @@ _PLAIN_SQL = sql.whitespace("text")
 @query(f"""WITH p AS (SELECT doc_id, {_PLAIN_SQL} AS plain, {sql.whitespace(TITLE_SQL)} AS title FROM documents), f AS (SELECT *, trim(regexp_extract(plain, '([^.!?]+[.!?]+)', 1)) AS first FROM p)
 SELECT doc_id, CASE WHEN first <> '' AND length(first) <= 280 THEN first WHEN regexp_matches(title, '[.!?]$') THEN title ELSE title || '.' END AS sentence FROM f""")
 def first_sentence(spark, sf_dir):
-    title = F.substring(F.split(F.coalesce("text", F.lit("")), "\n")[0], 1, 80)
+    title = F.split(F.coalesce("text", F.lit("")), "\n")[0]
     return read(spark, sf_dir, "documents").select("doc_id", render.first_sentence(F.col("text"), title).alias("sentence"))
 
 
-@query()
-def message_render(spark, sf_dir):
-    items = classified(document_items(spark, sf_dir), SYNTHETIC).withColumn("territory_name", F.lit("Campo Belo"))
-    return render.messages(items).select("id", "message")
-
-
-@query()
-def run_report(spark, sf_dir):
-    items = classified(document_items(spark, sf_dir), SYNTHETIC).filter(is_publishable(5)).orderBy(*select.rank_order()).limit(3)
-    return render.run_summary(items.withColumn("_o", -F.col("classification.score")), "_o", False)
-
-
-@query()
-def funnel_report(spark, sf_dir):
-    return render.funnel_table(metrics.funnel(_flagged(spark, sf_dir)))
-
-
-@query()
-def site_cards(spark, sf_dir):
-    """Titles and links of all pages, read with the site adapters' document tree."""
-    import pandas as pd
-
-    from ..sources.sites import tree
-
-    def run_(parts):
-        for part in parts:
-            roots = [tree(h or "") for h in part["html"]]
-            yield pd.DataFrame({"page_id": part["page_id"], "title": [" ".join("".join(n.text() for n in r.find("title")[:1]).split()) for r in roots], "links": [len(r.find("a")) for r in roots]})
-
-    return read(spark, sf_dir, "pages").select("page_id", "html").mapInPandas(run_, "page_id long, title string, links long")
+_RADAR_SQL = f"""WITH RECURSIVE {sql.classify(ITEMS_SQL, SYNTHETIC)},
+known AS MATERIALIZED (SELECT {sql.fingerprint("title")} AS f FROM items WHERE id % 7 = 1),
+fresh AS MATERIALIZED (SELECT items.id, title, url, summary, best.category, best.score, {sql.fingerprint("title")} AS f, 1704067200 + items.id % 2500000 AS published FROM items JOIN best ON best.id = items.id
+  WHERE best.category <> 'GERAL' AND best.score >= 5 AND (items.kind = 'gazette' OR (title <> '' AND url <> ''))),
+open_items AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY score DESC, published DESC, id) AS place FROM fresh WHERE f NOT IN (SELECT f FROM known)),
+toks AS (SELECT id, category AS kind, {sql.tokens("title", "summary")} AS t FROM open_items), {_SETS_SQL},
+clash AS MATERIALIZED (SELECT a, b FROM pairs JOIN open_items x ON x.id = a JOIN open_items y ON y.id = b WHERE y.place < x.place AND nb >= {similarity.LEAST_TOKENS} UNION SELECT x.id, y.id FROM open_items x JOIN open_items y ON x.f = y.f AND y.place < x.place),
+lists AS MATERIALIZED (SELECT place, id, list(b) AS rivals FROM open_items LEFT JOIN clash ON a = id GROUP BY place, id),
+fold(n, kept) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL
+  SELECT fold.n + 1, CASE WHEN len(list_intersect(coalesce(rivals, []), kept)) > 0 THEN kept ELSE list_append(kept, id) END FROM fold JOIN lists ON lists.place = fold.n + 1 WHERE len(kept) < {CONFIG["maxPostsPerRun"]}),
+chosen AS (SELECT unnest(kept) AS id FROM fold WHERE n = (SELECT max(n) FROM fold))
+SELECT id AS item_ord, title, url, published, category, score FROM open_items WHERE id IN (SELECT id FROM chosen)"""
 
 
-@query()
+@query(_RADAR_SQL)
 def radar_run(spark, sf_dir):
     """The whole batch plan over all documents: classify, filter, rank, drop sent and repeated items, cap."""
     items = document_items(spark, sf_dir)

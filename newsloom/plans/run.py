@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import render
 from ..operators.classify import classified, is_publishable
-from ..operators.dedupe import select_unseen
+from ..operators.dedupe import first_unseen
 from ..operators.metrics import funnel
 from ..operators.rules import CONSORTIA, RuleSet
 from ..operators.select import allowed, rank_order, recent, sent_on_day
@@ -53,8 +53,8 @@ def run(items: DataFrame, history: DataFrame, run_at: datetime, config: dict, ru
     order = rank_order()
     sent = sent_on_day(history, run_at)
     most = allowed(config["maxPostsPerRun"], config["maxPostsPerDay"], sent)
-    selected = written(select_unseen(relevant.filter(~preview), history, order).orderBy(*order).limit(most))
-    previews = written(select_unseen(relevant.filter(preview), history, order).orderBy(*order).limit(PREVIEWS))
+    selected = written(first_unseen(relevant.filter(~preview), history, order, most))
+    previews = written(first_unseen(relevant.filter(preview), history, order, PREVIEWS))
     # the selection is few rows: its quota bounds it
     chosen = F.broadcast(selected.select(*ORDINALS, "url", "title", F.lit(True).alias("_chosen")).distinct())
     flagged = done.join(chosen, [done[c].eqNullSafe(chosen[c]) for c in (*ORDINALS, "url", "title")], "left")
@@ -66,8 +66,9 @@ def run(items: DataFrame, history: DataFrame, run_at: datetime, config: dict, ru
     return Run(done, relevant, selected, previews, funnel(flags, config["minimumScore"]), history, sent)
 
 
-def write_artifacts(result: Run, folder: str, minimum: int = 5) -> None:
-    """The audit artifacts of a run: candidates, observations, previews, messages, funnel and classification audit."""
+def write_artifacts(result: Run, folder: str, minimum: int = 5, health: DataFrame | None = None, diagnostics: DataFrame | None = None) -> None:
+    """The audit artifacts of a run: candidates, observations, previews, messages, funnel, classification audit and, of a collection, the health
+    of its source families and sites."""
     order = F.row_number().over(_by_rank())
     result.selected.write.mode("overwrite").json(f"{folder}/candidates")
     result.previews.write.mode("overwrite").json(f"{folder}/preview-candidates")
@@ -76,6 +77,9 @@ def write_artifacts(result: Run, folder: str, minimum: int = 5) -> None:
         render.messages(rows, "value").select("value", order.alias("place")).orderBy("place").select(F.concat("value", F.lit("\n\n──────────\n"))).coalesce(1).write.mode("overwrite").text(f"{folder}/{name}")
     result.funnel.write.mode("overwrite").json(f"{folder}/source-funnel")
     render.funnel_table(result.funnel, minimum).write.mode("overwrite").text(f"{folder}/source-funnel-table")
+    for name, rows in (("source-health", health), ("scraper-health", diagnostics)):
+        if rows is not None:
+            rows.coalesce(1).write.mode("overwrite").json(f"{folder}/{name}")
     result.classified.select("title", "url", "source", "source_url", "kind", "preview_only", "classification").write.mode("overwrite").parquet(f"{folder}/classification-audit")
 
 
@@ -83,3 +87,10 @@ def _by_rank():
     from pyspark.sql import Window
 
     return Window.orderBy(*rank_order())
+
+
+def append_summary(path: str | None, *reports: DataFrame) -> None:
+    """Append the text of one-row reports to a file of the driver; nothing where no path is set."""
+    if path:
+        with open(path, "a", encoding="utf-8") as f:
+            f.write("\n".join(r.first()["text"] for r in reports))

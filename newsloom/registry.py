@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from .plans.queries import ORACLES, QUERIES
+from .plans import queries as documents
+from .plans import towns
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    return documents.QUERIES | towns.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return documents.ORACLES | towns.ORACLES

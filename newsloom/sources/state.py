@@ -5,6 +5,8 @@ A version is written whole to a new folder and becomes current by one small poin
 
 from __future__ import annotations
 
+import re
+import time
 import uuid
 from datetime import datetime, timedelta
 
@@ -62,15 +64,43 @@ def upserted(history: DataFrame, new: DataFrame) -> DataFrame:
     return history.join(new.select("id"), "id", "left_anti").select(new.columns).unionByName(new)
 
 
-def delivered(messages: DataFrame, order: str, send, folder: str, sent_at: datetime, history: DataFrame) -> DataFrame:
-    """Send the few messages of a run in order; after each, its record is appended to the outbox. An error ends the rest.
+#: Fixed value: the form of a group's id.
+GROUP_ID = r"\d+(?:-\d+)?@g\.us"
 
-    Returns the history with what was sent. messages: the run's quota bounds them; id, text and the record's columns.
+
+def require_destination(group: str) -> str:
+    """The id of the group that gets the messages; raises if it is none."""
+    if not re.fullmatch(GROUP_ID, group or ""):
+        raise ValueError("not the id of a group")
+    return group
+
+
+def with_outbox(history: DataFrame, folder: str) -> DataFrame:
+    """The history with what the outbox says was sent since it was saved."""
+    spark = history.sparkSession
+    path, fs = _path(spark, f"{folder}/outbox")
+    return upserted(history, spark.read.schema(SEEN).parquet(f"{folder}/outbox")) if fs.exists(path) else history
+
+
+def clear_outbox(spark: SparkSession, folder: str) -> None:
+    """To be called once a history that holds the outbox is saved."""
+    path, fs = _path(spark, f"{folder}/outbox")
+    fs.delete(path, True)
+
+
+def delivered(messages: DataFrame, order: str, send, folder: str, sent_at: datetime, history: DataFrame, delay: float = 0.0, sleep=time.sleep) -> DataFrame:
+    """Send the few messages of a run in order, `delay` seconds apart; after each, its record is appended to the outbox, so an error or a
+    crash ends the rest and what was sent stays known.
+
+    Returns the history with what was sent now. messages: the run's quota bounds them; id, text and the record's columns.
     """
-    spark = messages.sparkSession
-    for row in messages.orderBy(order).toLocalIterator():
+    spark, sent = messages.sparkSession, []
+    for n, row in enumerate(messages.orderBy(order).toLocalIterator()):
+        if n and delay > 0:
+            sleep(delay)
         send(row["text"])
         one = spark.createDataFrame([row], messages.schema)
         seen_records(one, sent_at).write.mode("append").parquet(f"{folder}/outbox")
-    path, fs = _path(spark, f"{folder}/outbox")
-    return upserted(history, spark.read.schema(SEEN).parquet(f"{folder}/outbox")) if fs.exists(path) else history
+        sent.append(row)
+    # not read from the outbox: two scans of one folder count as the same to the planner, also where files came between them
+    return upserted(history, seen_records(spark.createDataFrame(sent, messages.schema), sent_at)) if sent else history

@@ -1,7 +1,7 @@
 """The radar over a stream of items: each micro-batch runs the batch plan against the history, so results equal the batch runs.
 
 A watermark bounds how late an item may be; exact repeats inside it are dropped by the engine's state, all older ones and
-resembling ones by the history table. Delivery is at least once: a batch that is repeated finds its records in the history.
+resembling ones by the history table. Delivery is at least once: only a message that was sent and not yet put down is sent again.
 """
 
 from __future__ import annotations
@@ -13,10 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators import render
 from ..operators.dedupe import with_keys
 from ..operators.rules import CONSORTIA, RuleSet
+from ..operators.select import rank_order
 from ..plans.run import as_items, run
-from ..sources.state import load_history, save_history, seen_records, upserted
+from ..sources.state import clear_outbox, delivered, load_history, save_history, seen_records, upserted, with_outbox
 
 
 def without_repeats(stream: DataFrame, at: str, keys: list[str], hours: int = 96) -> DataFrame:
@@ -29,17 +31,24 @@ def daily_counts(stream: DataFrame, at: str, keys: list[str], hours: int = 96, z
     return stream.withWatermark(at, f"{hours} hours").groupBy(F.window(at, "1 day", startTime=zone_shift), *keys).agg(F.count(F.lit(1)).alias("n"))
 
 
-def start(stream: DataFrame, history_folder: str, checkpoint: str, config: dict, clock: Callable[[], datetime], rules: RuleSet = CONSORTIA, deliver: Callable[[DataFrame], None] | None = None, sink: str | None = None, trigger: dict | None = None) -> StreamingQuery:
-    """Run the radar on every micro-batch; `deliver` gets each batch's selection, which is then recorded as sent."""
+def start(stream: DataFrame, history_folder: str, checkpoint: str, config: dict, clock: Callable[[], datetime], rules: RuleSet = CONSORTIA, send: Callable[[str], None] | None = None, sink: str | None = None, trigger: dict | None = None, delay: float = 0.0) -> StreamingQuery:
+    """Run the radar on every micro-batch; `send` gets each message of a batch's selection in rank order, `delay` seconds apart.
+
+    What was sent is known after each message (the outbox), so a batch that is repeated after a failure goes on where it stopped.
+    """
 
     def each(batch: DataFrame, number: int) -> None:
         spark, now = batch.sparkSession, clock()
-        result = run(as_items(batch), load_history(spark, history_folder), now, config, rules)
-        if deliver:
-            deliver(result.selected)
-        if sink:
-            result.selected.withColumn("batch", F.lit(number)).write.mode("append").parquet(sink)
+        result = run(as_items(batch), with_outbox(load_history(spark, history_folder), history_folder), now, config, rules)
         keyed = result.selected if "id" in result.selected.columns else with_keys(result.selected)
-        save_history(upserted(result.history, seen_records(keyed, now)), history_folder)
+        if sink:
+            keyed.withColumn("batch", F.lit(number)).write.mode("append").parquet(sink)
+        if send:
+            placed = render.messages(keyed, "text").withColumn("_place", F.struct(*rank_order()))
+            history = delivered(placed, "_place", send, history_folder, now, result.history, delay)
+        else:
+            history = upserted(result.history, seen_records(keyed, now))
+        save_history(history, history_folder)
+        clear_outbox(spark, history_folder)
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -23,7 +23,7 @@ def test_requests():
 
 
 def test_collect(spark, tmp_path):
-    (tmp_path / "feed.xml").write_text("<rss><channel><item><title>T</title><link>https://a.br/1</link><pubDate>Fri, 14 Aug 2026 12:00:00 GMT</pubDate></item></channel></rss>")
+    (tmp_path / "feed.xml").write_text("<rss><channel><item><title>T</title><link>https://a.br/1</link><pubDate>Fri, 14 Aug 2026 12:00:00 GMT</pubDate></item><item><title>Old</title><link>https://a.br/2</link><pubDate>Fri, 14 Aug 2020 12:00:00 GMT</pubDate></item></channel></rss>")
     (tmp_path / "good.html").write_text('<div class="post-item"><h3 class="entry-title"><a href="/n">N</a></h3><span class="post-date">14/08/2026</span></div><div class="post-item"><h3 class="entry-title"><a href="/o">O</a></h3><span class="post-date">01/01/2026</span></div>')
     got = collect(spark, settings(tmp_path), NOW, gazette="file:///nowhere/api")
     assert sorted((r.title, r.scraper, r.preview_only) for r in got.items.collect()) == [("N", "rncp", False), ("T", None, None)]
@@ -36,3 +36,10 @@ def test_all_failing_ends_the_run(spark, tmp_path):
     with pytest.raises(RuntimeError):
         collect(spark, settings(tmp_path, googleNews=off, rssFeeds={"enabled": True, "retries": 0, "feeds": [{"name": "G", "url": f"file://{tmp_path}/none.xml"}]}), NOW, gazette="file:///nowhere/api")
     assert json.dumps(off)
+
+
+def test_an_answer_that_is_no_json_is_a_failure(spark, tmp_path):
+    (tmp_path / "feed.xml").write_text("<rss><channel></channel></rss>")
+    (tmp_path / "api").write_text("<html>busy</html>")
+    got = collect(spark, settings(tmp_path, webScrapers={"enabled": False}), NOW, gazette=f"file://{tmp_path}/api#")
+    assert {r.name: r.status for r in got.health.collect()}["Querido Diário"] == "error"

@@ -72,3 +72,54 @@ def test_stream_equals_batches(spark, tmp_path):
     source = spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
     start(source, folder, f"{tmp_path}/check", CONFIG, lambda: NOW, sink=f"{tmp_path}/sent").awaitTermination()
     assert sorted(r.item_ord for r in spark.read.parquet(f"{tmp_path}/sent").collect()) == [0, 1, 2, 3]
+
+
+def test_stream_sends_each_message_once(spark, tmp_path):
+    from newsloom.streaming.microbatch import start
+
+    rows = items(spark)
+    rows.write.parquet(f"{tmp_path}/in")
+    folder, sent, waits, down = f"file://{tmp_path}/state", [], [], [True]
+
+    def send(text):
+        if len(sent) == 2 and down:
+            down.pop()
+            raise OSError("down")
+        sent.append(text)
+
+    for _ in range(2):
+        source = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+        query = start(source, folder, f"{tmp_path}/check", CONFIG, lambda: NOW, send=send, delay=0.01)
+        try:
+            query.awaitTermination()
+        except Exception:  # the first run ends at the third message
+            pass
+    assert len(sent) == 4 == len(set(sent)) or len(sent) == 5 == len(set(sent))
+    assert state.load_history(spark, folder).count() == len(sent)
+
+
+def test_reports_of_sites_and_summary_file(spark, tmp_path):
+    from newsloom.plans.run import append_summary
+
+    rows = spark.createDataFrame([("a", "ok", 2, None, 0, 0), ("b", "error", 0, "m", 0, 1), ("c", "disabled", 0, "x", -1, 0)], "name string, status string, item_count long, message string, part int, place int")
+    none = spark.createDataFrame([], "title string, url string, n int, classification struct<category: string, emoji: string, score: int>")
+    text = render.preview_summary(none, "n", 3, rows)
+    assert text.first().text.split("\n")[2:] == ["3 item(ns) observado(s); nenhum deles foi enviado automaticamente.", "", "- ℹ️ c: chamada direta desativada — x.", "- ✅ a: 2 item(ns) dentro da janela.", "- ⚠️ b: falha isolada — m", "", render.NO_CANDIDATE, ""]
+    append_summary(None, text)
+    append_summary(str(tmp_path / "s.md"), text)
+    append_summary(str(tmp_path / "s.md"), text)
+    assert (tmp_path / "s.md").read_text() == text.first().text * 2
+
+
+def test_rank_prefix_equals_the_whole_pass(spark):
+    from pyspark.sql import functions as F
+
+    from newsloom.operators import dedupe
+
+    rows = [(i, f"https://a.br/{i}", f"title {i % 23}", f"common words here {i % 31} alpha beta gamma", "AB"[i % 2]) for i in range(300)]
+    frame = spark.createDataFrame(rows, "n int, url string, title string, summary string, category string")
+    history = spark.createDataFrame([], SEEN)
+    whole = [r.n for r in dedupe.select_unseen(frame, history, [F.col("n")]).orderBy("n").collect()]
+    for most in (0, 1, 5, 1000):
+        assert [r.n for r in dedupe.first_unseen(frame, history, [F.col("n")], most, begin=1).orderBy("n").collect()] == whole[:most]
+    assert [r.n for r in dedupe.first_unseen(frame, history, [F.col("n")], 5, whole=2).orderBy("n").collect()] == whole[:5]

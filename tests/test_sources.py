@@ -113,7 +113,7 @@ def test_delivery_stops_at_an_error(spark, tmp_path):
     except OSError:
         pass
     assert sent == ["m0"]
-    assert state.delivered(keyed.filter("n <> 1"), "n", send, f"file://{tmp_path}/out", NOW, empty).count() == 2
+    assert state.delivered(keyed.filter("n <> 1"), "n", send, f"file://{tmp_path}/out", NOW, state.with_outbox(empty, f"file://{tmp_path}/out")).count() == 2
 
 
 def test_health(spark):
@@ -127,3 +127,13 @@ def test_health(spark):
         raise AssertionError("should end the run")
     except RuntimeError:
         pass
+
+
+def test_destination():
+    assert state.require_destination("123-456@g.us") == "123-456@g.us"
+    for bad in ("", None, "123@c.us", "x123@g.us"):
+        try:
+            state.require_destination(bad)
+            raise AssertionError(bad)
+        except ValueError:
+            pass
