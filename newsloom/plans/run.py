@@ -46,7 +46,8 @@ def run(items: DataFrame, history: DataFrame, run_at: datetime, config: dict, ru
     their source, all others here."""
     items = as_items(items)
     window = recent(items.filter("kind <> 'gazette' or kind is null"), run_at, config["lookbackHours"]).unionByName(items.filter("kind = 'gazette'"))
-    history = pruned(history, run_at, config["stateRetentionDays"])
+    # read several times below; written once, whatever it was made from
+    history = written(pruned(history, run_at, config["stateRetentionDays"]))
     done = written(classified(window, rules))
     relevant = done.filter(is_publishable(config["minimumScore"]))
     preview = F.coalesce("preview_only", F.lit(False))
