@@ -8,8 +8,8 @@ from functools import cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space as the web's text tools see it; Java's \s knows ASCII only.
-SPACE = r"[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]+"
+#: White space as the web's text tools see it; Java's \s knows ASCII only. Printable ASCII, most of a text, is told apart by one range.
+SPACE = r"[[^!-~]&&[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]]+"
 #: ASCII word boundaries; Java's \b counts accented letters as word characters.
 LEFT, RIGHT = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 #: The five references that are decoded, in order.

@@ -44,8 +44,20 @@ class RuleSet:
 
 
 def java(pattern: str) -> str:
-    """\\b before a letter, group or class begins a word; any other ends one."""
-    return re.sub(r"\\b(?=[a-z(\[])", lambda _: LEFT, pattern).replace(r"\b", RIGHT)
+    """\\b before a letter, group or class begins a word; any other ends one. Where the first letters of the word are plain to see, they are
+    looked at before the boundary, which costs more."""
+
+    def begin(found: re.Match) -> str:
+        words = (found["words"] or found["letter"] or "").split("|")
+        return f"(?=[{''.join(sorted({w[0] for w in words}))}]){LEFT}" if all(re.match("[a-z]", w) for w in words) else LEFT
+
+    return re.sub(r"\\b(?=\((?P<words>[^()]*)\)(?![?*{])|(?P<letter>[a-z])(?![?*{])|[(\[a-z])", begin, pattern).replace(r"\b", RIGHT)
+
+
+def needed(pattern: str) -> str:
+    """A plain text that whatever the pattern finds must hold: the longest outside groups, classes and repetitions; may be empty."""
+    plain = re.sub(r"\([^()]*\)[?*+]?|\[[^\]]*\][?*+]?|\.(\{[^}]*\}|[?*+])?|\\.[?*+]?", "\0", pattern)
+    return "" if re.search(r"[()|]", plain) else max(re.findall(r"[a-z ]+(?![?*{])", plain), key=len, default="")
 
 
 def re2(pattern: str) -> str:

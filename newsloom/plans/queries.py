@@ -14,7 +14,7 @@ from ..operators.classify import classified, is_publishable, segments
 from ..operators.rules import SYNTHETIC
 from ..schema import SEEN
 from ..sources import state
-from ..sources.tables import read, written
+from ..sources.tables import read, spread, written
 from . import sql
 from .run import run
 
@@ -30,9 +30,14 @@ ITEMS_SQL = f"""items AS (
 )"""
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, over all cores also where they lie in one small file."""
+    return spread(read(spark, sf_dir, "documents"))
+
+
 def document_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as items: every third a gazette with its lines as excerpts."""
-    docs = read(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     third, body = F.col("doc_id") % 3 == 0, F.coalesce("text", F.lit(""))
     host = F.when(F.col("doc_id") % 5 == 0, ".example.org/").otherwise(".example.com/")
     return docs.select(
@@ -62,17 +67,17 @@ def scan_filter_window(spark, sf_dir):
 
 @query(f"SELECT doc_id, {sql.whitespace('text')} AS plain FROM documents")
 def normalize_ws(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", text.whitespace(F.col("text")).alias("plain"))
+    return texts(spark, sf_dir).select("doc_id", text.whitespace(F.col("text")).alias("plain"))
 
 
 @query(f"SELECT doc_id, {sql.for_match('text')} AS folded FROM documents")
 def normalize_match(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", text.for_match(F.col("text")).alias("folded"))
+    return texts(spark, sf_dir).select("doc_id", text.for_match(F.col("text")).alias("folded"))
 
 
 @query(f"SELECT doc_id, CASE WHEN length({sql.whitespace('text')}) <= 120 THEN {sql.whitespace('text')} ELSE rtrim(substr({sql.whitespace('text')}, 1, 119)) || '…' END AS short FROM documents")
 def truncate_text(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", text.shortened(F.col("text"), 120).alias("short"))
+    return texts(spark, sf_dir).select("doc_id", text.shortened(F.col("text"), 120).alias("short"))
 
 
 @query(f"SELECT page_id, {sql.canonical('url')} AS canonical FROM pages")
@@ -99,13 +104,13 @@ def official_host(spark, sf_dir):
 @query(f"SELECT doc_id, {sql.fingerprint(TITLE_SQL)} AS fingerprint FROM documents")
 def title_fingerprint(spark, sf_dir):
     title = F.split(F.coalesce("text", F.lit("")), "\n")[0]
-    return read(spark, sf_dir, "documents").select("doc_id", similarity.title_fingerprint(title).alias("fingerprint"))
+    return texts(spark, sf_dir).select("doc_id", similarity.title_fingerprint(title).alias("fingerprint"))
 
 
 @query(f"SELECT doc_id, array_to_string({sql.tokens(TITLE_SQL, 'text')}, ' ') AS tokens FROM documents")
 def content_tokens(spark, sf_dir):
     title = F.split(F.coalesce("text", F.lit("")), "\n")[0]
-    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(similarity.tokens(title, F.col("text")), " ").alias("tokens"))
+    return texts(spark, sf_dir).select("doc_id", F.array_join(similarity.tokens(title, F.col("text")), " ").alias("tokens"))
 
 
 @query(f"WITH {sql.classify(ITEMS_SQL, SYNTHETIC)} SELECT id, idx AS segment, md5(evidence) AS digest FROM scored")
@@ -297,7 +302,7 @@ _PLAIN_SQL = sql.whitespace("text")
 SELECT doc_id, CASE WHEN first <> '' AND length(first) <= 280 THEN first WHEN regexp_matches(title, '[.!?]$') THEN title ELSE title || '.' END AS sentence FROM f""")
 def first_sentence(spark, sf_dir):
     title = F.split(F.coalesce("text", F.lit("")), "\n")[0]
-    return read(spark, sf_dir, "documents").select("doc_id", render.first_sentence(F.col("text"), title).alias("sentence"))
+    return texts(spark, sf_dir).select("doc_id", render.first_sentence(F.col("text"), title).alias("sentence"))
 
 
 _RADAR_SQL = f"""WITH RECURSIVE {sql.classify(ITEMS_SQL, SYNTHETIC)},
