@@ -107,12 +107,17 @@ def first_of_each_event(items: DataFrame, order: list, least: float = SIMILAR) -
     return rows.join(kept, "_rank", "left_semi").select(columns)
 
 
+def _with_category(items: DataFrame) -> DataFrame:
+    """Keys, and the category that a classification gave."""
+    keyed = with_keys(items)
+    return keyed if "category" in keyed.columns else keyed.withColumn("category", F.col("classification.category"))
+
+
 def select_unseen(items: DataFrame, history: DataFrame, order: list, least: float = SIMILAR) -> DataFrame:
     """Keys added, sent and resembling items dropped, and the first of each event kept."""
-    keyed = with_keys(items)
-    if "category" not in keyed.columns:
-        keyed = keyed.withColumn("category", F.col("classification.category"))
-    return first_of_each_event(unlike_history(unsent(keyed, history), history, least), order, least)
+    # keys are made from whole texts and read several times below
+    keyed = written(unsent(_with_category(items), history))
+    return first_of_each_event(unlike_history(keyed, history, least), order, least)
 
 
 def first_unseen(items: DataFrame, history: DataFrame, order: list, most: int, least: float = SIMILAR, begin: int = 20, whole: int = 10_000) -> DataFrame:
@@ -124,8 +129,11 @@ def first_unseen(items: DataFrame, history: DataFrame, order: list, most: int, l
     size = max(1, most) * begin
     while most and size < whole:
         first = written(items.orderBy(*order).limit(size))
+        n = first.count()
+        if not n:
+            return _with_category(first)
         kept = written(select_unseen(first, history, order, least))
-        if kept.count() >= most or first.count() < size:
+        if kept.count() >= most or n < size:
             return kept.orderBy(*order).limit(most)
         size *= 8
     return select_unseen(items.limit(0) if not most else items, history, order, least).orderBy(*order).limit(most)
