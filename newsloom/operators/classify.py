@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import filled, for_match, whitespace
 from ..functions.urls import is_official
 from ..sources.tables import spread
-from .rules import CONSORTIA, GENERAL, GENERAL_MARK, REJECTED, RuleSet, java, needed
+from .rules import CONSORTIA, GENERAL, GENERAL_MARK, REJECTED, RuleSet, needed, quick
 
 GAZETTE, GAZETTE_LIMIT, LIMIT = "gazette", 1200, 1800
 NO_TEXT = f"{REJECTED}sem texto para classificação"
@@ -30,7 +30,7 @@ def segments(kind: Column, excerpts: Column, summary: Column, raw_text: Column)
 def _found(pattern: str, text: Column) -> Column:
     """Does the pattern match? A text without the words that it needs is not searched by it."""
     plain = needed(pattern)
-    return text.contains(plain) & text.rlike(java(pattern)) if plain else text.rlike(java(pattern))
+    return text.contains(plain) & text.rlike(quick(pattern)) if plain else text.rlike(quick(pattern))
 
 
 def _matched(rules: RuleSet, text: Column) -> Column:

@@ -1,5 +1,5 @@
 from newsloom.operators.classify import NO_TEXT, classified
-from newsloom.operators.rules import java, re2
+from newsloom.operators.rules import CONSORTIA, SYNTHETIC, java, needed, quick, re2
 
 #: (item, category, score); scores worked out by hand from the rules.
 CASES = [
@@ -47,3 +47,25 @@ def test_limits_of_evidence(spark):
 
 def test_notation():
     assert java(r"\ba\b.{0,5}b") == r"(?<![A-Za-z0-9_])a(?![A-Za-z0-9_]).{0,5}b" and re2(r"\ba\b.{0,5}b") == r"\ba\b.{0,5}b"
+
+
+def test_first_letters_and_needed_words():
+    left, right = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
+    assert quick(r"\b(ba|ca)\b.{0,5}\bd") == f"(?=[bc]){left}(ba|ca){right}.{{0,5}}(?=[d]){left}d"
+    assert quick(r"\b(a )?b\b") == f"{left}(a )?b{right}" and quick(r"\b[a-z]+\b") == f"{left}[a-z]+{right}"
+    assert [needed(p) for p in (r"\bab(s)?\b", r"\b(ab|cd)\b.{0,9}\befg", "abc?", "ab|cd", r"\|", "[a-z]+x")] == ["ab", "efg", "ab", "", "", "x"]
+
+
+def test_needed_words_stand_in_whatever_matches():
+    import re
+
+    texts = ["consorcio", "dividas junto ao consorcio", "contrato de rateio", "contratos de rateio", "ratifica o protocolo de intencoes", "adesao a ata", "outre nation", "novo consorcio, cria um consorcio", "assembleia do consorcio", "the one with"]
+    found = 0
+    for rules in (CONSORTIA, SYNTHETIC):
+        patterns = [rules.subject, rules.strong, rules.local, *(p for r in rules.rules for p in r.patterns), *(p for x in rules.penalties for c in x.cases for p in c if p)]
+        for p in patterns:
+            for t in texts:
+                held = bool(re.search(java(p), t))
+                assert held == bool(re.search(quick(p), t)) and (needed(p) in t or not held)
+                found += held
+    assert found > 10
