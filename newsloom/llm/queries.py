@@ -16,6 +16,7 @@ OPERATORS = [
     ("quality_knn", "op8_quality_knn"),
     ("substring", "op9_substring"),
     ("packing", "op10_packing"),
+    ("manifest", "op13_merkle_manifest"),
 ]
 
 
