@@ -47,7 +47,7 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def deleted(spark: SparkSession, path: str) -> None:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
@@ -55,7 +55,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 def dropped(df: DataFrame) -> None:
     """Delete the files of a table made by written() that no later step reads."""
     for path in {os.path.dirname(f) for f in df.inputFiles()}:
-        _delete(df.sparkSession, path)
+        deleted(df.sparkSession, path)
 
 
 def staged(spark: SparkSession, make) -> DataFrame:
@@ -68,7 +68,7 @@ def staged(spark: SparkSession, make) -> DataFrame:
     finally:
         _WRITTEN.pop()
         for path in made:
-            _delete(spark, path)
+            deleted(spark, path)
     for outer in _WRITTEN:  # an enclosing stage has only this one left to delete
         outer[:] = [p for p in outer if p not in made or p == keep]
     return out
@@ -107,6 +107,16 @@ def small_enough(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def hot_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", share: int = 1000) -> DataFrame:
+    """left, a written table, joined to right, which has each key once. Keys that over 1 / `share` of the rows of left have, so at most `share`
+    keys, meet their row by broadcast where they lie; only the others are shuffled."""
+    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    hot = written(counts.filter(F.col("_n") * share > left.count()).select(key, F.lit(True).alias("_hot")))
+    parted = left.join(F.broadcast(hot), key, "left")
+    often = parted.filter("_hot").drop("_hot").join(F.broadcast(right.join(F.broadcast(hot.select(key)), key, "left_semi")), key, how)
+    return often.unionByName(parted.filter("_hot is null").drop("_hot").join(right, key, how))
+
+
 def apart(spark: SparkSession, n: int, parts: int) -> np.ndarray:
     """n different numbers of groups that repartition(parts, number) deals evenly to its partitions, where plain numbers would meet by chance."""
     tries = spark.range(n * 4 + parts * 40).select(F.pmod(F.hash("id"), F.lit(parts)).alias("part"), "id")
@@ -141,3 +151,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if now == before:
             break
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def _crc_steps() -> list[int]:
+    """What four zero bits do to each low half byte of a CRC-32, from its polynomial."""
+    steps = list(range(16))
+    for _ in range(4):
+        steps = [x >> 1 ^ (0xEDB88320 if x & 1 else 0) for x in steps]
+    return steps
+
+
+def crc32_sql(text: str) -> str:
+    """SQL of the unsigned CRC-32 of a text of the characters that have one byte or two, half byte by half byte."""
+    half = f"[{', '.join(map(str, _crc_steps()))}]::BIGINT[]"
+    byte = "CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [192 + unicode(c) // 64, 128 + unicode(c) % 64] END"
+    halves = f"flatten(list_transform(flatten(list_transform(string_split({text}, ''), lambda c: {byte})), lambda b: [CAST(b % 16 AS BIGINT), CAST(b // 16 AS BIGINT)]))"
+    return f"xor(list_reduce({halves}, lambda a, h: xor(a // 16, ({half})[CAST(xor(a % 16, h) + 1 AS BIGINT)]), CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT))"

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_enough, table, written
+from .common import crc32_sql, small_enough, table, written
 
 FANOUT = 3
 FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
@@ -296,22 +296,6 @@ def _field_sql(value: str) -> str:
     return f"CASE WHEN {value} IS NULL THEN '-' ELSE strlen(CAST({value} AS VARCHAR)) || ':' || {value} END"
 
 
-def _crc_steps() -> list[int]:
-    """What four zero bits do to each low half byte of a CRC-32, from its polynomial."""
-    steps = list(range(16))
-    for _ in range(4):
-        steps = [x >> 1 ^ (0xEDB88320 if x & 1 else 0) for x in steps]
-    return steps
-
-
-def crc32_sql(text: str) -> str:
-    """SQL of the unsigned CRC-32 of a text of the characters that have one byte or two, half byte by half byte."""
-    half = f"[{', '.join(map(str, _crc_steps()))}]::BIGINT[]"
-    byte = "CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [192 + unicode(c) // 64, 128 + unicode(c) % 64] END"
-    halves = f"flatten(list_transform(flatten(list_transform(string_split({text}, ''), lambda c: {byte})), lambda b: [CAST(b % 16 AS BIGINT), CAST(b // 16 AS BIGINT)]))"
-    return f"xor(list_reduce({halves}, lambda a, h: xor(a // 16, ({half})[CAST(xor(a % 16, h) + 1 AS BIGINT)]), CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT))"
-
-
 _LEAF_SQL = " || ".join(_field_sql(c) for c in FIELDS)
 ORACLE_SQL = f"""
 WITH RECURSIVE docs AS (

@@ -16,6 +16,8 @@ OPERATORS = [
     ("quality_knn", "op8_quality_knn"),
     ("substring", "op9_substring"),
     ("packing", "op10_packing"),
+    ("spelling", "op11_spelling"),
+    ("archive", "op12_warc"),
     ("manifest", "op13_merkle_manifest"),
 ]
 
