@@ -7,19 +7,24 @@ least SIMILAR, and the earlier side has LEAST_TOKENS tokens or more.
 The batch decision depends on earlier decisions, so it is taken in rounds over a graph: an item is kept once no undecided and
 no kept item before it conflicts with it, and dropped once a kept one does. Items of one fingerprint, and items of one
 category and token set, are groups of which only extremes matter (the first kept, the first undecided), so copies never become
-pairs. Pairs of different token sets come from a prefix-filtered similarity join: under a global order of tokens, rarest
+pairs. A round looks only around what the last one decided; what is open in the end and few is passed by one task. Pairs of different token sets come from a prefix-filtered similarity join: under a global order of tokens, rarest
 first, two sets with the required overlap share a token among their first few.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import LEAST_TOKENS, SIMILAR, jaccard, title_fingerprint, tokens
 from ..functions.text import filled
 from ..functions.urls import item_id
-from ..sources.tables import written
+from ..sources.tables import scratch, written
+
+
+#: Open items, and pairs of sets, that one task passes at most: some 100 MB.
+FEW = 300_000
 
 
 def with_keys(items: DataFrame) -> DataFrame:
@@ -46,6 +51,12 @@ def _prefixes(sets: DataFrame, order: DataFrame, least: float) -> DataFrame:
     return rows.select("key", "category", "size", F.posexplode(F.slice("ranked", F.lit(1), length)["token"]).alias("place", "token"))
 
 
+def may_be_similar(n, m, a_place, b_place, least: float):
+    """Can two sets of n and m tokens be similar that share their first common token at these places (from 0) of the order?"""
+    enough = F.least(n - a_place, m - b_place) >= (n + m) * (least / (1 + least)) - 1e-9
+    return (n >= m * least - 1e-9) & (m >= n * least - 1e-9) & enough
+
+
 def similar_sets(left: DataFrame, right: DataFrame | None = None, least: float = SIMILAR, smallest: int = 1) -> DataFrame:
     """(left key, right key, similarity) of sets of one category with Jaccard at least `least`. Sets: key (unique), category, tokens.
 
@@ -60,11 +71,8 @@ def similar_sets(left: DataFrame, right: DataFrame | None = None, least: float =
     else:
         sides = _prefixes(left, order, least), _prefixes(right, order, least)
     a, b = (x.select([F.col(c).alias(f"{side}_{c}") for c in x.columns]) for x, side in zip(sides, "ab"))
-    n, m = F.col("a_size"), F.col("b_size")
-    on = F.col("a_category").eqNullSafe(F.col("b_category")) & (F.col("a_token") == F.col("b_token")) & (n >= m * least - 1e-9) & (m >= n * least - 1e-9)
-    # places count from 0; a pair is met at its first shared token, before which nothing is shared
-    enough = F.least(n - F.col("a_place"), m - F.col("b_place")) >= (n + m) * (least / (1 + least)) - 1e-9
-    found = a.join(b, on & enough).select("a_key", "b_key").distinct()
+    on = F.col("a_category").eqNullSafe(F.col("b_category")) & (F.col("a_token") == F.col("b_token"))
+    found = a.join(b, on & may_be_similar(F.col("a_size"), F.col("b_size"), F.col("a_place"), F.col("b_place"), least)).select("a_key", "b_key").distinct()
     tokens_of = lambda sets, side: sets.select(F.col("key").alias(f"{side}_key"), F.col("tokens").alias(f"{side}_tokens"))
     found = found.join(tokens_of(left, "a"), "a_key").join(tokens_of(left if right is None else right, "b"), "b_key")
     return found.select("a_key", "b_key", jaccard(F.col("a_tokens"), F.col("b_tokens")).alias("similarity")).filter(F.col("similarity") >= least)
@@ -72,55 +80,125 @@ def similar_sets(left: DataFrame, right: DataFrame | None = None, least: float =
 
 def unlike_history(items: DataFrame, history: DataFrame, least: float = SIMILAR) -> DataFrame:
     """Items that resemble no history record of their category. items: id, category and content_tokens."""
-    key = F.sha2(F.concat_ws("\u0001", F.coalesce("category", F.lit("\u0002")), F.array_join("tokens", " ")), 256)
-    sets = items.select("category", F.col("content_tokens").alias("tokens")).filter(F.size("tokens") > 0).distinct().withColumn("key", key)
+    key, sets = set_key(), token_sets(items)
     known = history.select(F.coalesce("category", F.lit("GERAL")).alias("category"), F.col("content_tokens").alias("tokens")).filter(F.size("tokens") >= LEAST_TOKENS).distinct().withColumn("key", key)
-    hit = similar_sets(sets, known, least).select(F.col("a_key").alias("key")).distinct().join(sets, "key").select(F.col("category").alias("_c"), F.col("tokens").alias("_t"))
+    return without_sets(items, similar_sets(sets, known, least).select(F.col("a_key").alias("key")).distinct().join(sets, "key"))
+
+
+def set_key():
+    """Name of a set: category and tokens."""
+    return F.sha2(F.concat_ws("\u0001", F.coalesce("category", F.lit("\u0002")), F.array_join("tokens", " ")), 256)
+
+
+def token_sets(items: DataFrame) -> DataFrame:
+    """category, tokens and key of the different sets of items."""
+    return items.select("category", F.col("content_tokens").alias("tokens")).filter(F.size("tokens") > 0).distinct().withColumn("key", set_key())
+
+
+def without_sets(items: DataFrame, sets: DataFrame) -> DataFrame:
+    """Items that have none of the sets (category, tokens)."""
+    hit = sets.select(F.col("category").alias("_c"), F.col("tokens").alias("_t"))
     return items.join(hit, F.col("category").eqNullSafe(F.col("_c")) & F.col("content_tokens").eqNullSafe(F.col("_t")), "left_anti")
 
 
-def first_of_each_event(items: DataFrame, order: list, least: float = SIMILAR) -> DataFrame:
-    """The items that the greedy pass in the given order keeps. Each round decides at least the first open item, so rounds end. order: columns (ascending) that rank every item apart.
+def _around(near: DataFrame, sets: DataFrame) -> DataFrame:
+    """The sets themselves and those that one of them, if it is kept earlier, drops. sets: _set."""
+    return sets.unionByName(near.join(sets, near.b_key == sets["_set"]).select(F.col("a_key").alias("_set"))).distinct()
 
-    items: category, title_fingerprint, content_tokens.
-    """
-    columns = items.columns
-    group = F.sha2(F.concat_ws("\u0001", F.coalesce("category", F.lit("\u0002")), F.array_join("content_tokens", " ")), 256)
-    rows = written(items.withColumns({"_rank": F.struct(*order), "_set": group}))
-    if not rows.head(1):
-        return rows.select(columns)
-    sets = rows.filter(F.size("content_tokens") > 0).groupBy(F.col("_set").alias("key")).agg(F.first("category").alias("category"), F.first("content_tokens").alias("tokens"))
-    near = written(similar_sets(sets, least=least, smallest=LEAST_TOKENS).filter("a_key <> b_key").select("a_key", "b_key"))
-    state = written(rows.select("_rank", "_set", "title_fingerprint", F.size("content_tokens").alias("_n"), F.lit(0).alias("_state")))  # 0 open, 1 kept, 2 dropped
+
+def _decided(candidates: DataFrame, others: DataFrame, near: DataFrame) -> DataFrame:
+    """Candidates that are decided, with their _state: dropped (2) if a kept one (1) before them stands in the way, kept if no open one (0) does."""
     first = lambda s: F.min(F.when(F.col("_state") == s, F.col("_rank")))
-    while True:
-        prints = state.filter("_state < 2").groupBy("title_fingerprint").agg(first(1).alias("_pk"), first(0).alias("_po"))
-        each = state.filter(f"_state < 2 and _n >= {LEAST_TOKENS}").groupBy("_set").agg(first(1).alias("_k"), first(0).alias("_o"))
-        around = near.join(each, near.b_key == each["_set"]).groupBy(F.col("a_key").alias("_set")).agg(F.min("_k").alias("_nk"), F.min("_o").alias("_no"))
-        x = state.filter("_state = 0").join(prints, "title_fingerprint", "left").join(each, "_set", "left").join(around, "_set", "left")
-        before = lambda *c: F.array_max(F.array(*[F.coalesce(F.col(k) < F.col("_rank"), F.lit(False)) for k in c]))
-        x = x.withColumn("_state", F.when(before("_pk", "_k", "_nk"), 2).when(before("_po", "_o", "_no"), 0).otherwise(1))
-        state = written(state.filter("_state > 0").unionByName(x.select(state.columns)))
-        if not state.filter("_state = 0").head(1):
-            break
-    kept = state.filter("_state = 1").select("_rank")
+    prints = others.join(candidates.select("_print").distinct(), "_print", "left_semi").groupBy("_print").agg(first(1).alias("_pk"), first(0).alias("_po"))
+    sets = candidates.select("_set").distinct()
+    rivals = near.join(sets, near.a_key == sets["_set"], "left_semi")
+    wanted = sets.unionByName(rivals.select(F.col("b_key").alias("_set"))).distinct()
+    each = others.filter(F.col("_n") >= LEAST_TOKENS).join(wanted, "_set", "left_semi").groupBy("_set").agg(first(1).alias("_k"), first(0).alias("_o"))
+    around = rivals.join(each, rivals.b_key == each["_set"]).groupBy(F.col("a_key").alias("_set")).agg(F.min("_k").alias("_nk"), F.min("_o").alias("_no"))
+    x = candidates.join(prints, "_print", "left").join(each, "_set", "left").join(around, "_set", "left")
+    before = lambda *c: F.array_max(F.array(*[F.coalesce(F.col(k) < F.col("_rank"), F.lit(False)) for k in c]))
+    state = F.when(before("_pk", "_k", "_nk"), 2).when(before("_po", "_o", "_no"), 0).otherwise(1)
+    return x.select("_rank", "_print", "_set", "_n", state.alias("_state")).filter("_state > 0")
+
+
+def _passed(rows: DataFrame, near: DataFrame) -> DataFrame:
+    """_rank of the rows that the greedy pass keeps, in one task: for few rows and pairs, which the caller has counted."""
+    rows = rows.select("_rank", "_print", "_set", (F.col("_n") >= LEAST_TOKENS).alias("_enough"), F.row_number().over(Window.orderBy("_rank")).alias("_place"))
+
+    def run(rows: pa.Table, near: pa.Table) -> pa.Table:
+        rows, follow = rows.sort_by("_place"), {}
+        for a, b in zip(near.column("a_key").to_pylist(), near.column("b_key").to_pylist()):
+            follow.setdefault(b, []).append(a)
+        prints, sets, kept = set(), set(), []
+        for i, (title, own, enough) in enumerate(zip(*(rows.column(c).to_pylist() for c in ("_print", "_set", "_enough")))):
+            if title not in prints and own not in sets:
+                kept.append(i)
+                prints.add(title)
+                if enough:
+                    sets.add(own)
+                    sets.update(follow.get(own, ()))
+        return rows.take(kept).select(["_rank"])
+
+    schema = f"_rank {rows.schema['_rank'].dataType.simpleString()}"
+    return rows.withColumn("_all", F.lit(0)).groupBy("_all").cogroup(near.withColumn("_all", F.lit(0)).groupBy("_all")).applyInArrow(run, schema)
+
+
+def first_of_each_event(items: DataFrame, order: list, least: float = SIMILAR, few: int = FEW) -> DataFrame:
+    """The items that the greedy pass in the given order keeps. order: columns (ascending) that rank every item apart.
+
+    items: category, title_fingerprint, content_tokens. Of items with one fingerprint and one set only the first can stay. Rounds decide what is open:
+    a round looks at the neighbours of what the last one decided and writes its decisions only, so all rounds together write each item once. As soon as at
+    most `few` items and pairs are open, which a count shows, one task makes the rest of the pass.
+    """
+    with scratch() as keep:
+        columns = items.columns
+        group = F.sha2(F.concat_ws("\u0001", F.coalesce("category", F.lit("\u0002")), F.array_join("content_tokens", " ")), 256)
+        rows = items.withColumn("_rank", F.struct(*order)).withColumns({"_set": group, "_print": F.coalesce("title_fingerprint", F.concat(F.lit("\u0001"), F.to_json("_rank")))})
+        rows = keep(written(rows))
+        sets = rows.filter(F.size("content_tokens") > 0).groupBy(F.col("_set").alias("key")).agg(F.first("category").alias("category"), F.first("content_tokens").alias("tokens"))
+        near = written(similar_sets(written(sets), least=least, smallest=LEAST_TOKENS).filter("a_key <> b_key").select("a_key", "b_key"))
+        slim = written(rows.groupBy("_print", "_set").agg(F.min("_rank").alias("_rank"), F.first(F.size("content_tokens")).alias("_n")))
+        kept = keep(written(_kept(slim, near, few)))
     return rows.join(kept, "_rank", "left_semi").select(columns)
 
 
+def _kept(slim: DataFrame, near: DataFrame, few: int) -> DataFrame:
+    """_rank of the rows that stay. slim: _rank, _print, _set and its size _n; near: sets (a_key) that another, if it is kept earlier, drops (b_key)."""
+    open_, pairs, decided, fresh = slim, near, None, None
+    while True:
+        n = open_.limit(few + 1).count()
+        done = slim.select("_rank").limit(0) if decided is None else decided.filter("_state = 1").select("_rank")
+        if not n:
+            return done
+        if n <= few and pairs.limit(few + 1).count() <= few:
+            return done.unionByName(_passed(open_, pairs))
+        candidates, every = open_, open_.withColumn("_state", F.lit(0))
+        if fresh is not None:
+            prints, around = fresh.select("_print").distinct(), _around(near, fresh.filter(F.col("_n") >= LEAST_TOKENS).select("_set").distinct())
+            touched = lambda df, key: df.withColumn(f"_by{key}", F.lit(True))
+            candidates = open_.join(touched(prints, "_print"), "_print", "left").join(touched(around, "_set"), "_set", "left").filter("_by_print or _by_set").select(slim.columns)
+            every = every.unionByName(decided)
+        fresh = written(_decided(candidates, every, near))
+        decided = fresh if decided is None else decided.unionByName(fresh)
+        open_ = slim.join(decided.select("_rank"), "_rank", "left_anti")
+        left = open_.select("_set").distinct()
+        pairs = near.join(left, near.a_key == left["_set"], "left_semi").join(left, near.b_key == left["_set"], "left_semi")
+
+
 def _with_category(items: DataFrame) -> DataFrame:
     """Keys, and the category that a classification gave."""
     keyed = with_keys(items)
     return keyed if "category" in keyed.columns else keyed.withColumn("category", F.col("classification.category"))
 
 
-def select_unseen(items: DataFrame, history: DataFrame, order: list, least: float = SIMILAR) -> DataFrame:
-    """Keys added, sent and resembling items dropped, and the first of each event kept."""
+def select_unseen(items: DataFrame, history: DataFrame, order: list, least: float = SIMILAR, unlike=unlike_history) -> DataFrame:
+    """Keys added, sent and resembling items dropped, and the first of each event kept. unlike: what drops the resembling ones."""
     # keys are made from whole texts and read several times below
     keyed = written(unsent(_with_category(items), history))
-    return first_of_each_event(unlike_history(keyed, history, least), order, least)
+    return first_of_each_event(unlike(keyed, history, least), order, least)
 
 
-def first_unseen(items: DataFrame, history: DataFrame, order: list, most: int, least: float = SIMILAR, begin: int = 20, whole: int = 10_000) -> DataFrame:
+def first_unseen(items: DataFrame, history: DataFrame, order: list, most: int, least: float = SIMILAR, begin: int = 20, whole: int = 10_000, unlike=unlike_history) -> DataFrame:
     """The first `most` items, in order, that select_unseen keeps.
 
     A decision depends only on items that rank before, so it is taken on a prefix of `begin` times as many items, which grows until it
@@ -132,8 +210,8 @@ def first_unseen(items: DataFrame, history: DataFrame, order: list, most: int, l
         n = first.count()
         if not n:
             return _with_category(first)
-        kept = written(select_unseen(first, history, order, least))
+        kept = written(select_unseen(first, history, order, least, unlike))
         if kept.count() >= most or n < size:
             return kept.orderBy(*order).limit(most)
         size *= 8
-    return select_unseen(items.limit(0) if not most else items, history, order, least).orderBy(*order).limit(most)
+    return select_unseen(items.limit(0) if not most else items, history, order, least, unlike).orderBy(*order).limit(most)

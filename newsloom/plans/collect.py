@@ -56,7 +56,8 @@ def requests_of(config: dict, since: datetime, search: str = SEARCH, gazette: st
 def collect(spark: SparkSession, config: dict, run_at: datetime, **services: str) -> Collected:
     """Items of all families in the order of FAMILIES; raises if no family succeeded."""
     since = run_at - timedelta(hours=config["lookbackHours"])
-    found, told, diagnostics = [], [], spark.createDataFrame([], DIAGNOSTIC)
+    # with the order in which sites are reported
+    found, told, diagnostics = [], [], spark.createDataFrame([], DIAGNOSTIC).withColumns({"part": F.lit(0), "place": F.lit(0)})
     asked = list(zip(FAMILIES, requests_of(config, since, **services)))
 
     def fetched(requests: list[dict] | None) -> tuple[DataFrame | None, float]:
@@ -88,7 +89,7 @@ def collect(spark: SparkSession, config: dict, run_at: datetime, **services: str
             meta = spark.createDataFrame([(i, s["adapter"], s.get("publish") is True, s.get("encoding")) for i, s in enumerate(active)], "ord int, adapter string, publish boolean, encoding string")
             parsed = written(sites.parsed_pages(got.join(F.broadcast(meta), "ord")))
             items = recent(sites.site_items(parsed), run_at, config["lookbackHours"])
-            diagnostics = sites.diagnostics(parsed, items, [s for s in all_sites if s.get("enabled") is False]).orderBy("part", "place").select([f.name for f in DIAGNOSTIC.fields])
+            diagnostics = sites.diagnostics(parsed, items, [s for s in all_sites if s.get("enabled") is False]).orderBy("part", "place").select([f.name for f in DIAGNOSTIC.fields] + ["part", "place"])
             some = not active or bool(parsed.filter("error is null").head(1))
         millis = int((seconds + time.time() - began) * 1000)
         site = family == FAMILIES[3]

@@ -14,7 +14,8 @@ from ..operators.classify import classified, is_publishable, segments
 from ..operators.rules import SYNTHETIC
 from ..schema import SEEN
 from ..sources import state
-from ..sources.tables import read, spread, written
+from ..sources.index import TokenIndex
+from ..sources.tables import read, spread, work_folder, written
 from . import sql
 from .run import run
 
@@ -199,6 +200,19 @@ def anti_history_fuzzy(spark, sf_dir):
     return dedupe.unlike_history(items.filter("id % 7 <> 1"), history).select("id")
 
 
+@query(f"WITH {ITEMS_SQL}, {_TOKENS_SQL} SELECT id FROM items WHERE id % 7 <> 1 AND NOT EXISTS (SELECT 1 FROM pairs WHERE a = items.id AND b % 7 = 1 AND nb >= {similarity.LEAST_TOKENS})")
+def anti_history_indexed(spark, sf_dir):
+    """The same through a stored index that follows a history of two commits."""
+    folder = f"{work_folder(spark)}/{uuid.uuid4().hex}"
+    items = document_items(spark, sf_dir).withColumn("content_tokens", similarity.tokens(F.col("title"), F.col("summary"))).withColumn("category", F.col("kind"))
+    log, index = state.history_log(spark, folder), TokenIndex(spark, f"{folder}/index")
+    for part in (0, 1):
+        sent = items.filter(f"id % 7 = 1 and id % 2 = {part}").withColumns({"id": F.col("id").cast("string"), "sent_at": F.lit(RUN_AT).cast("timestamp"), "title_fingerprint": F.lit("")})
+        state.add_to_history(sent.select([f.name for f in SEEN.fields]), folder)
+        index.follow(log)
+    return index.against(RUN_AT, 365)(items.filter("id % 7 <> 1"), None).select("id")
+
+
 @query(f"""WITH RECURSIVE {ITEMS_SQL}, {_TOKENS_SQL},
 prints AS MATERIALIZED (SELECT id, {sql.fingerprint("title")} AS f FROM items),
 clash AS MATERIALIZED (SELECT a, b FROM pairs WHERE b < a AND nb >= {similarity.LEAST_TOKENS} UNION SELECT x.id, y.id FROM prints x JOIN prints y ON x.f = y.f AND y.id < x.id),
@@ -248,6 +262,18 @@ def upsert_history(spark, sf_dir):
     return state.upserted(record(rows.filter("event_id % 2 = 0")), record(rows.filter("event_id % 2 = 1 and user_id % 3 = 0"))).select("id", "sent_at")
 
 
+@query("""WITH batches AS (SELECT user_id, event_id % 4 AS k, max(ts) AS at_ts FROM events GROUP BY 1, 2)
+SELECT user_id::VARCHAR AS id, arg_max(at_ts, k) AS sent_at FROM batches GROUP BY user_id""")
+def history_commits(spark, sf_dir):
+    """Four batches of records, of which the last is committed twice, through the log of the history: the last batch of a user counts."""
+    folder = f"{work_folder(spark)}/{uuid.uuid4().hex}"
+    rows = read(spark, sf_dir, "events")
+    for k in (0, 1, 2, 3, 3):
+        batch = rows.filter(F.col("event_id") % 4 == k).groupBy(F.col("user_id").cast("string").alias("id")).agg(F.max("ts").alias("sent_at"))
+        state.add_to_history(batch.withColumns({f.name: F.lit(None).cast(f.dataType) for f in SEEN.fields if f.name not in ("id", "sent_at")}), folder)
+    return state.load_history(spark, folder).select("id", F.col("sent_at").cast("timestamp_ntz").alias("sent_at"))
+
+
 _FUNNEL_SQL = f"WITH {sql.classify(ITEMS_SQL, SYNTHETIC)}, named AS (SELECT coalesce(nullif(source, ''), '{metrics.UNKNOWN_SOURCE}') AS source, best.*, items.id % 4 = 0 AS preview FROM best JOIN items USING (id))"
 
 
@@ -332,7 +358,6 @@ def radar_run(spark, sf_dir):
 @query("SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY event_type")
 def stream_dedupe_count(spark, sf_dir):
     """The events as a stream, each id once within the watermark, counted by type; one availableNow run."""
-    from ..sources.tables import work_folder
     from ..streaming.microbatch import without_repeats
 
     name = f"counts_{uuid.uuid4().hex}"
@@ -345,6 +370,21 @@ def stream_dedupe_count(spark, sf_dir):
     return spark.read.schema("event_id long, event_type string").parquet(out).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""SELECT user_id, event_type, event_id FROM events
+QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id % 3, ts, event_id) = 1""")
+def stream_first_seen(spark, sf_dir):
+    """The events in three micro-batches, the stream started anew for each: of each user and type the first passes."""
+    from ..streaming.seen import first_of_key
+
+    folder = f"{work_folder(spark)}/{uuid.uuid4().hex}"
+    rows = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts", F.concat_ws("-", "user_id", "event_type").alias("key"))
+    for k in range(3):
+        rows.filter(F.col("event_id") % 3 == k).write.mode("append").parquet(f"{folder}/in")
+        stream = first_of_key(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"), "key", "ts", [F.col("ts"), F.col("event_id")], 3650)
+        stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{folder}/out").select("user_id", "event_type", "event_id")
+
+
 def _as_folder(spark, path: str) -> str:
     """Streams read folders: a single file is copied as a written table."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

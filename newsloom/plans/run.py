@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 from ..operators import render
 from ..operators.classify import classified, is_publishable
-from ..operators.dedupe import first_unseen
+from ..operators.dedupe import first_unseen, unlike_history
 from ..operators.metrics import funnel
 from ..operators.rules import CONSORTIA, RuleSet
 from ..operators.select import allowed, rank_order, recent, sent_on_day
 from ..schema import ITEM, ORDINALS
+from ..sources.index import TokenIndex
 from ..sources.state import pruned
-from ..sources.tables import written
+from ..sources.tables import scratch, written
 
 PREVIEWS = 50
 
@@ -41,30 +42,32 @@ def as_items(df: DataFrame) -> DataFrame:
     return df.withColumns(missing)
 
 
-def run(items: DataFrame, history: DataFrame, run_at: datetime, config: dict, rules: RuleSet = CONSORTIA) -> Run:
+def run(items: DataFrame, history: DataFrame, run_at: datetime, config: dict, rules: RuleSet = CONSORTIA, index: TokenIndex | None = None) -> Run:
     """config: lookbackHours, stateRetentionDays, minimumScore, maxPostsPerRun, maxPostsPerDay. Gazettes pass the window by day at
-    their source, all others here."""
-    items = as_items(items)
-    window = recent(items.filter("kind <> 'gazette' or kind is null"), run_at, config["lookbackHours"]).unionByName(items.filter("kind = 'gazette'"))
-    # read several times below; written once, whatever it was made from
-    history = written(pruned(history, run_at, config["stateRetentionDays"]))
-    done = written(classified(window, rules))
-    relevant = done.filter(is_publishable(config["minimumScore"]))
-    preview = F.coalesce("preview_only", F.lit(False))
-    order = rank_order()
-    sent = sent_on_day(history, run_at)
-    most = allowed(config["maxPostsPerRun"], config["maxPostsPerDay"], sent)
-    selected = written(first_unseen(relevant.filter(~preview), history, order, most))
-    previews = written(first_unseen(relevant.filter(preview), history, order, PREVIEWS))
-    # the selection is few rows: its quota bounds it
-    chosen = F.broadcast(selected.select(*ORDINALS, "url", "title", F.lit(True).alias("_chosen")).distinct())
-    flagged = done.join(chosen, [done[c].eqNullSafe(chosen[c]) for c in (*ORDINALS, "url", "title")], "left")
-    flags = flagged.select(
-        done["source"], done["scraper"], F.col("classification.category").alias("category"), F.col("classification.score").alias("score"), F.col("classification.reasons").alias("reasons"),
-        is_publishable(config["minimumScore"]).alias("is_relevant"), preview.alias("is_preview"), F.coalesce("_chosen", F.lit(False)).alias("is_unseen"), F.coalesce("_chosen", F.lit(False)).alias("is_selected"),
-        F.lit(True).alias("is_classified"),
-    )
-    return Run(done, relevant, selected, previews, funnel(flags, config["minimumScore"]), history, sent)
+    their source, all others here. index: of the token sets of the history; without it they are compared anew."""
+    with scratch() as keep:
+        items = as_items(items)
+        window = recent(items.filter("kind <> 'gazette' or kind is null"), run_at, config["lookbackHours"]).unionByName(items.filter("kind = 'gazette'"))
+        # read several times below; written once, whatever it was made from
+        history = keep(written(pruned(history, run_at, config["stateRetentionDays"])))
+        done = keep(written(classified(window, rules)))
+        relevant = done.filter(is_publishable(config["minimumScore"]))
+        preview = F.coalesce("preview_only", F.lit(False))
+        order = rank_order()
+        sent = sent_on_day(history, run_at)
+        unlike = index.against(run_at, config["stateRetentionDays"]) if index else unlike_history
+        most = allowed(config["maxPostsPerRun"], config["maxPostsPerDay"], sent)
+        selected = keep(written(first_unseen(relevant.filter(~preview), history, order, most, unlike=unlike)))
+        previews = keep(written(first_unseen(relevant.filter(preview), history, order, PREVIEWS, unlike=unlike)))
+        # the selection is few rows: its quota bounds it
+        chosen = F.broadcast(selected.select(*ORDINALS, "url", "title", F.lit(True).alias("_chosen")).distinct())
+        flagged = done.join(chosen, [done[c].eqNullSafe(chosen[c]) for c in (*ORDINALS, "url", "title")], "left")
+        flags = flagged.select(
+            done["source"], done["scraper"], F.col("classification.category").alias("category"), F.col("classification.score").alias("score"), F.col("classification.reasons").alias("reasons"),
+            is_publishable(config["minimumScore"]).alias("is_relevant"), preview.alias("is_preview"), F.coalesce("_chosen", F.lit(False)).alias("is_unseen"), F.coalesce("_chosen", F.lit(False)).alias("is_selected"),
+            F.lit(True).alias("is_classified"),
+        )
+        return Run(done, relevant, selected, previews, funnel(flags, config["minimumScore"]), history, sent)
 
 
 def write_artifacts(result: Run, folder: str, minimum: int = 5, health: DataFrame | None = None, diagnostics: DataFrame | None = None) -> None:
@@ -80,7 +83,7 @@ def write_artifacts(result: Run, folder: str, minimum: int = 5, health: DataFram
     render.funnel_table(result.funnel, minimum).write.mode("overwrite").text(f"{folder}/source-funnel-table")
     for name, rows in (("source-health", health), ("scraper-health", diagnostics)):
         if rows is not None:
-            rows.coalesce(1).write.mode("overwrite").json(f"{folder}/{name}")
+            rows.drop("part", "place").coalesce(1).write.mode("overwrite").json(f"{folder}/{name}")
     result.classified.select("title", "url", "source", "source_url", "kind", "preview_only", "classification").write.mode("overwrite").parquet(f"{folder}/classification-audit")
 
 

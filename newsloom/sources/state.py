@@ -1,19 +1,16 @@
-"""History of sent items: a versioned Parquet table, pruned by age, extended by key; and the outbox of messages.
-
-A version is written whole to a new folder and becomes current by one small pointer file, so a reader never sees half a table.
-"""
+"""History of sent items: a table behind a commit log, pruned by age, extended by key; and the outbox of messages."""
 
 from __future__ import annotations
 
 import re
 import time
-import uuid
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import SEEN
+from .log import CommitLog
 
 
 def _path(spark: SparkSession, at: str):
@@ -21,27 +18,24 @@ def _path(spark: SparkSession, at: str):
     return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def current(spark: SparkSession, folder: str) -> str | None:
-    path, fs = _path(spark, f"{folder}/CURRENT")
-    return spark.read.text(f"{folder}/CURRENT").first()[0] if fs.exists(path) else None
+def history_log(spark: SparkSession, folder: str, run_at: datetime | None = None, days: int = 365) -> CommitLog:
+    """The log of a history; its parts become one without what is older than `days` at `run_at`."""
+    return CommitLog(spark, f"{folder}/history", SEEN, "id", (lambda records: pruned(records, run_at, days)) if run_at else lambda records: records)
 
 
 def load_history(spark: SparkSession, folder: str) -> DataFrame:
     """The current version; an empty history if there is none yet."""
-    version = current(spark, folder)
-    return spark.read.schema(SEEN).parquet(f"{folder}/{version}") if version else spark.createDataFrame([], SEEN)
+    return history_log(spark, folder).load()
+
 
+def save_history(history: DataFrame, folder: str, expected: int | None = None) -> int:
+    """A whole new version in place of version `expected` (default: the current one); its number. Raises Conflict where another run was first."""
+    return history_log(history.sparkSession, folder).commit(history, expected, whole=True)
 
-def save_history(history: DataFrame, folder: str) -> str:
-    """A new version, then the pointer: written beside it and renamed."""
-    spark, version = history.sparkSession, f"v-{uuid.uuid4().hex}"
-    history.select([c.name for c in SEEN.fields]).write.parquet(f"{folder}/{version}")
-    spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/_NEXT")
-    (new, fs), (old, _) = _path(spark, f"{folder}/_NEXT"), _path(spark, f"{folder}/CURRENT")
-    if fs.exists(old):
-        fs.delete(old, True)
-    fs.rename(new, old)
-    return version
+
+def add_to_history(records: DataFrame, folder: str, run_at: datetime | None = None, days: int = 365) -> int:
+    """A new version with records that replace those of the same id; what another run commits meanwhile stays."""
+    return history_log(records.sparkSession, folder, run_at, days).change(lambda _: latest(records))
 
 
 def pruned(history: DataFrame, run_at: datetime, days: int = 365) -> DataFrame:
@@ -57,10 +51,15 @@ def seen_records(items: DataFrame, sent_at: datetime) -> DataFrame:
     return items.select("id", F.lit(sent_at).cast("timestamp").alias("sent_at"), canonical(F.col("url")).alias("url"), "title", "title_fingerprint", "content_tokens", category.alias("category"))
 
 
+def latest(records: DataFrame) -> DataFrame:
+    """Of records with one id the latest."""
+    own = Window.partitionBy("id").orderBy(F.desc("sent_at"), F.xxhash64("title", "url"))
+    return records.withColumn("_n", F.row_number().over(own)).filter("_n = 1").drop("_n")
+
+
 def upserted(history: DataFrame, new: DataFrame) -> DataFrame:
     """New records replace those of the same id; of new records with one id the latest stays."""
-    own = Window.partitionBy("id").orderBy(F.desc("sent_at"), F.xxhash64("title", "url"))
-    new = new.withColumn("_n", F.row_number().over(own)).filter("_n = 1").drop("_n")
+    new = latest(new)
     return history.join(new.select("id"), "id", "left_anti").select(new.columns).unionByName(new)
 
 
@@ -75,11 +74,24 @@ def require_destination(group: str) -> str:
     return group
 
 
+def outbox(spark: SparkSession, folder: str) -> DataFrame | None:
+    """Records of what was sent since the history was last extended."""
+    path, fs = _path(spark, f"{folder}/outbox")
+    return spark.read.schema(SEEN).parquet(f"{folder}/outbox") if fs.exists(path) else None
+
+
+def settle(spark: SparkSession, folder: str, run_at: datetime | None = None, days: int = 365) -> None:
+    """Put what the outbox holds into the history, then empty it; a crash between the two only repeats the first."""
+    sent = outbox(spark, folder)
+    if sent is not None:
+        add_to_history(sent, folder, run_at, days)
+        clear_outbox(spark, folder)
+
+
 def with_outbox(history: DataFrame, folder: str) -> DataFrame:
     """The history with what the outbox says was sent since it was saved."""
-    spark = history.sparkSession
-    path, fs = _path(spark, f"{folder}/outbox")
-    return upserted(history, spark.read.schema(SEEN).parquet(f"{folder}/outbox")) if fs.exists(path) else history
+    sent = outbox(history.sparkSession, folder)
+    return history if sent is None else upserted(history, sent)
 
 
 def clear_outbox(spark: SparkSession, folder: str) -> None:

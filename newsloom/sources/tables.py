@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Of each thread, the paths of tables written inside each scratch() that is open.
+_OPEN = threading.local()
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of a folder of Parquet tables; timestamps without zone are read as UTC."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -29,7 +36,33 @@ def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared work folder, read again: its lineage ends here."""
     path = f"{work_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    if getattr(_OPEN, "made", None):
+        _OPEN.made[-1].append(path)
+        out.work_path = path
+    return out
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that written() makes inside are deleted in the end, but those given to the function that this yields, which pass to an enclosing scratch()."""
+    _OPEN.made = [*getattr(_OPEN, "made", []), []]
+    kept, spark = [], SparkSession.active()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df.work_path)
+        return df
+
+    try:
+        yield keep
+    finally:
+        *outer, own = _OPEN.made
+        _OPEN.made = outer
+        if outer:
+            outer[-1].extend(kept)
+        for path in set(own) - set(kept):
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def small_enough(df: DataFrame, rows: int = 100_000) -> DataFrame:

@@ -18,7 +18,9 @@ from ..operators.dedupe import with_keys
 from ..operators.rules import CONSORTIA, RuleSet
 from ..operators.select import rank_order
 from ..plans.run import as_items, run
-from ..sources.state import clear_outbox, delivered, load_history, save_history, seen_records, upserted, with_outbox
+from ..sources.index import TokenIndex
+from ..sources.state import add_to_history, delivered, history_log, load_history, seen_records, settle
+from ..sources.tables import scratch
 
 
 def without_repeats(stream: DataFrame, at: str, keys: list[str], hours: int = 96) -> DataFrame:
@@ -31,24 +33,30 @@ def daily_counts(stream: DataFrame, at: str, keys: list[str], hours: int = 96, z
     return stream.withWatermark(at, f"{hours} hours").groupBy(F.window(at, "1 day", startTime=zone_shift), *keys).agg(F.count(F.lit(1)).alias("n"))
 
 
-def start(stream: DataFrame, history_folder: str, checkpoint: str, config: dict, clock: Callable[[], datetime], rules: RuleSet = CONSORTIA, send: Callable[[str], None] | None = None, sink: str | None = None, trigger: dict | None = None, delay: float = 0.0) -> StreamingQuery:
+def start(stream: DataFrame, history_folder: str, checkpoint: str, config: dict, clock: Callable[[], datetime], rules: RuleSet = CONSORTIA, send: Callable[[str], None] | None = None, sink: str | None = None, trigger: dict | None = None, delay: float = 0.0, indexed: bool = False) -> StreamingQuery:
     """Run the radar on every micro-batch; `send` gets each message of a batch's selection in rank order, `delay` seconds apart.
 
     What was sent is known after each message (the outbox), so a batch that is repeated after a failure goes on where it stopped.
+    indexed: keep an index of the history's token sets, for histories that are long beside a batch.
     """
 
     def each(batch: DataFrame, number: int) -> None:
-        spark, now = batch.sparkSession, clock()
-        result = run(as_items(batch), with_outbox(load_history(spark, history_folder), history_folder), now, config, rules)
-        keyed = result.selected if "id" in result.selected.columns else with_keys(result.selected)
-        if sink:
-            keyed.withColumn("batch", F.lit(number)).write.mode("append").parquet(sink)
-        if send:
-            placed = render.messages(keyed, "text").withColumn("_place", F.struct(*rank_order()))
-            history = delivered(placed, "_place", send, history_folder, now, result.history, delay)
-        else:
-            history = upserted(result.history, seen_records(keyed, now))
-        save_history(history, history_folder)
-        clear_outbox(spark, history_folder)
+        with scratch():  # no table of a batch is read after it
+            spark, now = batch.sparkSession, clock()
+            # what a batch that failed has sent
+            settle(spark, history_folder, now, config["stateRetentionDays"])
+            index = TokenIndex(spark, f"{history_folder}/index") if indexed else None
+            if index:
+                index.follow(history_log(spark, history_folder))
+            result = run(as_items(batch), load_history(spark, history_folder), now, config, rules, index)
+            keyed = result.selected if "id" in result.selected.columns else with_keys(result.selected)
+            if sink:
+                keyed.withColumn("batch", F.lit(number)).write.mode("append").parquet(sink)
+            if send:
+                placed = render.messages(keyed, "text").withColumn("_place", F.struct(*rank_order()))
+                delivered(placed, "_place", send, history_folder, now, result.history, delay)
+                settle(spark, history_folder, now, config["stateRetentionDays"])
+            elif keyed.head(1):
+                add_to_history(seen_records(keyed, now), history_folder, now, config["stateRetentionDays"])
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

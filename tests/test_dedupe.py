@@ -54,3 +54,39 @@ def test_history_and_unseen(spark):
     assert sorted(r.n for r in got.collect()) == [4, 5]
     assert sorted(r.n for r in dedupe.select_unseen(spark.createDataFrame(items, kind), history.limit(0), [F.col("n")]).collect()) == [1, 3, 4, 5]
     assert dedupe.select_unseen(spark.createDataFrame([], kind), history, [F.col("n")]).count() == 0
+
+
+def test_a_long_chain_in_rounds_writes_each_item_once(spark, monkeypatch):
+    # each set resembles only its neighbours: every second one stays
+    rows = [(i, "A", f"f{i}", [f"w{j:03d}" for j in range(i, i + 10)]) for i in range(6)]
+    frame = spark.createDataFrame(rows, "n int, category string, title_fingerprint string, content_tokens array<string>")
+    counts, whole = [], dedupe.written
+    # what is written with a state are decisions
+
+    def counted(df):
+        out = whole(df)
+        if "_state" in df.columns:
+            counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(dedupe, "written", counted)
+    want = greedy(rows)
+    assert sorted(r.n for r in dedupe.first_of_each_event(frame, [F.col("n")], few=0).collect()) == want
+    assert sum(counts) == len(rows) and len(counts) > 2
+    counts.clear()
+    chain = [(i, "A", f"f{i}", [f"w{j:04d}" for j in range(i, i + 10)]) for i in range(500)]
+    frame = spark.createDataFrame(chain, "n int, category string, title_fingerprint string, content_tokens array<string>")
+    assert sorted(r.n for r in dedupe.first_of_each_event(frame, [F.col("n")]).collect()) == greedy(chain) and not counts
+
+
+def test_rounds_alone_equal_the_greedy_pass(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(40):
+        base = rng.choice(rows)[3] if rows and rng.random() < 0.7 else rng.sample([f"w{i}" for i in range(12)], rng.randrange(0, 9))
+        rows.append((i, rng.choice(["A", None]), f"f{rng.randrange(25)}" if i % 9 else None, sorted({w for w in base if rng.random() < 0.9})))
+    frame = spark.createDataFrame(rows, "n int, category string, title_fingerprint string, content_tokens array<string>")
+    plain = [(n, c, f"own{n}" if f is None else f, t) for n, c, f, t in rows]
+    for few in (8, 10_000):
+        assert sorted(r.n for r in dedupe.first_of_each_event(frame, [F.col("n")], few=few).collect()) == greedy(plain)
+    assert dedupe.first_of_each_event(frame.limit(0), [F.col("n")]).count() == 0
