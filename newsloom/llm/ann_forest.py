@@ -5,22 +5,23 @@ coordinate after a random rotation of the centred vector (the vertex of a cross-
 dealt to slices of SLICE rows at random; a slice keeps, for each tree, its strings in a sorted array. One task sorts a slice once and
 then streams all queries past it, so rows are shuffled once and queries once a slice. A query descends in every tree to its
 longest matching prefix (two binary searches a length). Then it ascends all trees in step, one prefix length at a time and tree by
-tree within a length, until the matches reach the share `reach` of the slice; the root is the whole slice. The matches are
-ranked by their exact distances, and the best lists of all slices merge. Every row is indexed and every query meets every slice.
+tree within a length, until the matches reach the share `reach` of the slice, and goes on until it has met k different rows
+other than its own; the root is the whole slice. The matches are ranked by their exact distances, and the best lists of all
+slices merge, so every query gets k answers, or all candidates where there are fewer. Every row is indexed and every query meets every slice.
 
-The centre is the mean of at most SAMPLE rows, and `reach` is fitted on them: for QUERIES of them, it is the share at which the ascent has met a part AIM
-of their true neighbours in the sample. A sample is sparser than the whole, so its neighbours are farther away and the fitted share is on
-the safe side. Vectors without structure need a large share (in 64 independent dimensions, about a third); no cap is set.
+The centre is the mean of at most SAMPLE rows, and `reach` is fitted on them: for at most QUERIES of the queries, it is the share at which the ascent has met a
+part AIM of their true neighbours in the sample. A sample is sparser than the whole, so its neighbours are farther away and the fitted share
+is on the safe side. Vectors without structure need a large share (in 64 independent dimensions, about a third); no cap is set.
 
 Rows with null id or a vector that is null, zero or holds null or non-finite components take no part. Repeated ids count once
-(the first vector in order). Vectors of unequal length are compared as if the shorter ended in zeros. Fewer than k candidates: all
-that the ascent finds. Ties go to the smaller id. Empty table: no rows. Other columns are not read.
+(the first vector in order). Vectors of unequal length are compared as if the shorter ended in zeros. Ties go to the smaller id. Empty table: no rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,15 @@ TREES, SAMPLE, QUERIES, AIM, SEED = 64, 8192, 128, 0.96, 42
 SLICE = 65_536
 
 
+@lru_cache(maxsize=1)
+def rotations(width: int, length: int, trees: int, seed: int) -> list[list[np.ndarray]]:
+    """The random rotations of each tree's characters: made once a task."""
+    pad = max(2, min(64, 1 << (width - 1).bit_length()))  # vertices: 2 * pad
+    rng = np.random.default_rng(seed)
+    turn = lambda: np.linalg.qr(rng.standard_normal((max(width, pad), pad)))[0][:width].astype(np.float32)
+    return [[turn() for _ in range(length)] for _ in range(trees)]
+
+
 class Forest:
     """Strings of some rows, sorted in each tree."""
 
@@ -46,14 +56,11 @@ class Forest:
 
     def strings(self, x: np.ndarray) -> np.ndarray:
         """trees x rows; `length` characters of 7 bits, the first in the highest bits."""
-        y, width = (x - self.centre).astype(np.float32), x.shape[1]
-        pad = max(2, min(64, 1 << (width - 1).bit_length()))  # vertices: 2 * pad
-        rng = np.random.default_rng(self.seed)
+        y = (x - self.centre).astype(np.float32)
         out = np.zeros((self.trees, len(x)), np.int64)
-        for t in range(self.trees):
-            for _ in range(self.length):
-                turn, _ = np.linalg.qr(rng.standard_normal((max(width, pad), pad)))
-                z = y @ turn[:width].astype(np.float32)
+        for t, turns in enumerate(rotations(x.shape[1], self.length, self.trees, self.seed)):
+            for turn in turns:
+                z = y @ turn
                 at = np.abs(z).argmax(1)
                 out[t] = (out[t] << 7) | (at << 1) | (z[np.arange(len(z)), at] > 0)
         return out
@@ -69,9 +76,9 @@ class Forest:
                 end[d, t] = np.searchsorted(self.sorted[t], ((strings[t] >> shift) + 1) << shift, "left")
         return first, end
 
-    def stops(self, first: np.ndarray, end: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
-        """Prefix length and number of trees at which the ascent of each query has `reach` matches."""
-        n = end - first
+    def stops(self, first: np.ndarray, end: np.ndarray, reach: float, own: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Prefix length and number of trees at which the ascent of each query has `reach` matches. own: 1 where a query is itself a row, which every tree meets."""
+        n = end - first - own
         q = n.shape[2]
         depth, trees, open_ = np.zeros(q, np.int64), np.full(q, self.trees), np.ones(q, bool)
         for d in range(self.length, 0, -1):
@@ -94,21 +101,31 @@ class Forest:
                 met[self.order[t, first[d, t, q] : end[d, t, q]]] = True
         return np.flatnonzero(met)
 
+    def enough(self, first: np.ndarray, end: np.ndarray, q: int, depth: int, trees: int, k: int, own: np.ndarray) -> np.ndarray:
+        """The same without rows `own` (a mask), going on up by whole prefix lengths until there are k of them or the root is reached."""
+        met = self.matches(first, end, q, depth, trees)
+        met = met[~own[met]]
+        while len(met) < k and depth:
+            depth, trees = depth - 1, self.trees
+            met = self.matches(first, end, q, depth, trees)
+            met = met[~own[met]]
+        return met
+
 
-def fitted_reach(x: np.ndarray, centre: np.ndarray, length: int, k: int, trees: int = TREES, aim: float = AIM) -> float:
-    """Share of a slice that the ascent must reach (matches of all trees added up) to meet a part `aim` of true neighbours; infinity is the root."""
+def fitted_reach(x: np.ndarray, ids: np.ndarray, asks: np.ndarray, ask_ids: np.ndarray, centre: np.ndarray, length: int, k: int, trees: int = TREES, aim: float = AIM) -> float:
+    """Share of a slice that the ascent of queries `asks` must reach (matches of all trees other than the query added up) to meet a part `aim` of
+    their true neighbours among x; infinity is the root."""
     if len(x) <= k + 1:
         return math.inf
-    forest, asks = Forest(x, centre, length, trees), np.arange(0, len(x), max(1, len(x) // QUERIES))
-    strings = forest.strings(x[asks])
-    first, end = forest.spans(strings)
-    n = end - first
+    forest = Forest(x, centre, length, trees)
+    first, end = forest.spans(forest.strings(asks))
+    n = end - first - np.isin(ask_ids, ids).astype(np.int64)
     place = np.empty_like(forest.order)
     np.put_along_axis(place, forest.order, np.arange(len(x))[None], 1)
     need = []
     for i, a in enumerate(asks):
-        d2 = ((x - x[a]) ** 2).sum(1)
-        d2[a] = np.inf
+        d2 = ((x - a) ** 2).sum(1)
+        d2[ids == ask_ids[i]] = np.inf
         for b in np.argpartition(d2, k)[:k]:
             inside = (first[1:, :, i] <= place[:, b]) & (place[:, b] < end[1:, :, i])  # length x trees
             at = np.flatnonzero(inside[::-1].ravel())
@@ -129,11 +146,13 @@ def search(df: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vector_c
     n, asked, width = rows.agg(F.count(F.lit(1)), F.count_if("asks"), F.max(F.size("v"))).first()
     if not asked:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sample = matrix(rows.orderBy(F.xxhash64("vec_id", F.lit(SEED))).limit(SAMPLE).select("v").toArrow().column("v"), width)  # SAMPLE rows at most
+    first = lambda df, most: df.orderBy(F.xxhash64("vec_id", F.lit(SEED))).limit(most).select("vec_id", "v").toArrow()
+    some, ask = first(rows, SAMPLE), first(rows.filter("asks"), QUERIES)
+    sample = matrix(some.column("v"), width)
     centre = sample.mean(0)
     length = 1 + math.ceil(math.log(max(2, n)) / math.log(128))
     if reach is None:
-        reach = fitted_reach(sample, centre, length, k, trees)
+        reach = fitted_reach(sample, some.column("vec_id").to_numpy(), matrix(ask.column("v"), width), ask.column("vec_id").to_numpy(), centre, length, k, trees)
     slices = max(math.ceil(n / SLICE), min(8, math.ceil(n / 4096)))
     each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long")))
     data = rows.select("vec_id", "v", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(slices)).alias("slice"), F.lit(False).alias("asks"))
@@ -173,11 +192,10 @@ def _answers(forest: Forest, ids: np.ndarray, queries: pa.RecordBatch, width: in
     q, qid = matrix(queries.column(1), width), queries.column(0).to_numpy()
     for at in range(0, len(q), 256):
         first, end = forest.spans(forest.strings(q[at : at + 256]))
-        depth, upto = forest.stops(first, end, reach * len(ids))
+        depth, upto = forest.stops(first, end, reach * len(ids), np.isin(qid[at : at + 256], ids).astype(np.int64))
         found = []
         for i in range(len(depth)):
-            met = forest.matches(first, end, i, depth[i], upto[i])
-            met = met[ids[met] != qid[at + i]]
+            met = forest.enough(first, end, i, depth[i], upto[i], k, ids == qid[at + i])
             d = np.sqrt(((forest.x[met] - q[at + i]) ** 2).sum(1))
             if len(d) > k:
                 near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])

@@ -128,3 +128,39 @@ def test_ascent_stops_when_it_has_enough():
             assert (depth[i], trees[i]) == at
             rows = forest.matches(first, end, i, depth[i], trees[i])
             assert i in rows and (reach < 10_000 or len(rows) == 500)
+
+
+def exact(rows, queries, k=10):
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    out = {}
+    for q in queries:
+        d = np.sqrt(((x - x[ids == q][0]) ** 2).sum(1))
+        out[q] = [int(ids[j]) for j in np.lexsort((ids, d)) if ids[j] != q][:k]
+    return out
+
+
+def test_every_query_gets_its_answers_on_clusters_and_copies(spark):
+    for blur in (0.0, 1e-3):
+        rng = np.random.default_rng(2)
+        rows, group = [], None
+        for i in range(6000):
+            if i % 15 == 0:
+                group = rng.standard_normal(32)
+            rows.append((i, (rng.standard_normal(32) if i % 100 == 0 else group + blur * rng.standard_normal(32)).tolist()))
+        frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        found = {}
+        for r in ann_forest.search(frame, lambda i: i % 100 == 0).collect():
+            found.setdefault(r.query_id, []).append(r.vec_id)
+        want = exact(rows, range(0, 6000, 100))
+        assert {len(x) for x in found.values()} == {10} and len(found) == 60 and all(len(set(x)) == 10 for x in found.values())
+        # equally near copies are as good as each other but for the order of ties, which the answers keep
+        assert sum(len(set(want[q]) & set(found[q])) for q in want) / 600 >= 0.9
+
+
+def test_few_candidates_are_all_answers(spark):
+    rows = [(i, [float(i == j) for j in range(8)]) for i in range(8)] + [(100, [1.0] * 8), (200, [1.0] * 8)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = {}
+    for r in ann_forest.search(frame, lambda i: i % 100 == 0, reach=0.0).collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    assert {q: len(x) for q, x in found.items()} == {0: 9, 100: 9, 200: 9}
