@@ -11,7 +11,8 @@ left; one more document, that which best fits what then lacks, follows. The cut
 two levels, so only the documents of one of BUCKETS buckets a pattern are ever ordered against each other.
 
 Null and blank texts have size 0 and are taken 0 words. A null source is a source of its own, after the others. Null doc_id:
-has its place in the seeded order by its text. Rows equal in id and text are used alike. Empty table: no rows. Other columns pass through
+has its place in the seeded order by its text. Rows equal in id and text are units of their own,
+numbered among themselves. Empty table: no rows. Other columns pass through
 `mixed`; its own (size, source_size, target, copies, taken) replace those of the same names.
 """
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, prefix_sums, small_enough, table, word_count, written
+from .common import components, hot_join, prefix_sums, small_enough, table, word_count, written
 
 REPEATS, SEED, BUCKETS, COARSE = 3, 42, 1 << 14, 1 << 7
 #: Sources or patterns whose plan is broadcast at most.
@@ -49,47 +50,64 @@ def quotas(sizes: list[int], weights: list[float], repeats: int = REPEATS) -> li
 
 
 def min_cost_flow(patterns: list[tuple[int, list[int]]], quota: list[int], repeats: int = REPEATS) -> dict[tuple[int, int], int]:
-    """(pattern, source) -> words; patterns: words and the sources that may use them. Successive shortest paths."""
+    """(pattern, source) -> words; patterns: words and the sources that may use them.
+
+    Only the arcs into patterns cost anything, and a path that adds flow never takes any back from them. So the cheapest flow is reached use by use: the
+    most that first uses can send, then the most that second uses can add, each by blocking flows over shortest paths.
+    """
     n, sink = len(patterns) + len(quota) + 2, len(patterns) + len(quota) + 1
-    to, cap, cost, out = [], [], [], [[] for _ in range(n)]
+    to, cap, out, ends = [], [], [[] for _ in range(n)], {}
 
-    def arc(a: int, b: int, c: int, w: int) -> None:
-        for x, y, most, price in ((a, b, c, w), (b, a, 0, -w)):
+    def arc(a: int, b: int, most: int) -> int:
+        for x, y, c in ((a, b, most), (b, a, 0)):
             out[x].append(len(to))
             to.append(y)
-            cap.append(most)
-            cost.append(price)
+            cap.append(c)
+        return len(to) - 2
 
-    ends = {}
-    for p, (words, sources) in enumerate(patterns):
-        for r in range(repeats):
-            arc(0, 1 + p, words, 3**r)
+    for p, (_, sources) in enumerate(patterns):
+        arc(0, 1 + p, 0)
         for s in sources:
-            ends[len(to)] = (p, s)
-            arc(1 + p, 1 + len(patterns) + s, repeats * words, 0)
+            ends[arc(1 + p, 1 + len(patterns) + s, repeats * patterns[p][0])] = (p, s)
     for s, q in enumerate(quota):
-        arc(1 + len(patterns) + s, sink, q, 0)
-    while True:
-        far, via, queue, waits = [None] * n, [-1] * n, [0], [False] * n
-        far[0] = 0
-        for a in queue:
-            waits[a] = False
-            for e in out[a]:
-                if cap[e] and (far[to[e]] is None or far[a] + cost[e] < far[to[e]]):
-                    far[to[e]], via[to[e]] = far[a] + cost[e], e
-                    if not waits[to[e]]:
-                        waits[to[e]] = True
+        arc(1 + len(patterns) + s, sink, q)
+    for _ in range(repeats):
+        for p, (words, _) in enumerate(patterns):
+            cap[out[0][p]] += words
+        while True:
+            far, queue = [-1] * n, [0]
+            far[0] = 0
+            for a in queue:
+                for e in out[a]:
+                    if cap[e] and far[to[e]] < 0:
+                        far[to[e]] = far[a] + 1
                         queue.append(to[e])
-        if far[sink] is None:
-            return {ps: cap[e ^ 1] for e, ps in ends.items() if cap[e ^ 1]}
-        path, at = [], sink
-        while at:
-            path.append(via[at])
-            at = to[via[at] ^ 1]
-        most = min(cap[e] for e in path)
-        for e in path:
-            cap[e] -= most
-            cap[e ^ 1] += most
+            if far[sink] < 0:
+                break
+            tried, path, at = [0] * n, [], 0
+            while True:
+                if at == sink:
+                    most = min(cap[e] for e in path)
+                    for e in path:
+                        cap[e] -= most
+                        cap[e ^ 1] += most
+                    cut = next(i for i, e in enumerate(path) if not cap[e])
+                    at = to[path[cut] ^ 1]
+                    del path[cut:]
+                while tried[at] < len(out[at]):
+                    e = out[at][tried[at]]
+                    if cap[e] and far[to[e]] == far[at] + 1:
+                        break
+                    tried[at] += 1
+                else:
+                    if not path:
+                        break
+                    at = to[path.pop() ^ 1]
+                    tried[at] += 1
+                    continue
+                path.append(e)
+                at = to[e]
+    return {ps: cap[e ^ 1] for e, ps in ends.items() if cap[e ^ 1]}
 
 
 def _plan(held: DataFrame, give, target) -> DataFrame:
@@ -176,6 +194,24 @@ def network_plan(held: DataFrame, weights, repeats: int) -> DataFrame:
     return _plan(single.unionByName(linked), F.col("_give"), F.col("_give").cast("double"))
 
 
+def _told_apart(base: DataFrame, buckets: int) -> DataFrame:
+    """base as a written table in which rows of one unit (_u) have places of their own in the seeded order, after the first by their number.
+
+    They are numbered within each partition, then over the partitions, so no unit is in one task, however many rows repeat it. Rows of a unit are
+    alike, so it does not matter which has which number.
+    """
+    rows = written(base.withColumn("_row", F.monotonically_increasing_id()))
+    units = written(rows.select("_u", "_row", F.shiftright("_row", 33).alias("_in")))
+    again = written(units.groupBy("_u").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_u"))
+    own = Window.partitionBy("_u", "_in").orderBy("_row")
+    local = written(hot_join(units, again, "_u", "left_semi").withColumn("_no", F.row_number().over(own)))
+    parts = local.groupBy("_u", "_in").agg(F.count(F.lit(1)).alias("_n"))
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("_u").orderBy("_in").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    number = local.join(parts, ["_u", "_in"]).select("_row", (F.col("_before") + F.col("_no") - 1).alias("_tie")).filter("_tie > 0")
+    rows = rows.join(number, "_row", "left").withColumn("_u", F.when(F.col("_tie").isNull(), F.col("_u")).otherwise(F.xxhash64("_u", "_tie")))
+    return written(rows.withColumn("_b", F.pmod(F.shiftright("_u", 20), F.lit(buckets))).drop("_row", "_tie"))
+
+
 def mixed(docs: DataFrame, weights=None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", repeats: int = REPEATS, seed: int = SEED, buckets: int = BUCKETS) -> DataFrame:
     """docs with size, source_size, target, copies and taken.
 
@@ -189,7 +225,12 @@ def mixed(docs: DataFrame, weights=None, id_col: str = "doc_id", text_col: str =
     names = F.array_sort(F.array_distinct(source_col)) if many else F.array(F.col(source_col))
     key = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), F.lit(seed))
     base = docs.withColumns({"size": word_count(F.col(text_col)), "_of": names, "_u": key}).withColumn("_b", F.pmod(F.shiftright("_u", 20), F.lit(buckets)))
-    slim = written(base.drop(text_col) if set(docs.columns) <= {id_col, source_col, text_col} else base.select("_of", "_u", "_b", "size"))
+    alone = set(docs.columns) <= {id_col, source_col, text_col}
+    slim = written(base.drop(text_col) if alone else base.select("_of", "_u", "_b", "size"))
+    if slim.filter("size > 0").groupBy("_u").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").head(1):
+        # equal rows, which would else be used all or none; the texts are written only where other columns come with them
+        apart = _told_apart(slim if alone else base, buckets)
+        slim, base = (apart, base) if alone else (written(apart.select("_of", "_u", "_b", "size")), apart)
     held = slim.groupBy("_of").agg(F.sum("size").alias("size"))
     plan = (network_plan if many else one_source_plan)(held, weights, repeats)
     # the tables below have at most one row a pattern
@@ -217,7 +258,6 @@ def mixed(docs: DataFrame, weights=None, id_col: str = "doc_id", text_col: str =
     others = units.join(near(gaps.filter("_gap > 0")), "_of").join(edge.filter("_in").select("_of", "_u"), ["_of", "_u"], "left_anti")
     best = others.groupBy("_of").agg(F.min(F.struct(F.abs(F.col("size") - F.col("_gap")).alias("_off"), "_u", "_gap")).alias("_best")).filter("_best._off < _best._gap")
     chosen = written(edge.filter("_in").select("_of", "_u").union(best.select("_of", "_best._u")).withColumn("_more", F.lit(1)))
-    alone = set(docs.columns) <= {id_col, source_col, text_col}
     rows = slim if alone else base
     # with the texts at hand, whether there is a word is cheaper to see than how many; unused sizes are then not counted again
     worded = F.col("size") > 0 if alone else F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))

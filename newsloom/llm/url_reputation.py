@@ -4,7 +4,8 @@ Labelled page outcomes (bad: quality 0 or toxic 1) are counted by host, register
 (the last name, or the last two where registries give out names below them: SUFFIXES). User and port are no part of these. Each level's bad rates are beta-binomial: its prior is centred on the posterior mean of the level above, and
 its strength is fitted by moments over all groups of the level, so a host with little evidence is shrunk to its domain, a
 domain to its suffix, a suffix to the whole. A page is blocked where the lower bound of its host's posterior (mean less Z
-standard deviations) is over THRESHOLD; hosts without labels take the posterior of the nearest level above that has some.
+standard deviations) has over RATIO times the odds of the mean over all labelled pages, so what is usual in the corpus is never blocked and the limit
+fits a corpus of any rate; hosts without labels take the posterior of the nearest level above that has some. The result says which level that was.
 Fixed rules (host and path prefix) come first; the longest that fits decides.
 
 A page's label is that of the document whose number stands in its path (the first run of digits that follows a slash).
@@ -28,7 +29,7 @@ SUFFIXES = (
     "co.uk org.uk gov.uk ac.uk net.uk com.br org.br gov.br net.br edu.br leg.br mp.br com.au net.au org.au gov.au edu.au co.nz org.nz co.za org.za co.jp ne.jp or.jp ac.jp go.jp co.kr or.kr "
     "co.in org.in gov.in com.cn org.cn gov.cn com.tw com.hk com.sg com.my co.id com.mx org.mx gob.mx com.ar gob.ar com.co com.pe com.ve com.ec com.uy com.tr gov.tr com.ua com.pl co.il com.eg com.sa com.pt"
 ).split()
-THRESHOLD, Z, STRONGEST = 0.5, 1.645, 1000.0
+RATIO, Z, STRONGEST = 1.5, 1.645, 1000.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -52,9 +53,12 @@ def rule_of(host, path, rules=RULES) -> tuple:
 def levels_of(host) -> dict:
     """host, domain and suffix of a host for its reputation."""
     name = F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
+    address = name.rlike(r"^(\[.*\]|[0-9]+(\.[0-9]+){3})$")
     two = F.substring_index(name, ".", -2)
     long = two.isin(SUFFIXES)
-    return {"site": name, "domain": F.when(long, F.substring_index(name, ".", -3)).otherwise(two), "suffix": F.when(long, two).otherwise(F.substring_index(name, ".", -1))}
+    # an address has no names above it
+    domain, suffix = F.when(long, F.substring_index(name, ".", -3)).otherwise(two), F.when(long, two).otherwise(F.substring_index(name, ".", -1))
+    return {"site": name, "domain": F.when(address, name).otherwise(domain), "suffix": F.when(address, name).otherwise(suffix)}
 
 
 def _strength(groups: DataFrame, centre: str | float) -> float:
@@ -70,12 +74,13 @@ def _strength(groups: DataFrame, centre: str | float) -> float:
     return STRONGEST if between <= 0 else float(min(STRONGEST, max(1.0, spread / between - 1)))
 
 
-def reputation(outcomes: DataFrame, z: float = Z) -> tuple[list[DataFrame], float]:
-    """outcomes: site, domain, suffix, bad (0 or 1). Tables (level name, mean, bound) of site, domain and suffix, and the bound at the top."""
+def reputation(outcomes: DataFrame, z: float = Z) -> tuple[list[DataFrame], float, float]:
+    """outcomes: site, domain, suffix, bad (0 or 1). Tables (level name, mean, bound) of site, domain and suffix; mean and bound at the top."""
     hosts = written(outcomes.groupBy("site", "domain", "suffix").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("bad").cast("double").alias("k")))
     total = hosts.agg(F.coalesce(F.sum("n"), F.lit(0.0)), F.coalesce(F.sum("k"), F.lit(0.0))).first()
     a, b = total[1] + 0.5, total[0] - total[1] + 0.5  # Jeffreys' prior at the top
-    above, key, out = a / (a + b), None, []
+    whole = above = a / (a + b)
+    key, out = None, []
     top = above - z * (a * b / (a + b) ** 2 / (a + b + 1)) ** 0.5
     found = None
     for name in ("suffix", "domain", "site"):
@@ -87,23 +92,32 @@ def reputation(outcomes: DataFrame, z: float = Z) -> tuple[list[DataFrame], floa
         found = groups.select(name, (a / (a + b)).alias("mean"), (a / (a + b) - z * F.sqrt(a * b / F.pow(a + b, 2) / (a + b + 1))).alias("bound"))
         out.append(found)
         key = name
-    return out[::-1], top
+    return out[::-1], whole, top
 
 
-def judged(pages: DataFrame, labels: DataFrame, rules=RULES, threshold: float = THRESHOLD, z: float = Z) -> DataFrame:
-    """page_id, host, path, rule, verdict of every page."""
+def limit_of(mean: float, ratio: float = RATIO) -> float:
+    """The rate that has `ratio` times the odds of the mean."""
+    odds = ratio * mean / (1 - mean)
+    return odds / (1 + odds)
+
+
+def judged(pages: DataFrame, labels: DataFrame, rules=RULES, ratio: float = RATIO, z: float = Z) -> DataFrame:
+    """page_id, host, path, rule, verdict of every page; and the level whose posterior counts for it, with mean and lower bound."""
     host, path = parts_of(F.col("url"))
     pages = pages.select("page_id", host.alias("host"), path.alias("path")).withColumns(levels_of(F.col("host")))
     bad = F.max(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0))
     labels = labels.groupBy(F.col("doc_id").alias("doc")).agg(bad.alias("bad"))
     named = pages.select("site", "domain", "suffix", F.expr(r"try_cast(regexp_extract(path, '/([0-9]+)', 1) as bigint)").alias("doc")).filter("doc is not null")
-    (hosts, domains, suffixes), top = reputation(named.join(labels, "doc").select("site", "domain", "suffix", "bad"), z)
+    (hosts, domains, suffixes), mean, top = reputation(named.join(labels, "doc").select("site", "domain", "suffix", "bad"), z)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     pages = pages.withColumns({"rule": rule, "_said": verdict})
-    for name, found in (("site", hosts), ("domain", domains), ("suffix", suffixes)):
-        pages = pages.join(small_enough(found.select(name, F.col("bound").alias(f"_{name}")), 100_000), name, "left")
-    own = F.when(F.coalesce("_site", "_domain", "_suffix", F.lit(top)) > threshold, "block").otherwise("allow")
-    return pages.select("page_id", "host", "path", "rule", F.coalesce("_said", own).alias("verdict"))
+    levels = ("site", hosts), ("domain", domains), ("suffix", suffixes)
+    for name, found in levels:
+        pages = pages.join(small_enough(found.select(name, F.struct(F.lit(name).alias("level"), "mean", "bound").alias(f"_{name}")), 100_000), name, "left")
+    whole = F.struct(F.lit("top").alias("level"), F.lit(mean).alias("mean"), F.lit(top).alias("bound"))
+    pages = pages.withColumn("_own", F.coalesce("_site", "_domain", "_suffix", whole))
+    own = F.when(F.col("_own.bound") > limit_of(mean, ratio), "block").otherwise("allow")
+    return pages.select("page_id", "host", "path", "rule", F.coalesce("_said", own).alias("verdict"), "_own.level", F.round("_own.mean", 6).alias("mean"), F.round("_own.bound", 6).alias("bound"))
 
 
 def op7_url_reputation(spark, sf_dir) -> DataFrame:
@@ -132,10 +146,10 @@ WITH rest AS (
 ), parsed AS (
   SELECT page_id, translate(regexp_extract(r, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest
 ), named AS (
-  SELECT *, CASE WHEN two IN ({_SUFFIX_SQL}) THEN array_to_string(string_split(site, '.')[-3:], '.') ELSE two END AS domain,
-         CASE WHEN two IN ({_SUFFIX_SQL}) THEN two ELSE string_split(site, '.')[-1] END AS suffix,
+  SELECT *, CASE WHEN plain_address THEN site WHEN two IN ({_SUFFIX_SQL}) THEN array_to_string(string_split(site, '.')[-3:], '.') ELSE two END AS domain,
+         CASE WHEN plain_address THEN site WHEN two IN ({_SUFFIX_SQL}) THEN two ELSE string_split(site, '.')[-1] END AS suffix,
          CASE {_RULE_SQL[0]} END AS rule, CASE {_RULE_SQL[1]} END AS said, TRY_CAST(regexp_extract(path, '/([0-9]+)', 1) AS BIGINT) AS doc
-  FROM (SELECT *, array_to_string(string_split(site, '.')[-2:], '.') AS two FROM (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS site FROM parsed))
+  FROM (SELECT *, array_to_string(string_split(site, '.')[-2:], '.') AS two, regexp_matches(site, '^(\\[.*\\]|[0-9]+(\\.[0-9]+){{3}})$') AS plain_address FROM (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS site FROM parsed))
 ), outcome AS (
   SELECT doc_id AS doc, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id
 ), hosts AS (
@@ -146,8 +160,9 @@ top AS (SELECT a / (a + b) AS mean, a / (a + b) - {Z} * sqrt(a * b / (a + b) **
 {_level_sql("domain", "JOIN p_suffix USING (suffix)", "p_suffix.mean")}
 {_level_sql("site", "JOIN p_domain USING (domain)", "p_domain.mean")}
 fin AS (
-  SELECT page_id, host, path, rule, said, coalesce(p_site.bound, p_domain.bound, p_suffix.bound, (SELECT bound FROM top)) AS bound
-  FROM named LEFT JOIN p_site USING (site) LEFT JOIN p_domain USING (domain) LEFT JOIN p_suffix USING (suffix)
+  SELECT page_id, host, path, rule, said, CASE WHEN p_site.bound IS NOT NULL THEN 'site' WHEN p_domain.bound IS NOT NULL THEN 'domain' WHEN p_suffix.bound IS NOT NULL THEN 'suffix' ELSE 'top' END AS level,
+         coalesce(p_site.mean, p_domain.mean, p_suffix.mean, top.mean) AS mean, coalesce(p_site.bound, p_domain.bound, p_suffix.bound, top.bound) AS bound, {RATIO} * top.mean / (1 - top.mean) AS odds
+  FROM named CROSS JOIN top LEFT JOIN p_site USING (site) LEFT JOIN p_domain USING (domain) LEFT JOIN p_suffix USING (suffix)
 )
-SELECT page_id, host, path, rule, coalesce(said, CASE WHEN bound > {THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict FROM fin
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN bound > odds / (1 + odds) THEN 'block' ELSE 'allow' END) AS verdict, level, round(mean, 6) AS mean, round(bound, 6) AS bound FROM fin
 """

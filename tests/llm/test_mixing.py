@@ -121,3 +121,25 @@ def test_networks_of_overlapping_sources_equal_one_flow(spark):
     cost = lambda gives: sum(min(g, held[of]) + 3 * max(0, min(g, 2 * held[of]) - held[of]) + 9 * max(0, g - 2 * held[of]) for of, g in gives.items())
     want = {of: sum(n for (p, _), n in flow.items() if patterns[p] == of) for of in patterns}
     assert sum(got.values()) == sum(want.values()) and cost(got) == cost(want)
+
+
+def test_many_equal_rows_do_not_miss_the_target(spark):
+    rows = [(None, "a", "ten words of text that stand here for a while")] * 3000 + [(i, "b", f"other words {i} of a text that is as long") for i in range(3000)]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(5)
+    for docs in (frame, frame.withColumn("lang", frame.source)):
+        by = {}
+        for r in mixing.mixed(docs, {"a": 5, "b": 3}).select("source", "size", "target", "taken").collect():
+            assert r.taken % r.size == 0 and r.taken <= 3 * r.size
+            by.setdefault(r.source, [r.target, 0])[1] += r.taken
+        assert all(abs(target - taken) <= 10 for target, taken in by.values()) and len(by) == 2
+
+
+def test_flow_of_many_patterns_ends():
+    import random
+    import time
+
+    rng, began = random.Random(4), time.time()
+    patterns = [(rng.randrange(1, 1000), sorted(rng.sample(range(40), rng.randrange(1, 6)))) for _ in range(20_000)]
+    total = sum(n for n, _ in patterns)
+    flow = mixing.min_cost_flow(patterns, [total // 40] * 40)
+    assert sum(flow.values()) >= total // 40 * 40 * 0.99 and time.time() - began < 60
