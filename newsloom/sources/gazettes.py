@@ -31,8 +31,13 @@ def request(base: str, terms: list[str], since: datetime, config: dict) -> dict:
 
 def gazette_items(payloads: DataFrame, family_ord: int = 1) -> DataFrame:
     """Items of answers. payloads: ord, json. One row for each address, territory and date, with all its excerpts."""
-    rows = payloads.select(F.col("ord").alias("query_ord"), F.posexplode(F.from_json("json", ANSWER)["gazettes"]).alias("item_ord", "g")).select("query_ord", F.col("item_ord").cast("bigint").alias("item_ord"), "g.*")
-    one = merged(rows, ["url", "territory_id", "date"], ["query_ord", "item_ord"], "excerpts")
+    rows = payloads.select(F.col("ord").alias("query_ord"), F.posexplode(F.from_json("json", ANSWER)["gazettes"]).alias("item_ord", "g"))
+    return items_of(rows.select("query_ord", F.col("item_ord").cast("bigint").alias("item_ord"), "g.*"), family_ord)
+
+
+def items_of(entries: DataFrame, family_ord: int = 1) -> DataFrame:
+    """Items of entries (query_ord, item_ord and the fields of an answer's gazettes)."""
+    one = merged(entries, ["url", "territory_id", "date"], ["query_ord", "item_ord"], "excerpts")
     text = F.array_join("excerpts", " ")
     return one.select(
         F.lit("gazette").alias("kind"), F.format_string(TITLE, "territory_name", "state_code").alias("title"), "url", noon(F.col("date")).alias("published_at"), F.lit(SOURCE).alias("source"),

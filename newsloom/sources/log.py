@@ -135,24 +135,24 @@ class CommitLog:
     def commit(self, rows: DataFrame, expected: int | None = None, whole: bool = False, note: dict | None = None) -> int:
         """Add records (keys apart) to version `expected` (default: the current one), or with `whole` put them in place of all records; its number.
 
-        note: what the commit says besides, in place of what the last one said."""
+        note: what the commit says besides; what earlier ones said under other names goes on."""
         taken, now = self.current()
         if expected is not None and taken != expected:
             raise Conflict(expected + 1)
         parts = [] if whole else now["parts"]
         if len(parts) >= PARTS:
             parts = [self._part(self.kept(self._table(parts)))]
-        note = now.get("note", {}) if note is None else note
+        note = now.get("note", {}) | (note or {})
         self._put(taken + 1, {"version": taken + 1, "at": self.clock(), "parts": [*parts, self._part(rows)], "note": note})
         self.clean()
         return taken + 1
 
-    def change(self, change: Callable[[DataFrame], DataFrame], whole: bool = False, attempts: int = 10) -> int:
+    def change(self, change: Callable[[DataFrame], DataFrame], whole: bool = False, attempts: int = 10, note: dict | None = None) -> int:
         """Commit what `change` makes of the current records; made anew of what another writer has committed meanwhile."""
         for left in range(attempts - 1, -1, -1):
             number, now = self.current()
             try:
-                return self.commit(change(self._table(now["parts"])), number, whole)
+                return self.commit(change(self._table(now["parts"])), number, whole, note)
             except Conflict:
                 if not left:
                     raise

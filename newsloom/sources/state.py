@@ -33,9 +33,9 @@ def save_history(history: DataFrame, folder: str, expected: int | None = None) -
     return history_log(history.sparkSession, folder).commit(history, expected, whole=True)
 
 
-def add_to_history(records: DataFrame, folder: str, run_at: datetime | None = None, days: int = 365) -> int:
+def add_to_history(records: DataFrame, folder: str, run_at: datetime | None = None, days: int = 365, note: dict | None = None) -> int:
     """A new version with records that replace those of the same id; what another run commits meanwhile stays."""
-    return history_log(records.sparkSession, folder, run_at, days).change(lambda _: latest(records))
+    return history_log(records.sparkSession, folder, run_at, days).change(lambda _: latest(records), note=note)
 
 
 def pruned(history: DataFrame, run_at: datetime, days: int = 365) -> DataFrame:
@@ -80,11 +80,11 @@ def outbox(spark: SparkSession, folder: str) -> DataFrame | None:
     return spark.read.schema(SEEN).parquet(f"{folder}/outbox") if fs.exists(path) else None
 
 
-def settle(spark: SparkSession, folder: str, run_at: datetime | None = None, days: int = 365) -> None:
+def settle(spark: SparkSession, folder: str, run_at: datetime | None = None, days: int = 365, note: dict | None = None) -> None:
     """Put what the outbox holds into the history, then empty it; a crash between the two only repeats the first."""
     sent = outbox(spark, folder)
     if sent is not None:
-        add_to_history(sent, folder, run_at, days)
+        add_to_history(sent, folder, run_at, days, note)
         clear_outbox(spark, folder)
 
 

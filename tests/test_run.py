@@ -123,3 +123,25 @@ def test_rank_prefix_equals_the_whole_pass(spark):
     for most in (0, 1, 5, 1000):
         assert [r.n for r in dedupe.first_unseen(frame, history, [F.col("n")], most, begin=1).orderBy("n").collect()] == whole[:most]
     assert [r.n for r in dedupe.first_unseen(frame, history, [F.col("n")], 5, whole=2).orderBy("n").collect()] == whole[:5]
+
+
+def test_a_batch_that_is_repeated_puts_nothing_twice(spark, tmp_path):
+    import os
+
+    from newsloom.streaming.microbatch import add_to_sink, start
+
+    rows = items(spark)
+    rows.write.parquet(f"{tmp_path}/in")
+    for again in range(2):
+        source = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+        start(source, f"file://{tmp_path}/state", f"{tmp_path}/check", CONFIG, lambda: NOW, sink=f"{tmp_path}/sent").awaitTermination()
+        # without its commit the batch counts as not ended
+        for name in ("0", ".0.crc") if not again else ():
+            if os.path.exists(f"{tmp_path}/check/commits/{name}"):
+                os.remove(f"{tmp_path}/check/commits/{name}")
+    assert sorted(r.item_ord for r in spark.read.parquet(f"{tmp_path}/sent").collect()) == [0, 1, 2]
+    assert state.load_history(spark, f"file://{tmp_path}/state").count() == 3
+    # a try that died after it had put some rows
+    add_to_sink(spark.createDataFrame([("a", 1)], "id string, v int"), f"{tmp_path}/other", 7)
+    add_to_sink(spark.createDataFrame([("a", 1), ("b", 2)], "id string, v int"), f"{tmp_path}/other", 7)
+    assert sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/other").collect()) == [("a", 1, 7), ("b", 2, 7)]
