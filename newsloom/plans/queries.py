@@ -14,10 +14,12 @@ from ..operators.classify import classified, is_publishable, segments
 from ..operators.rules import SYNTHETIC
 from ..schema import SEEN
 from ..sources import state
+from ..sources.digest import changed, file_digests, folder_digests
 from ..sources.index import TokenIndex
 from ..sources.tables import read, spread, work_folder, written
 from . import sql
-from .run import run
+from .collect import collect
+from .run import run, write_artifacts
 
 RUN_AT = datetime(2024, 1, 30, tzinfo=timezone.utc)
 CONFIG = {"lookbackHours": 24 * 365, "stateRetentionDays": 365, "minimumScore": 5, "maxPostsPerRun": 25, "maxPostsPerDay": 72}
@@ -355,6 +357,76 @@ def radar_run(spark, sf_dir):
     return result.selected.select("item_ord", "title", "url", F.unix_timestamp("published_at").alias("published"), c["category"].alias("category"), c["score"].alias("score"))
 
 
+@query(_RADAR_SQL)
+def stream_radar(spark, sf_dir):
+    """The same as a micro-batch of a stream: history behind its commit log, stored index, sink."""
+    from ..streaming.microbatch import start
+
+    folder = f"{work_folder(spark)}/{uuid.uuid4().hex}"
+    items = document_items(spark, sf_dir).withColumn("raw_text", F.lit(""))
+    items.write.parquet(f"{folder}/in")
+    state.save_history(document_history(items).withColumn("id", F.col("id").cast("string")).select([f.name for f in SEEN.fields]), f"{folder}/state")
+    stream = spark.readStream.schema(items.schema).parquet(f"{folder}/in")
+    start(stream, f"{folder}/state", f"{folder}/check", CONFIG, lambda: RUN_AT, SYNTHETIC, sink=f"{folder}/sent", indexed=True).awaitTermination()
+    c = F.col("classification")
+    return spark.read.parquet(f"{folder}/sent").select("item_ord", "title", "url", F.unix_timestamp("published_at").alias("published"), c["category"].alias("category"), c["score"].alias("score"))
+
+
+@query(f"""WITH {sql.classify(ITEMS_SQL, SYNTHETIC)} SELECT items.url, items.source, best.category, best.score, array_to_string(best.reasons, ';') AS reasons
+FROM items JOIN best ON best.id = items.id WHERE items.kind = 'gazette' OR (title <> '' AND url <> '')""")
+def classification_audit(spark, sf_dir):
+    """The audit artifact of a run, written and read back."""
+    folder = f"{work_folder(spark)}/{uuid.uuid4().hex}"
+    items = document_items(spark, sf_dir).withColumn("raw_text", F.lit(""))
+    write_artifacts(run(items, spark.createDataFrame([], SEEN), RUN_AT, CONFIG, SYNTHETIC), folder, CONFIG["minimumScore"])
+    c = F.col("classification")
+    return spark.read.parquet(f"{folder}/classification-audit").select("url", "source", c["category"].alias("category"), c["score"].alias("score"), F.array_join(c["reasons"], ";").alias("reasons"))
+
+
+_FEED_SQL = "WITH feeds AS (SELECT coalesce(source, 'none') AS source, doc_id FROM documents WHERE doc_id IS NOT NULL)"
+
+
+def _collected(spark, sf_dir):
+    """Feeds of the documents, one file a source, collected by settings that also name a feed that is gone and a family that fails."""
+    folder = f"{work_folder(spark)}/{uuid.uuid4().hex}"
+    day = f"{RUN_AT - timedelta(hours=5):%a, %d %b %Y %H:%M:%S} GMT"
+    entry = F.concat(F.lit("<item><title>Document "), "doc_id", F.lit("</title><link>https://a.example/"), "doc_id", F.lit(f"</link><pubDate>{day}</pubDate><description>of "), "source", F.lit("</description></item>"))
+    rows = read(spark, sf_dir, "documents").filter("doc_id is not null").select(F.coalesce("source", F.lit("none")).alias("source"), "doc_id").withColumn("value", entry)
+    # a feed is one file, so one task writes it: its lines come in the order of their ids
+    rows = rows.repartition("source").sortWithinPartitions("source", "doc_id").withColumn("name", F.col("source")).select("name", "value")
+    rows.write.partitionBy("name").text(f"{folder}/entries")
+    whole = spark.read.text(f"{folder}/entries", wholetext=True).select("name", F.concat(F.lit("<rss><channel>"), "value", F.lit("</channel></rss>")).alias("value"))
+    whole.repartition("name").write.partitionBy("name").text(f"{folder}/feeds")
+    paths = spark.read.text(f"{folder}/feeds").inputFiles()  # one a source
+    feeds = sorted(({"name": p.rpartition("name=")[2].partition("/")[0], "url": p.replace("file:///", "file:/").replace("file:/", "file:///")} for p in paths), key=lambda f: f["name"])
+    config = CONFIG | {"rssFeeds": {"enabled": True, "retries": 0, "feeds": [*feeds, {"name": "gone", "url": f"{folder}/gone.xml"}]}, "queridoDiario": {"enabled": True, "retries": 0, "queryTerms": ["a"]}}
+    return collect(spark, config, RUN_AT, gazette="file:///nowhere")
+
+
+@query(f"{_FEED_SQL} SELECT source, 'Document ' || doc_id AS title, 'https://a.example/' || doc_id AS url, 'of ' || source AS summary FROM feeds")
+def collected_items(spark, sf_dir):
+    return _collected(spark, sf_dir).items.select("source", "title", "url", "summary")
+
+
+@query(f"""{_FEED_SQL} SELECT 'Feeds RSS' AS name, 'ok' AS status, count(*) AS item_count FROM feeds UNION ALL SELECT 'Querido Diário', 'error', 0 UNION ALL SELECT 'Google News', 'ok', 0 UNION ALL SELECT 'Scrapers web', 'ok', 0""")
+def source_health(spark, sf_dir):
+    return _collected(spark, sf_dir).health.select("name", "status", "item_count")
+
+
+@query("""WITH t AS (SELECT source, text LIKE '%!%' AS hit FROM documents WHERE source IS NOT NULL AND text IS NOT NULL)
+SELECT source AS path, CASE WHEN bool_or(hit) THEN 'changed' ELSE 'same' END AS change FROM t GROUP BY source""")
+def changed_folders(spark, sf_dir):
+    """Folders of the documents' texts by source, written twice, the second time without exclamation marks: whose digests differ?"""
+    folder = f"{work_folder(spark)}/{uuid.uuid4().hex}"
+    rows = read(spark, sf_dir, "documents").filter("source is not null and text is not null").select("source", "doc_id", "text")
+    found = []
+    for name, value in (("before", F.col("text")), ("after", F.replace("text", F.lit("!"), F.lit("")))):
+        lines = rows.repartition("source").sortWithinPartitions("source", "doc_id", "text").select(F.concat("source", F.lit("")).alias("path"), F.sha2(value, 256).alias("value"))
+        lines.write.partitionBy("path").text(f"{folder}/{name}")
+        found.append(folder_digests(file_digests(spark, f"{folder}/{name}"), names=False).filter("path <> ''").withColumn("path", F.replace("path", F.lit("path="), F.lit(""))))
+    return changed(*found)
+
+
 @query("SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY event_type")
 def stream_dedupe_count(spark, sf_dir):
     """The events as a stream, each id once within the watermark, counted by type; one availableNow run."""

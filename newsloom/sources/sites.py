@@ -7,8 +7,7 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import day_first
@@ -133,26 +132,40 @@ ADAPTERS = {"rncp": cards, "cnm": embedded, "tce-mg": dated_headings, "diario-mu
 PARSED = "name string, adapter string, site_url string, publish boolean, query_ord int, item_ord bigint, title string, href string, dated string, summary string, error string"
 
 
+FOUND = "item_ord bigint, title string, href string, dated string, summary string, error string"
+
+
+def items_in(adapter: str | None, body: bytes | None, encoding: str | None = None, content_type: str | None = None, error: str | None = None) -> Iterator[tuple]:
+    """FOUND of one page: a row an item; one row with item_ord -1 where there is none, or with the error of a page that could not be fetched or read."""
+    try:
+        if error:
+            raise ValueError(error)
+        if adapter not in ADAPTERS:
+            raise ValueError(f"unknown adapter: {adapter}")
+        items = ADAPTERS[adapter](tree(decoded(bytes(body), encoding or None, content_type)))
+        yield from [(i, *item, None) for i, item in enumerate(items)] or [(-1, None, None, None, None, None)]
+    except (ValueError, KeyError, AttributeError, TypeError) as e:
+        yield -1, None, None, None, None, str(e)
+
+
+@F.udtf(returnType=FOUND, useArrow=True)
+class PageItems:
+    """The table function page_items(adapter, body, encoding, content_type, error), to be called laterally for each page."""
+
+    def eval(self, adapter: str, body: bytes, encoding: str, content_type: str, error: str):
+        yield from items_in(adapter, body, encoding, content_type, error)
+
+
+def register(spark: SparkSession) -> None:
+    """Make page_items known to SQL."""
+    spark.udtf.register("page_items", PageItems)
+
+
 def parsed_pages(pages: DataFrame) -> DataFrame:
     """pages: name, adapter, url, publish, encoding, ord, content_type, body, error. One row an item, one row a failure."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            out = []
-            for p in part.itertuples(index=False):
-                base = (p.name, p.adapter, p.url, bool(p.publish) if p.publish is not None and not pd.isna(p.publish) else False, p.ord)
-                try:
-                    if p.error:
-                        raise ValueError(p.error)
-                    if p.adapter not in ADAPTERS:
-                        raise ValueError(f"unknown adapter: {p.adapter}")
-                    items = ADAPTERS[p.adapter](tree(decoded(bytes(p.body), p.encoding or None, p.content_type)))
-                    out += [(*base, i, *item, None) for i, item in enumerate(items)] or [(*base, -1, None, None, None, None, None)]
-                except (ValueError, KeyError, AttributeError, TypeError) as e:
-                    out.append((*base, -1, None, None, None, None, str(e)))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in PARSED.split(", ")])
-
-    return pages.select("name", "adapter", "url", "publish", "encoding", "ord", "content_type", "body", "error").mapInPandas(run, PARSED)
+    found = pages.withColumnRenamed("error", "_error").lateralJoin(PageItems(*[F.col(c).outer() for c in ("adapter", "body", "encoding", "content_type", "_error")]))
+    own = {"site_url": F.col("url"), "publish": F.coalesce("publish", F.lit(False)), "query_ord": F.col("ord")}
+    return found.select([own.get(c, F.col(c)).alias(c) for c in (x.split()[0] for x in PARSED.split(", "))])
 
 
 def site_items(parsed: DataFrame, family_ord: int = 3) -> DataFrame:

@@ -137,3 +137,13 @@ def test_destination():
             raise AssertionError(bad)
         except ValueError:
             pass
+
+
+def test_pages_as_a_table_function(spark):
+    from newsloom.sources import sites
+
+    sites.register(spark)
+    good = '<div class="post-item"><h3 class="entry-title"><a href="/{0}">{0}</a></h3><span class="post-date">14/08/2026</span></div>'
+    spark.createDataFrame([("a", "rncp", (good.format("x") + good.format("y")).encode(), None), ("b", "none", b"", None), ("c", "rncp", None, "gone")], "name string, adapter string, body binary, error string").createOrReplaceTempView("fetched_pages")
+    got = spark.sql("SELECT p.name, i.item_ord, i.href, i.error FROM fetched_pages p, LATERAL page_items(p.adapter, p.body, NULL, NULL, p.error) i ORDER BY 1, 2").collect()
+    assert [tuple(r) for r in got] == [("a", 0, "/x", None), ("a", 1, "/y", None), ("b", -1, None, "unknown adapter: none"), ("c", -1, None, "gone")]
