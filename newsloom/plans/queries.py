@@ -236,6 +236,20 @@ def daily_quota(spark, sf_dir):
     return select.daily_quota(read(spark, sf_dir, "events"), "ts", [F.desc("value"), "event_id"], 72).select("event_id", F.col("local_day").cast("string").alias("local_day"), "place")
 
 
+@query(f"SELECT event_id, {_DAY_SQL}::VARCHAR AS local_day, (row_number() OVER (PARTITION BY {_DAY_SQL} ORDER BY value DESC, event_id))::INTEGER AS place FROM events QUALIFY row_number() OVER (PARTITION BY {_DAY_SQL} ORDER BY value DESC, event_id) <= 72")
+def stream_daily_quota(spark, sf_dir):
+    """The same over the events as a stream of three batches, started anew for each."""
+    from ..streaming.quota import best_of_days, days_of
+
+    folder = f"{work_folder(spark)}/{uuid.uuid4().hex}"
+    rows = read(spark, sf_dir, "events").select("event_id", "ts", "value")
+    for k in range(3):
+        rows.filter(F.col("event_id") % 3 == k).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+        best_of_days(stream, f"{folder}/days", f"{folder}/check", "ts", [F.desc("value"), "event_id"], 72).awaitTermination()
+    return days_of(spark, f"{folder}/days", rows.schema).load().select("event_id", F.col("local_day").cast("string").alias("local_day"), "place")
+
+
 @query(f"SELECT {_DAY_SQL}::VARCHAR AS local_day, count(*) AS sent FROM events GROUP BY 1")
 def sent_by_day(spark, sf_dir):
     return read(spark, sf_dir, "events").groupBy(dates.local_day(F.col("ts")).cast("string").alias("local_day")).agg(F.count(F.lit(1)).alias("sent"))
