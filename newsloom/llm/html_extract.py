@@ -129,7 +129,7 @@ class _Reader:
             self.link_at = -1
 
     def read(self, page: str) -> None:
-        at, last = 0, page.rfind(">") + 1
+        at, last, endless = 0, page.rfind(">") + 1, set()
         while at < len(page):
             m = TOKEN.match(page, at) if at < last else None
             if not m:  # no tag can end after here; one that begins is not text
@@ -147,7 +147,10 @@ class _Reader:
             tag, closing, attributes = tag.lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
             if tag in RAW and not closing:
                 if not attributes.endswith("/"):
-                    end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+                    # a name without an end is looked for once; every end before `last` has its ">"
+                    end = None if tag in endless else re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at, last)
+                    if not end:
+                        endless.add(tag)
                     at = end.end() if end else (len(page) if tag in ("script", "style", "title") else at)
             elif tag == "br" or tag == "wbr":
                 self.text.append(" " if tag == "br" else "")

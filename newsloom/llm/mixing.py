@@ -10,7 +10,7 @@ gives r times its words uses every document floor(r) times and once more those t
 left; one more document, that which best fits what then lacks, follows. The cut is found from a histogram of the seeded order in
 two levels, so only the documents of one of BUCKETS buckets a pattern are ever ordered against each other.
 
-Null and blank texts have size 0 and are taken 0 words. A null source is a source of its own, after the others. Null doc_id:
+Very long texts are counted whole and used whole. Null and blank texts have size 0 and are taken 0 words. A null source is a source of its own, after the others. Null doc_id:
 has its place in the seeded order by its text. Rows equal in id and text are units of their own,
 numbered among themselves. Empty table: no rows. Other columns pass through
 `mixed`; its own (size, source_size, target, copies, taken) replace those of the same names.

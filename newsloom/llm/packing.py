@@ -10,6 +10,7 @@ one source that holds a third of all rows would fill whole bins; with planes it
 Duplicate clusters are texts equal but for case and white space, unless a cluster column is named. Hot clusters and sources
 are dealt over all groups, so no group or task grows with them.
 
+Ties: of equally long pieces that of the smaller row number goes first; of equally tight bins the first compatible one of their list. Very long documents are cut like any other.
 Documents without words get one row with no bin. Null source: a source of its own. Null doc_id and repeated rows: packed row by
 row. Empty table: no rows. Other columns are not read.
 """

@@ -134,3 +134,11 @@ def test_odd_rows(spark):
     got = sorted((r.page_id or 0, r.n_chars) for r in h.extracted(pages).collect())
     assert got == [(0, 0), (1, 0), (2, 1), (2, 3000 * (len(LONG) + 1) - 1)]
     assert h.extracted(pages.limit(0)).count() == 0
+
+
+def test_raw_elements_without_an_end_take_linear_time():
+    page = f"<article><p>{LONG}</p>" + "<svg><iframe><noscript>" * 60_000 + "</svg <p>" + f"<p>{LONG}</p></article>"
+    began = time.time()
+    assert h.main_text(page).startswith(LONG)
+    assert time.time() - began < 5
+    assert "hidden" not in h.main_text(f"<article><p>{LONG}</p><svg><p>hidden words here</p></svg><iframe>hidden</iframe><p>{LONG}</p></article>")

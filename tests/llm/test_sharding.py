@@ -46,3 +46,14 @@ def test_odd_rows(spark):
     got = sharding.sharded(spark.createDataFrame(rows, "doc_id long, text string"), 3).collect()
     assert sorted(r.size for r in got) == [16, 16, 16, 17, 17, 200_016]
     assert sharding.sharded(spark.createDataFrame([], "doc_id long, text string"), 3).count() == 0
+
+
+def test_a_hot_text_without_ids_is_cut(spark):
+    rows = [(None, "hot")] * 2000 + [(7, "hot")] * 2000 + [(i, f"own {i}") for i in range(2000)]
+    got = sharding.sharded(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 6).collect()
+    sizes, slots = defaultdict(int), defaultdict(list)
+    for r in got:
+        sizes[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    assert len(got) == 6000 and all(sorted(x) == list(range(len(x))) for x in slots.values())
+    assert max(sizes.values()) - min(sizes.values()) < sum(sizes.values()) / 6 * 0.05
