@@ -73,7 +73,7 @@ def test_whole_table(spark):
     assert {x[-1] for x in want} == {True, False}
 
 
-@pytest.mark.parametrize("sizes, part, fanout", [([1], 10, 3), ([3], 2, 3), ([28, 1, 2, 400, 9], 7, 3), ([81, 82, 80], 11, 3), ([50, 33], 4, 2), ([1] * 40, 5, 3)])
+@pytest.mark.parametrize("sizes, part, fanout", [([28, 1, 3, 400, 9], 7, 3), ([81, 82], 11, 3), ([50, 33], 4, 2), ([1] * 40, 5, 3)])
 def test_trees_of_every_shape(spark, sizes, part, fanout, monkeypatch):
     monkeypatch.setattr(M, "CLIMB", 1)  # so merging takes several rounds
     rows = [(100 * g + i, f"s{g}", None if i % 5 else "de", i, f"text {i}\nof {g}") for g, n in enumerate(sizes) for i in range(n)]
