@@ -6,6 +6,7 @@ is a row with its error, so it does not end the others.
 
 from __future__ import annotations
 
+import http.client
 import json
 import time
 import urllib.error
@@ -15,6 +16,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Answers worth another attempt, and limits of the pause before it, in seconds.
 RETRY, FIRST, MOST, MOST_ASKED = {408, 425, 429, 500, 502, 503, 504}, 0.5, 3.0, 5.0
+#: What a request that gives no answer raises: no connection, no whole answer, or an address that is none.
+FAILURES = (OSError, http.client.HTTPException, ValueError)
 SCHEMA = "name string, ord int, url string, status int, content_type string, body binary, error string"
 
 
@@ -37,7 +40,7 @@ def fetched(url: str, timeout: float = 12.0, retries: int = 1, headers: dict | N
             if e.code not in RETRY or attempt == retries:
                 return e.code, e.headers.get("content-type", "") if e.headers else "", e.read() if e.fp else b""
             asked = e.headers.get("retry-after") if e.headers else None
-        except OSError:
+        except (OSError, http.client.HTTPException):
             if attempt == retries:
                 raise
         sleep(pause(asked, attempt))
@@ -61,8 +64,8 @@ class _Reader(DataSourceReader):
         try:
             status, kind, body = fetched(r["url"], r.get("timeout", 12.0), r.get("retries", 1), r.get("headers"))
             yield r.get("name"), partition.ord, r["url"], status, kind, body, None if 200 <= status < 300 else f"{r.get('name')}: status {status}"
-        except OSError as e:
-            yield r.get("name"), partition.ord, r["url"], None, None, None, str(e)
+        except FAILURES as e:
+            yield r.get("name"), partition.ord, r["url"], None, None, None, str(e) or type(e).__name__
 
 
 class HttpSource(DataSource):

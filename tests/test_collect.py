@@ -2,8 +2,12 @@ import json
 from datetime import datetime, timezone
 
 import pytest
+from pyspark.sql import functions as F
 
+from newsloom import registry
+from newsloom.plans import queries
 from newsloom.plans.collect import collect, requests_of
+from newsloom.sources.http import answers
 
 NOW = datetime(2026, 8, 15, tzinfo=timezone.utc)
 
@@ -43,3 +47,16 @@ def test_an_answer_that_is_no_json_is_a_failure(spark, tmp_path):
     (tmp_path / "api").write_text("<html>busy</html>")
     got = collect(spark, settings(tmp_path, webScrapers={"enabled": False}), NOW, gazette=f"file://{tmp_path}/api#")
     assert {r.name: r.status for r in got.health.collect()}["Querido Diário"] == "error"
+
+
+def test_an_address_that_is_none_is_a_failure(spark, tmp_path):
+    (tmp_path / "feed.xml").write_text("<rss><channel></channel></rss>")
+    feeds = [{"name": n, "url": u, "retries": 0} for n, u in (("F", f"file://{tmp_path}/feed.xml"), ("bare", f"{tmp_path}/gone.xml"), ("port", "http://a.example:x/"), ("blank", "http://a b/"), ("host", "http://[a/"))]
+    got = answers(spark, feeds).select("name", F.col("error").isNull().alias("good"), (F.col("error") != "").alias("told")).collect()
+    assert {tuple(r) for r in got} == {("F", True, None), *((n, False, True) for n in ("bare", "port", "blank", "host"))}
+
+
+@pytest.mark.parametrize("name", ["collected_items", "source_health"])
+def test_queries_with_a_work_folder_without_scheme(spark, tmp_path, monkeypatch, name):
+    monkeypatch.setattr(queries, "work_folder", lambda spark: str(tmp_path / "shared"))
+    assert registry.queries()[name](spark, "/root/testdata/sf0.001").count() == (4 if name == "source_health" else 200)
