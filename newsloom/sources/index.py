@@ -1,7 +1,7 @@
 """An inverted index of the history's token sets, so that a run compares its new items with those that share a rare token, not with the whole history.
 
-The index is one table behind a commit log, in folders by `bucket`, with three kinds of rows: postings (a token of a set's prefix: token, key, category, size,
-place), sets (key, tokens) and the order (a token and how many sets had it when the index was made). Two sets that are similar share a token
+The index is one table behind a commit log, in folders by `bucket`, with three kinds of rows: postings (a key of a set's prefix, which is a token or
+two: token, key, category, size, place, low, high), sets (key, tokens) and the order (a token and how many sets had it when the index was made). Two sets that are similar share a token
 of their prefixes under one order, rarest first; so the order stays as it is until the index is made anew, and tokens that it does not hold are the rarest. A run reads
 of each kind only the folders of its own tokens and of the candidates' keys.
 
@@ -19,13 +19,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.similarity import LEAST_TOKENS, SIMILAR, jaccard
-from ..operators.dedupe import may_be_similar, set_key, token_sets, without_sets
+from ..operators.dedupe import may_be_similar, named, prefixes, set_key, token_order, token_sets, without_sets
 from .log import CommitLog, Conflict
 from .tables import scratch, small_enough, written
 
 BUCKETS = 64
+#: The form of the rows; an index of another form is made anew.
+FORM = 2
 ROWS = T.StructType(
     [T.StructField("token", T.LongType()), T.StructField("key", T.StringType()), T.StructField("category", T.StringType()), T.StructField("size", T.IntegerType()), T.StructField("place", T.IntegerType())]
+    + [T.StructField("low", T.LongType()), T.StructField("high", T.LongType())]
     + [T.StructField("tokens", T.ArrayType(T.StringType())), T.StructField("sent_at", T.TimestampType()), T.StructField("bucket", T.IntegerType())]
 )
 POSTING, SET, ORDER = 0, 1, 2
@@ -50,14 +53,6 @@ class TokenIndex:
         wanted = [r[0] for r in buckets.distinct().collect()]
         return self.log.load().filter(F.col("bucket").isin(wanted) if wanted else F.lit(False))
 
-    def _prefixes(self, sets: DataFrame, order: DataFrame) -> DataFrame:
-        """sets (key, category, size and more) with token and place of each token of their prefixes. sets: category, tokens, key; order: token, df."""
-        rest = [c for c in sets.columns if c != "tokens"]
-        rows = sets.select(*rest, F.size("tokens").alias("size"), F.explode("tokens").alias("word")).withColumn("token", F.xxhash64("word")).join(order, "token", "left")
-        rows = rows.groupBy(*rest, "size").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "token"))).alias("ranked"))
-        length = F.col("size") - F.ceil(F.col("size") * self.least - 1e-9).cast("int") + 1
-        return rows.select(*rest, "size", F.posexplode(F.slice("ranked", F.lit(1), length)["token"]).alias("place", "token"))
-
     def _order(self, tokens: DataFrame) -> DataFrame:
         """token, df of those of `tokens` (token) that the order holds."""
         rows = self._read(ORDER, tokens.select(_of(ORDER, F.col("token"))))
@@ -66,9 +61,9 @@ class TokenIndex:
     def _rows(self, sets: DataFrame, order: DataFrame) -> DataFrame:
         """Postings and sets."""
         none = {f.name: F.lit(None).cast(f.dataType) for f in ROWS.fields}
-        postings = self._prefixes(sets, order)
+        postings = prefixes(sets, order, self.least)
         postings = postings.withColumns({"tokens": none["tokens"], "bucket": _of(POSTING, F.col("token"))})
-        kept = sets.withColumns({c: none[c] for c in ("token", "size", "place")} | {"bucket": _of(SET, F.col("key"))})
+        kept = sets.withColumns({c: none[c] for c in ("token", "size", "place", "low", "high")} | {"bucket": _of(SET, F.col("key"))})
         return postings.select(ROWS.names).unionByName(kept.select(ROWS.names))
 
     @staticmethod
@@ -82,8 +77,7 @@ class TokenIndex:
         """The index of a history, with a new order."""
         with scratch():
             sets = written(self._sets(history))
-            counts = sets.select(F.explode("tokens").alias("word")).groupBy(F.xxhash64("word").alias("token")).agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-            order = written(counts.select("token", F.col("df").cast("int").alias("df")))
+            order = written(token_order(sets))
             none = {f.name: F.lit(None).cast(f.dataType) for f in ROWS.fields if f.name not in ("token", "size", "bucket")}
             listed = order.select("token", F.col("df").alias("size"), _of(ORDER, F.col("token")).alias("bucket")).withColumns(none)
             self.log.commit(self._rows(sets, order).unionByName(listed.select(ROWS.names)), expected, whole=True, note=note or {})
@@ -101,11 +95,11 @@ class TokenIndex:
             at, now = self.log.current()
             held, parts = now.get("note", {}).get("of", []), history.current()[1]["parts"]
             new = [p for p in parts if p not in held]
-            if not new:
+            if not new and (not held or now["note"].get("form") == FORM):
                 return
-            note = {"of": parts}
+            note = {"of": parts, "form": FORM}
             try:
-                if not held or held[0] != parts[0] or len(now["parts"]) > 20 or self._replaced(history, [p for p in parts if p in held], new):
+                if now.get("note", {}).get("form") != FORM or not held or held[0] != parts[0] or len(now["parts"]) > 20 or self._replaced(history, [p for p in parts if p in held], new):
                     self.rebuild(history.load(), at, note)
                 else:
                     self.extend(history._table(new), at, note)
@@ -121,15 +115,15 @@ class TokenIndex:
 
     def resembling(self, items: DataFrame, oldest: datetime | None = None, least: float | None = None) -> DataFrame:
         """category, tokens of the sets of items that resemble a set of their category in the index sent at `oldest` or later."""
-        sets = written(token_sets(items))
-        probes = written(self._prefixes(sets, small_enough(self._order(_tokens(sets)))))
+        # sets are numbered, so that a long and not their key travels with each token
+        sets = written(token_sets(items).select("category", "tokens").withColumn("n", F.monotonically_increasing_id()))
+        probes = written(prefixes(sets, small_enough(self._order(_tokens(sets))), self.least))
         postings = self._read(POSTING, probes.select(_of(POSTING, F.col("token"))))
         young = F.col("sent_at").isNull() | (F.col("sent_at") >= F.lit(oldest).cast("timestamp")) if oldest else F.lit(True)
-        postings = postings.filter(young).select(*[F.col(c).alias(f"b_{c}") for c in ("key", "category", "size", "place", "token")])
-        on = (F.col("token") == F.col("b_token")) & F.col("category").eqNullSafe(F.col("b_category")) & may_be_similar(F.col("size"), F.col("b_size"), F.col("place"), F.col("b_place"), self.least)
-        found = written(postings.join(small_enough(probes), on).select("key", "b_key").distinct())
+        postings = named(postings.filter(young).select("key", *[c for c in probes.columns if c != "n"]), "b_")
+        found = written(postings.join(named(small_enough(probes), "a_"), may_be_similar(self.least)).select(F.col("a_n").alias("n"), "b_key").distinct())
         known = self._read(SET, found.select(_of(SET, F.col("b_key")))).select(F.col("key").alias("b_key"), F.col("tokens").alias("b_tokens")).join(small_enough(found.select("b_key").distinct()), "b_key", "left_semi")
-        pairs = found.join(known.dropDuplicates(["b_key"]), "b_key").join(sets, "key")
+        pairs = found.join(known.dropDuplicates(["b_key"]), "b_key").join(sets, "n")
         return pairs.filter(jaccard(F.col("tokens"), F.col("b_tokens")) >= (least or self.least)).select("category", "tokens").distinct()
 
     def against(self, run_at: datetime, days: int):

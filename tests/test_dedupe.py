@@ -1,6 +1,7 @@
 import random
 from datetime import datetime, timezone
 
+import pytest
 from pyspark.sql import functions as F
 
 from newsloom.operators import dedupe
@@ -90,3 +91,35 @@ def test_rounds_alone_equal_the_greedy_pass(spark):
     for few in (8, 10_000):
         assert sorted(r.n for r in dedupe.first_of_each_event(frame, [F.col("n")], few=few).collect()) == greedy(plain)
     assert dedupe.first_of_each_event(frame.limit(0), [F.col("n")]).count() == 0
+
+
+def _random_sets(rng, n, words, most):
+    sets = []
+    for _ in range(n):
+        base = rng.choice(sets) if sets and rng.random() < 0.5 else rng.sample(words, rng.randrange(1, most))
+        sets.append(sorted({w for w in base if rng.random() < 0.9} | set(rng.sample(words, rng.randrange(0, 2)))))
+    return sets
+
+
+@pytest.mark.parametrize("frequent", [0, 5, 1000])
+@pytest.mark.parametrize("least", [0.4, 0.66])
+def test_the_join_equals_brute_force_however_frequent_tokens_are(spark, frequent, least):
+    rng = random.Random(frequent)
+    rows = [(i, rng.choice(["A", "B", None]), t) for i, t in enumerate(_random_sets(rng, 200, [f"w{i}" for i in range(60)], 14))]
+    frame = spark.createDataFrame(rows, "key long, category string, tokens array<string>")
+    near = {(a, b) for a, c, s in rows for b, d, t in rows if a != b and c == d and s and t and len(set(s) & set(t)) / len(set(s) | set(t)) >= least}
+    want = {(a, b) for a, b in near if len(rows[b][2]) >= 4}
+    got = [(r.a_key, r.b_key) for r in dedupe.similar_sets(frame, least=least, smallest=4, frequent=frequent).collect()]
+    assert want and sorted(got) == sorted(want)
+    got = [(r.a_key, r.b_key) for r in dedupe.similar_sets(frame.filter("key % 3 = 0"), frame.filter("key % 3 > 0"), least, frequent=frequent).collect()]
+    assert sorted(got) == sorted((a, b) for a, b in near if a % 3 == 0 and b % 3 > 0)
+
+
+def test_unlike_sets_of_frequent_tokens_hardly_become_candidates(spark):
+    rng = random.Random(1)
+    rows = [(i, "A", rng.sample([f"w{i}" for i in range(500)], 60)) for i in range(1000)]
+    sets = spark.createDataFrame(rows, "n long, category string, tokens array<string>")
+    keys = dedupe.prefixes(sets, dedupe.token_order(sets), 0.66, 50)
+    # every token is in about 120 sets, so single tokens without parity bits make over 100 candidates a set
+    on = dedupe.may_be_similar(0.66) & (F.col("a_n") < F.col("b_n"))
+    assert dedupe.named(keys, "a_").join(dedupe.named(keys, "b_"), on).select("a_n", "b_n").distinct().count() < 100

@@ -92,3 +92,16 @@ def test_the_run_through_the_index(spark, tmp_path):
         start(source, f"file://{tmp_path}/state", f"{tmp_path}/check", CONFIG, lambda: NOW, sink=f"{tmp_path}/sent", indexed=True).awaitTermination()
     assert sorted(r.item_ord for r in spark.read.parquet(f"{tmp_path}/sent").collect()) == [0, 1, 2, 3]
     assert TokenIndex(spark, f"file://{tmp_path}/state/index").log.current()[0] >= 1
+
+
+def test_an_index_of_another_form_is_made_anew(spark, tmp_path, monkeypatch):
+    rows = [(str(i), None, "u", "t", f"f{i}", [f"w{i}{j}" for j in range(6)], "A") for i in range(3)]
+    state.add_to_history(spark.createDataFrame(rows, SEEN), str(tmp_path))
+    log, index = state.history_log(spark, str(tmp_path)), TokenIndex(spark, f"{tmp_path}/index")
+    monkeypatch.setattr(module, "FORM", 1)
+    index.follow(log)
+    monkeypatch.undo()
+    index.follow(log)
+    assert index.log.current()[0] == 2 and index.log.current()[1]["note"]["form"] == module.FORM
+    index.follow(log)
+    assert index.log.current()[0] == 2
