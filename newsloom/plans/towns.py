@@ -15,7 +15,7 @@ from ..operators import metrics, render, select
 from ..operators.classify import classified, is_publishable
 from ..operators.rules import CONSORTIA, GENERAL, GENERAL_MARK
 from ..sources import feeds, gazettes, sites
-from ..sources.tables import read, written
+from ..sources.tables import read, spread, written
 from . import message_sql, sql
 
 QUERIES, ORACLES = {}, {}
@@ -230,7 +230,7 @@ def _pages(spark, sf_dir) -> DataFrame:
     n = F.col("c_custkey") % 5
     html = F.when(F.col("c_custkey") % 11 == 0, "<p>nada</p>").when(n == 0, card).when(n == 1, data).when(n == 2, heading).otherwise(index)
     latin = n == 2
-    return read(spark, sf_dir, "customer").select(
+    return spread(read(spark, sf_dir, "customer")).select(
         _joined("S", key).alias("name"), F.element_at(F.array(*[F.lit(a) for a in _ADAPTERS]), (n + 1).cast("int")).alias("adapter"), _joined("https://s.example/", key, "/x").alias("url"), (F.col("c_custkey") % 2 == 0).alias("publish"),
         F.when(latin, "iso-8859-1").alias("encoding"), F.col("c_custkey").cast("int").alias("ord"), F.lit("text/html; charset=utf-8").alias("content_type"), F.when(latin, F.encode(html, "iso-8859-1")).otherwise(F.encode(html, "UTF-8")).alias("body"),
         F.lit(None).cast("string").alias("error"),

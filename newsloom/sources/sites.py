@@ -7,6 +7,7 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -133,6 +134,10 @@ PARSED = "name string, adapter string, site_url string, publish boolean, query_o
 
 
 FOUND = "item_ord bigint, title string, href string, dated string, summary string, error string"
+FOUND_NAMES = [x.split()[0] for x in FOUND.split(", ")]
+FOUND_TYPES = {c: pa.int64() if c == "item_ord" else pa.string() for c in FOUND_NAMES}
+#: Rows of an Arrow batch that is handed back.
+BATCH = 10_000
 
 
 def items_in(adapter: str | None, body: bytes | None, encoding: str | None = None, content_type: str | None = None, error: str | None = None) -> Iterator[tuple]:
@@ -162,10 +167,27 @@ def register(spark: SparkSession) -> None:
 
 
 def parsed_pages(pages: DataFrame) -> DataFrame:
-    """pages: name, adapter, url, publish, encoding, ord, content_type, body, error. One row an item, one row a failure."""
-    found = pages.withColumnRenamed("error", "_error").lateralJoin(PageItems(*[F.col(c).outer() for c in ("adapter", "body", "encoding", "content_type", "_error")]))
+    """pages: name, adapter, url, publish, encoding, ord, content_type, body, error. One row an item, one row a failure.
+
+    Pages go through items_in by Arrow batches: a call of the table function costs milliseconds a page.
+    """
     own = {"site_url": F.col("url"), "publish": F.coalesce("publish", F.lit(False)), "query_ord": F.col("ord")}
-    return found.select([own.get(c, F.col(c)).alias(c) for c in (x.split()[0] for x in PARSED.split(", "))])
+    told = [x.split()[0] for x in PARSED.split(", ")]
+    kept = [c for c in told if c not in FOUND_NAMES]
+    read = ["adapter", "body", "encoding", "content_type", "_error"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [(i, *item) for i, page in enumerate(zip(*(batch.column(f"_in{c}").to_pylist() for c in read))) for item in items_in(*page)]
+            at, *found = zip(*made) if made else ((),) * (1 + len(FOUND_NAMES))
+            rows = batch.select(kept).take(pa.array(at, pa.int64()))
+            columns = {c: rows.column(c) for c in kept} | {c: pa.array(v, t) for (c, t), v in zip(FOUND_TYPES.items(), found)}
+            for start in range(0, len(at), BATCH):
+                yield pa.RecordBatch.from_pydict({c: columns[c].slice(start, BATCH) for c in told})
+
+    pages = pages.withColumnRenamed("error", "_error")
+    pages = pages.select([own.get(c, F.col(c)).alias(c) for c in kept] + [F.col(c).alias(f"_in{c}") for c in read])
+    return pages.mapInArrow(run, PARSED)
 
 
 def site_items(parsed: DataFrame, family_ord: int = 3) -> DataFrame:

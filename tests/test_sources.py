@@ -147,3 +147,16 @@ def test_pages_as_a_table_function(spark):
     spark.createDataFrame([("a", "rncp", (good.format("x") + good.format("y")).encode(), None), ("b", "none", b"", None), ("c", "rncp", None, "gone")], "name string, adapter string, body binary, error string").createOrReplaceTempView("fetched_pages")
     got = spark.sql("SELECT p.name, i.item_ord, i.href, i.error FROM fetched_pages p, LATERAL page_items(p.adapter, p.body, NULL, NULL, p.error) i ORDER BY 1, 2").collect()
     assert [tuple(r) for r in got] == [("a", 0, "/x", None), ("a", 1, "/y", None), ("b", -1, None, "unknown adapter: none"), ("c", -1, None, "gone")]
+
+
+def test_pages_are_read_by_batches_over_all_cores(spark):
+    from newsloom.plans import towns
+
+    good = '<div class="post-item"><h3 class="entry-title"><a href="/{0}">{0}</a></h3></div>'
+    rows = [(str(i), "rncp" if i % 3 else "none", "https://s", None, None, i, None, "".join(good.format(j) for j in range(i % 4)).encode() if i % 5 else None, "gone" if i % 7 == 0 else None) for i in range(40)]
+    pages = spark.createDataFrame(rows, "name string, adapter string, url string, publish boolean, encoding string, ord int, content_type string, body binary, error string")
+    got = sites.parsed_pages(pages)
+    want = [(n, a, u, False, o, *found) for n, a, u, _, e, o, t, b, x in rows for found in sites.items_in(a, b, e, t, x)]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    assert "UDTF" not in got._jdf.queryExecution().executedPlan().toString()
+    assert towns._pages(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
