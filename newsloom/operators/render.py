@@ -171,8 +171,8 @@ def without_double_blanks(lines: Column) -> Column:
     return F.filter(lines, lambda x, i: (x != "") | (i == 0) | (F.element_at(lines, F.greatest(i, F.lit(1))) != ""))
 
 
-def messages(items: DataFrame, name: str = "message") -> DataFrame:
-    """Adds the whole message of every item."""
+def messages(items: DataFrame, name: str = "message", parts: bool = False) -> DataFrame:
+    """Adds the whole message of every item. parts: and its headline (_head) and summary (_line), as they were worked out for it."""
     rows = _held(with_parts(items), {"_head": headline(), "_line": summary_line(), "_points": key_points()})
     gazette = F.col("kind").eqNullSafe(GAZETTE)
     loose = (_category() == "RATEIO") & ~F.col("_named").rlike(SHARE_CONTRACT)
@@ -191,7 +191,7 @@ def messages(items: DataFrame, name: str = "message") -> DataFrame:
     )
     rows = rows.withColumn("_lines", F.concat(head, F.when(gazette & (F.size("_points") > 0), bullets).otherwise(none), foot))
     text = F.trim(F.array_join(without_double_blanks(F.col("_lines")), "\n"))
-    return rows.withColumn(name, text).drop("_label", "_law", "_opening", "_named", "_proof", "_head", "_line", "_points", "_lines")
+    return rows.withColumn(name, text).drop("_label", "_law", "_opening", "_named", "_proof", "_points", "_lines", *([] if parts else ["_head", "_line"]))
 
 
 def run_summary(items: DataFrame, order: str, sent: bool) -> DataFrame:

@@ -68,7 +68,7 @@ ITEMS_SQL = f"""base AS (
 
 def town_items(spark, sf_dir) -> DataFrame:
     nation = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.concat(F.lit("Vila "), "n_name").alias("town"))
-    base = read(spark, sf_dir, "customer").join(nation, "c_nationkey").withColumn("n", F.col("c_custkey"))
+    base = spread(read(spark, sf_dir, "customer")).join(nation, "c_nationkey").withColumn("n", F.col("c_custkey"))
     letter = lambda x: F.char((65 + x % 26).cast("long"))
     base = base.withColumn("mark", F.concat(F.lit("CIS"), letter(F.col("n")), letter(F.floor(F.col("n") / 26))))
 
@@ -115,9 +115,7 @@ def classify_consortia(spark, sf_dir):
 @query(f"WITH {_DECIDED_SQL}, {message_sql.messages('decided')} SELECT id, headline, line, message FROM messages")
 def message_render(spark, sf_dir):
     """Headline, summary line and whole message of every item."""
-    rows = classified(town_items(spark, sf_dir), CONSORTIA)
-    parts = render.with_parts(rows).select("id", render.headline().alias("headline"), render.summary_line().alias("line"))
-    return render.messages(rows).select("id", "message").join(parts, "id").select("id", "headline", "line", "message")
+    return render.messages(classified(town_items(spark, sf_dir), CONSORTIA), parts=True).select("id", F.col("_head").alias("headline"), F.col("_line").alias("line"), "message")
 
 
 _RANK_SQL = "score DESC, published_at DESC, id"

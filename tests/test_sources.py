@@ -160,3 +160,10 @@ def test_pages_are_read_by_batches_over_all_cores(spark):
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
     assert "UDTF" not in got._jdf.queryExecution().executedPlan().toString()
     assert towns._pages(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_messages_are_made_of_one_pass_over_the_items(spark):
+    from newsloom.plans import towns
+
+    plan = towns.message_render(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("customer") <= 1 and plan.count("Join") == 1  # with the nations
