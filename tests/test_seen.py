@@ -1,11 +1,13 @@
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from newsloom.operators import dedupe
 from newsloom.schema import SEEN
 from newsloom.sources import state
+from newsloom.streaming import seen
 from newsloom.streaming.seen import first_of_key
 
 AT = datetime(2026, 8, 1)
@@ -63,3 +65,36 @@ def test_an_entry_ends(spark, tmp_path):
 def test_odd_rows(spark, tmp_path, days):
     none = (1, None, None, None, None)
     assert passed(spark, tmp_path, [[none, none], [(2, None, "", None, AT)], [(3, "u", "t", "", None), (4, "u", "t", "", AT)]], days) == [[1], [], [3]]
+
+
+class Held(dict):
+    """A handle whose map state is this dictionary."""
+
+    def getMapState(self, *_):
+        return self
+
+    def getValue(self, key):
+        return self.get(key)
+
+    def updateValue(self, key, value):
+        self[key] = value
+
+
+def test_one_call_decides_many_keys_over_several_frames():
+    names = ["n", "at", "_key", "_bucket", "_order0"]
+    frame = lambda *rows: pd.DataFrame([(n, pd.Timestamp(AT) + timedelta(days=d), k, 0, n) for n, k, d in rows], columns=names)
+    state, first = Held(), seen._First(names, "at", ["_order0"], 10)
+    first.init(state)
+    call = lambda *frames: sorted(n for out in first.handleInputRows((0,), iter(frames), None) for n in out["n"])
+    assert call(frame((5, "a", 0), (3, "b", 0), (4, None, 0)), frame((2, "a", 0), (6, "b", 0), (7, "c", 0))) == [2, 3, 4, 7]
+    assert call(frame((8, "a", 10), (9, "b", 11), (10, None, 1), (11, "d", 0))) == [9, 11] and len(state) == 5
+    assert call(frame((12, "a", 5))) == []
+
+
+def test_keys_of_one_bucket_and_keys_that_are_numbers(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(seen, "BUCKETS", 1)
+    kind = "n int, key double, at timestamp"
+    spark.createDataFrame([(i, None if i % 5 == 4 else float(i % 5), AT) for i in range(20)], kind).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(kind).parquet(f"{tmp_path}/in")
+    first_of_key(stream, "key", "at", [-F.col("n")]).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r["n"] for r in spark.read.schema(kind).parquet(f"{tmp_path}/out").collect()) == [15, 16, 17, 18, 19]
