@@ -6,13 +6,16 @@ text of a segment is normalised once and each pattern is matched once.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import filled, for_match, whitespace
 from ..functions.urls import is_official
 from ..sources.tables import spread
-from .rules import CONSORTIA, GENERAL, GENERAL_MARK, REJECTED, RuleSet, needed, quick
+from .rules import CONSORTIA, GENERAL, GENERAL_MARK, REJECTED, RuleSet, quick, required
 
 GAZETTE, GAZETTE_LIMIT, LIMIT = "gazette", 1200, 1800
 NO_TEXT = f"{REJECTED}sem texto para classificação"
@@ -29,8 +32,8 @@ def segments(kind: Column, excerpts: Column, summary: Column, raw_text: Column)
 
 def _found(pattern: str, text: Column) -> Column:
     """Does the pattern match? A text without the words that it needs is not searched by it."""
-    plain = needed(pattern)
-    return text.contains(plain) & text.rlike(quick(pattern)) if plain else text.rlike(quick(pattern))
+    held = [reduce(or_, [text.contains(w) for w in words]) for words in required(pattern)]
+    return reduce(and_, [*held, text.rlike(quick(pattern))])
 
 
 def _matched(rules: RuleSet, text: Column) -> Column:

@@ -64,6 +64,25 @@ def needed(pattern: str) -> str:
     return "" if re.search(r"[()|]", plain) else max(re.findall(r"[a-z ]+(?![?*{])", plain), key=len, default="")
 
 
+def required(pattern: str) -> list[list[str]]:
+    """Lists of plain texts: whatever the pattern finds must hold one of each list. The needed text, and the words of each group that is not optional."""
+    plain = re.sub(r"(\[[^\]]*\]|\.|\\.)(\{[^}]*\}|[?*+])?", "\0", pattern)
+    groups, outside, depth, begin = [], "", 0, 0
+    for i, c in enumerate(plain):
+        depth -= c == ")"
+        if c == ")" and not depth and plain[i + 1 : i + 2] not in ("?", "*", "{"):
+            groups.append(plain[begin:i])
+        if c == "(" and not depth:
+            begin = i + 1
+        outside += c if not depth else ""
+        depth += c == "("
+    if "|" in outside:
+        return []
+    lists = [[needed(w) for w in g.split("|")] for g in groups if "(" not in g and not g.startswith("?")]
+    lists = [sorted({w for w in words if not any(o != w and o in w for o in words)}) for words in lists if all(words)]
+    return [[needed(pattern)]] * bool(needed(pattern)) + lists
+
+
 def re2(pattern: str) -> str:
     return pattern
 

@@ -1,5 +1,5 @@
 from newsloom.operators.classify import NO_TEXT, classified
-from newsloom.operators.rules import CONSORTIA, SYNTHETIC, java, needed, quick, re2
+from newsloom.operators.rules import CONSORTIA, SYNTHETIC, java, needed, quick, re2, required
 
 #: (item, category, score); scores worked out by hand from the rules.
 CASES = [
@@ -69,3 +69,20 @@ def test_needed_words_stand_in_whatever_matches():
                 assert held == bool(re.search(quick(p), t)) and (needed(p) in t or not held)
                 found += held
     assert found > 10
+
+
+def test_words_of_groups_are_required():
+    want = {
+        r"\b(that|this)\b.{0,60}\bthe": [["the"], ["that", "this"]], r"\b(the|der)\b": [["der", "the"]], r"\bab(s|t)?\b": [["ab"]], r"(ab|cd){2,3}x": [["x"]], "(a|b)|c": [], r"(a|[x-z])b": [["b"]],
+        r"\b(ab(c|d)|ef)\b": [], r"\b(abc|ab|x\d+)\b": [["ab", "x"]], r"[(|]ab": [["ab"]], r"\((ab|cd)": [["ab", "cd"]], "(a.{0,9}bc|d)+": [["bc", "d"]],
+    }
+    assert {p: required(p) for p in want} == want
+
+
+def test_required_words_stand_in_whatever_matches(spark):
+    import re
+
+    texts = ["consorcio", "dividas junto ao consorcio", "contratos de rateio", "lei 11107", "ratifica o protocolo de intencoes", "adesao a ata", "outre nation", "cria um consorcio", "that one, the with", "les une", "der die", "que por los", "a | b", "!!"]
+    for rules in (CONSORTIA, SYNTHETIC):
+        for p in [rules.subject, rules.strong, rules.local, *(p for r in rules.rules for p in r.patterns), *(p for x in rules.penalties for c in x.cases for p in c if p)]:
+            assert all(any(w in t for w in words) for t in texts if re.search(java(p), t) for words in required(p)), p

@@ -65,3 +65,26 @@ def test_similarity(spark):
     assert one(spark, similarity.jaccard(a, F.array(F.lit("b"), F.lit("c"), F.lit("d")))) == 0.5
     assert one(spark, similarity.jaccard(a, F.array().cast("array<string>"))) == 0.0 and one(spark, similarity.jaccard(a, F.lit(None).cast("array<string>"))) == 0.0
     assert one(spark, similarity.title_fingerprint(F.lit("Saída do grupo"))) == one(spark, similarity.title_fingerprint(F.lit("saida da Grupo")))
+
+
+def test_white_space_as_one_pattern_finds_it(spark):
+    import re
+
+    space = "\t\n\x0b\f\r \u00a0\u1680\u2000\u2005\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+    marks = [*space, "  ", " \n", "\n ", "\u00a0 ", " \u3000", "\n\n", "\u200b", "\u0085", "\x1c", "–", "é", "e\u0301", "😀", "<b>", "<", ">", "&nbsp;", "&AMP;nbsp;", "&amp;lt;", "&#39;", "&apos;", "&QUOT;", ""]
+    texts = [a + x + m + y + b for m in marks for x, y in (("", ""), ("a", "b"), ("é ", " b")) for a, b in (("", ""), (" ", "\n"))] + [None]
+
+    def plain(t):
+        t = re.sub("<[^>]*>", " ", t or "")
+        for p, m in (("&nbsp;", " "), ("&amp;", "&"), ("&quot;", '"'), ("&#39;|&apos;", "'")):
+            t = re.sub(p, m, t, flags=re.I)
+        return re.sub(f"[{space}]+", " ", t).strip(" ")
+
+    got = spark.createDataFrame(list(enumerate(texts)), "n int, t string").select("n", text.whitespace(F.col("t")), text.for_match(F.col("t"))).orderBy("n").collect()
+    assert [r[1] for r in got] == [plain(t) for t in texts]
+    assert all(r[2] == plain(t).lower().replace("é", "e").replace("e\u0301", "e") for r, t in zip(got, texts))
+
+
+def test_texts_without_tags_and_marks_are_not_searched_by_patterns(spark):
+    plan = spark.createDataFrame([("a b",)], "t string").select(text.whitespace(F.col("t")))._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert 0 < plan.count("regexp_replace") <= plan.count("case when") and plan.count("contains(") >= 2
